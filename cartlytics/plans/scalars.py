@@ -1,0 +1,16 @@
+"""One-row statistics attached to detail rows without a join.
+
+``DataFrame.scalar()`` turns a one-row aggregate into a scalar subquery: the
+planner runs it once, merges subqueries over the same plan
+(MergeScalarSubqueries) and inlines the value into the consuming stage.  The
+size bound is structural (exactly one row), so no broadcast check is needed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+
+
+def one_row(stats: DataFrame) -> dict[str, Column]:
+    """Map each column of a one-row ``stats`` frame to a scalar-subquery Column."""
+    return {c: stats.select(c).scalar() for c in stats.columns}
