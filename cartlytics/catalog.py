@@ -46,9 +46,8 @@ def _lines(spark, d):
 
 
 def _metrics_long(spark, d):
-    lines = _lines(spark, d)
-    return experiment.metric_long(experiment.ab_order_metrics(lines),
-                                  experiment.ab_user_orders(lines))
+    om = experiment.ab_order_metrics(_lines(spark, d))
+    return experiment.metric_long(om, experiment.ab_user_orders(om))
 
 
 def _rfm_base(spark, d):

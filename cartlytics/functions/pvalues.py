@@ -9,6 +9,7 @@ series evaluation of the regularised incomplete beta and gamma functions.
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
 import pandas as pd
@@ -16,6 +17,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:  # ship this module's code with the UDFs: executors need not have the package
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: rely on --py-files
+    pass
+
 _EPS = 1e-15
 _TINY = 1e-300
 _MAXIT = 10000

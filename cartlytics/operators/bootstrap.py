@@ -59,24 +59,44 @@ def poisson1_weight(u: Column) -> Column:
     return expr.otherwise(F.lit(len(POISSON1_CDF)))
 
 
+def _weights(spark, n_blocks: int, n_resamples: int, seed: int) -> DataFrame:
+    """Poisson(1) weight of every (block, replicate): n_blocks x n_resamples
+    rows, independent of the data, so it is hashed once for all groups."""
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = spark.range(0, n_blocks, 1, min(parts, n_blocks)).select(F.col("id").alias("_unit"))
+    w = blocks.select("_unit", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("replicate"))
+    return w.withColumn("_w", poisson1_weight(uniform_hash(F.lit(seed), F.col("_unit"), F.col("replicate"))))
+
+
+def block_of(unit: Column, seed: int, n_blocks: int) -> Column:
+    """Hash block of a unit id (md5 based, reproducible in SQL)."""
+    h = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), unit.cast("string"))),
+                        F.lit(1), F.lit(13)), 16, 10).cast("long")
+    return h % n_blocks
+
+
 def bootstrap_replicates(long: DataFrame, unit: str = "unit_id", value: str = "value",
                          keys=("metric", "group"), n_resamples: int = 2000, seed: int = 42,
                          n_blocks: int | None = 1024) -> DataFrame:
-    """Replicate means: (keys..., replicate, mean)."""
+    """Replicate means: (keys..., replicate, mean).
+
+    Blocked: block sums are #keys x n_blocks rows (bounded), broadcast into the
+    weight table; the replicate aggregation is then #keys x n_blocks x
+    n_resamples multiply-adds, independent of the row count.
+    """
     keys = list(keys)
     data = long.where(F.col(value).isNotNull())
     if n_blocks:
-        block = (F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(unit).cast("string"))),
-                                 F.lit(1), F.lit(13)), 16, 10).cast("long") % n_blocks)
-        units = data.groupBy(*keys, block.alias("_unit")).agg(
+        units = data.groupBy(*keys, block_of(F.col(unit), seed, n_blocks).alias("_unit")).agg(
             F.sum(value).alias("_s"), F.count(F.lit(1)).cast("double").alias("_c"))
+        reps = _weights(long.sparkSession, n_blocks, n_resamples, seed).join(F.broadcast(units), "_unit")
     else:
         units = data.select(*keys, F.col(unit).alias("_unit"), F.col(value).alias("_s"),
                             F.lit(1.0).alias("_c"))
-    reps = units.select(*keys, "_unit", "_s", "_c",
-                        F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("replicate"))
-    w = poisson1_weight(uniform_hash(F.lit(seed), F.col("_unit"), F.col("replicate")))
-    reps = reps.withColumn("_w", w)
+        reps = units.select(*keys, "_unit", "_s", "_c",
+                            F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("replicate"))
+        reps = reps.withColumn("_w", poisson1_weight(
+            uniform_hash(F.lit(seed), F.col("_unit"), F.col("replicate"))))
     return reps.groupBy(*keys, "replicate").agg(
         F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_c"))).alias("mean"))
 

@@ -53,7 +53,11 @@ def ab_order_metrics(lines: DataFrame, money_decimals: int | None = 6) -> DataFr
 
 
 def ab_user_orders(lines: DataFrame) -> DataFrame:
-    """Per (user, group): distinct orders."""
+    """Per (user, group): distinct orders.
+
+    Accepts the order lines or the order metrics (one row per order): the
+    latter reuses the per-order aggregate instead of re-reading the lines.
+    """
     return lines.groupBy("user_id", "group").agg(F.countDistinct("order_id").alias("orders"))
 
 

@@ -11,13 +11,16 @@ a group goes through one task.  Instead:
    binary search over the small split array.  The bucket is a pure function of
    the value, so ties never straddle buckets and a recomputed task puts every
    value in the same bucket;
-3. per (key, bucket) totals -> running offset over B rows (tiny, broadcast);
+3. per (key, bucket) totals -> one row per key holding the rows before each
+   bucket (a dense array of B offsets, tiny, broadcast);
 4. running count within (key, bucket) ordered by value, plus the offset.
+   Quantiles only need the buckets that hold a wanted order statistic, so only
+   those few buckets are sorted.
 
 Each distinct value then carries ``before`` = rows of the same key with a
 strictly smaller value, ``n`` = its own count and ``total`` = rows of the key.
-Keys must be low-cardinality (metric, group, ...): split and offset tables are
-broadcast with #keys x B rows.  Without keys the one-row tables are attached as
+Keys must be low-cardinality (metric, group, ...): split and offset arrays are
+broadcast, #keys x B values.  Without keys the one-row tables are attached as
 scalar subqueries, so no join without an equality key is planned.
 """
 
@@ -56,8 +59,7 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
 @dataclass
 class Ranked:
     rows: DataFrame      # keys..., value, n, extra counts..., _bucket, before
-    totals: DataFrame    # keys..., total  (one row per key)
-    offsets: DataFrame   # keys..., _bucket, _boff, _bn
+    totals: DataFrame    # keys..., total, _boffs  (one row per key)
     keys: list[str]
 
 
@@ -76,6 +78,33 @@ def _with_bucket(df: DataFrame, splits: str, value: str, n_buckets: int) -> Data
     return out.drop(splits)
 
 
+def _bucketed(df: DataFrame, value: str, keys: list[str], counts, b: int, accuracy: int):
+    """Distinct values with counts and bucket, plus one row per key with the
+    total and ``_boffs``: rows before each bucket (dense, B entries)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for name, cond in (counts or {}).items():
+        aggs.append(F.count(F.when(cond, F.lit(1))).alias(name))
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
+    probs = [i / b for i in range(1, b)]
+    # The split sketch reads ``n`` too (n > 0 always holds), so all consumers of
+    # ``d`` see the identical plan and Spark reuses one shuffle of the input
+    # instead of scanning it once per consumer.
+    splits = d.groupBy(*keys).agg(F.percentile_approx(
+        F.when(F.col("n") > 0, F.col(value)), probs, accuracy).alias("_splits"))
+    db = _with_bucket(attach(d, splits, keys), "_splits", value, b)
+    per_bucket = db.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_bn"))
+    per_key = per_bucket.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_bucket", "_bn"))).alias("_m"),
+        F.sum("_bn").alias("total"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(b - 1)),
+                        lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0).cast("long")))
+    init = F.struct(F.array().cast("array<bigint>").alias("acc"), F.lit(0).cast("long").alias("s"))
+    boffs = F.aggregate(dense, init, lambda st, x: F.struct(
+        F.array_append(st["acc"], st["s"]).alias("acc"), (st["s"] + x).alias("s")))["acc"]
+    totals = per_key.select(*keys, "total", boffs.alias("_boffs"))
+    return db, totals
+
+
 def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (),
                   counts: Mapping[str, Column] | None = None,
                   n_buckets: int | None = None, accuracy: int = 10000) -> Ranked:
@@ -88,57 +117,48 @@ def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (),
     b = n_buckets or default_buckets(df)
     if b < 2 or b & (b - 1):
         raise ValueError("n_buckets must be a power of two >= 2")
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for name, cond in (counts or {}).items():
-        aggs.append(F.count(F.when(cond, F.lit(1))).alias(name))
-    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
-
-    probs = [i / b for i in range(1, b)]
-    stats = d.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, accuracy).alias("_splits"),
-        F.sum("n").alias("total"))
-    bucketed = _with_bucket(attach(d, stats.select(*keys, "_splits"), keys),
-                            "_splits", value, b)
-    run = Window.partitionBy(*keys).orderBy("_bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (bucketed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_bn"))
-               .withColumn("_boff", F.coalesce(F.sum("_bn").over(run), F.lit(0))))
+    db, totals = _bucketed(df, value, keys, counts, b, accuracy)
     within = Window.partitionBy(*keys, "_bucket").orderBy(value) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    rows = (bucketed.join(F.broadcast(offsets.drop("_bn")), keys + ["_bucket"])
-            .withColumn("before", F.col("_boff") + F.coalesce(F.sum("n").over(within), F.lit(0)))
-            .drop("_boff"))
-    return Ranked(rows=rows, totals=stats.drop("_splits"), offsets=offsets, keys=keys)
+    rows = (attach(db, totals.select(*keys, "_boffs"), keys)
+            .withColumn("before", F.element_at(F.col("_boffs"), F.col("_bucket") + 1)
+                        + F.coalesce(F.sum("n").over(within), F.lit(0)))
+            .drop("_boffs"))
+    return Ranked(rows=rows, totals=totals, keys=keys)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    keys: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+                    keys: Sequence[str] = (), n_buckets: int | None = None,
+                    accuracy: int = 10000) -> DataFrame:
     """Linear-interpolation quantiles (pandas / numpy / DuckDB quantile_cont), exact.
 
     Returns long rows (keys..., q, quantile): position (n-1)q between the order
-    statistics at floor and ceil, value = lo + (hi - lo) * frac.
+    statistics at floor and ceil, value = lo + (hi - lo) * frac.  Only the
+    buckets that contain a wanted order statistic are sorted.
     """
-    r = ranked_values(df, value, keys, n_buckets=n_buckets)
-    keys = r.keys
-    offs = r.offsets.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_boff", "_bucket"))).alias("_offs"))
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(float(p)).alias("q"), F.lit(k).alias("_kind"))
-        for p in probs for k in ("lo", "hi")]))
-    tgt = (r.totals.select(*keys, "total", pairs.alias("_t"))
-           .select(*keys, "_t.q", "_t._kind",
-                   ((F.col("total") - 1) * F.col("_t.q")).alias("_pos")))
-    tgt = (tgt.withColumn("_idx", F.when(F.col("_kind") == "lo", F.floor("_pos"))
-                          .otherwise(F.ceil("_pos")))
-              .withColumn("_frac", F.col("_pos") - F.floor("_pos")))
-    tgt = attach(tgt, offs, keys)
-    n_le = F.size(F.filter("_offs", lambda o: o["_boff"] <= F.col("_idx")))
-    tgt = (tgt.withColumn("_bucket", F.element_at("_offs", n_le)["_bucket"])
-              .select(*keys, "q", "_kind", "_idx", "_frac", "_bucket"))
+    keys = list(keys)
+    b = n_buckets or default_buckets(df)
+    if b < 2 or b & (b - 1):
+        raise ValueError("n_buckets must be a power of two >= 2")
+    db, totals = _bucketed(df, value, keys, None, b, accuracy)
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("q"), F.lit(k).alias("kind"))
+                       for p in probs for k in ("lo", "hi")])
+    pos = (F.col("total") - 1) * F.col("t.q")
+    tgt = (totals.select(*keys, "_boffs", "total", F.explode(wanted).alias("t"))
+           .select(*keys, "_boffs", F.col("t.q").alias("q"), F.col("t.kind").alias("_kind"),
+                   F.when(F.col("t.kind") == "lo", F.floor(pos)).otherwise(F.ceil(pos)).alias("_idx"),
+                   (pos - F.floor(pos)).alias("_frac")))
+    # bucket holding order statistic _idx: last bucket whose offset <= _idx
+    n_le = F.size(F.filter("_boffs", lambda o: o <= F.col("_idx")))
+    tgt = tgt.select(*keys, "q", "_kind", "_idx", "_frac", (n_le - 1).alias("_bucket"),
+                     F.element_at("_boffs", n_le).alias("_boff"))
     v = F.col(value).cast("double")
-    hits = (r.rows.join(F.broadcast(tgt), keys + ["_bucket"])
-            .where((F.col("_idx") >= F.col("before"))
-                   & (F.col("_idx") < F.col("before") + F.col("n"))))
+    cand = db.join(F.broadcast(tgt), keys + ["_bucket"])
+    w = Window.partitionBy(*keys, "q", "_kind").orderBy(value) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    cand = cand.withColumn("_before", F.col("_boff") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    hits = cand.where((F.col("_idx") >= F.col("_before"))
+                      & (F.col("_idx") < F.col("_before") + F.col("n")))
     picked = hits.groupBy(*keys, "q", "_frac").agg(
         F.max(F.when(F.col("_kind") == "lo", v)).alias("_lov"),
         F.max(F.when(F.col("_kind") == "hi", v)).alias("_hiv"))
