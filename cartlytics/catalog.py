@@ -46,8 +46,7 @@ def _lines(spark, d):
 
 
 def _metrics_long(spark, d):
-    om = experiment.ab_order_metrics(_lines(spark, d))
-    return experiment.metric_long(om, experiment.ab_user_orders(om))
+    return experiment.metric_long_from_lines(_lines(spark, d))
 
 
 def _rfm_base(spark, d):

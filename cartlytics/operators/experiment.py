@@ -116,6 +116,34 @@ def metric_long(order_metrics: DataFrame, user_orders: DataFrame | None = None,
     return long
 
 
+def metric_long_from_lines(lines: DataFrame, money_decimals: int | None = 6) -> DataFrame:
+    """Long frame of sum_price, number_of_products (per order) and orders (per
+    user) as ONE chain over the order lines: the per-order aggregate (X2) is
+    re-aggregated with GROUPING SETS ((user, group, order, date), (user, group)),
+    so both granularities come from a single scan and shuffle of the input and
+    no distinct-count rewrite is needed (each order is one row already)."""
+    om = ab_order_metrics(lines, money_decimals)
+    agg = om.groupingSets(
+        [["user_id", "group", "order_id", "date"], ["user_id", "group"]],
+        "user_id", "group", "order_id", "date").agg(
+        F.sum("number_of_products").alias("number_of_products"),
+        F.sum("sum_price").alias("sum_price"),
+        F.count(F.lit(1)).alias("orders"), F.grouping_id().alias("_gid"))
+    rec = "struct<metric:string,unit_id:bigint,value:double>"
+    order_rows = F.array(
+        F.struct(F.lit("sum_price").alias("metric"), F.col("order_id").cast("bigint").alias("unit_id"),
+                 F.col("sum_price").cast("double").alias("value")),
+        F.struct(F.lit("number_of_products").alias("metric"),
+                 F.col("order_id").cast("bigint").alias("unit_id"),
+                 F.col("number_of_products").cast("double").alias("value")))
+    user_rows = F.array(F.struct(F.lit("orders").alias("metric"),
+                                 F.col("user_id").cast("bigint").alias("unit_id"),
+                                 F.col("orders").cast("double").alias("value")))
+    recs = F.when(F.col("_gid") == 0, order_rows).otherwise(user_rows).cast(f"array<{rec}>")
+    return agg.select("group", "user_id", F.explode(recs).alias("_r")) \
+        .select("_r.metric", "group", "user_id", "_r.unit_id", "_r.value")
+
+
 def log_metric(long: DataFrame, suffix: str = "_log", keep_original: bool = True) -> DataFrame:
     """ln(value) as metric '<name>_log'.  ln of a value <= 0 is NULL and the
     row is dropped (D5); see :func:`log_dropped` for the count."""

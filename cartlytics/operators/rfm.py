@@ -58,15 +58,20 @@ def rfm_base(cust_orders: DataFrame, order_items: DataFrame, as_of, period_days:
         monetary.alias("monetary"))
 
 
-def rfm_thresholds(base: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """Scalar-subquery columns: recency and monetary quintiles (exact) and the
-    frequency min/max, all computed from one pass over ``base``."""
-    r = quantiles_wide(base, "recency", QUINTILES, ["r20", "r40", "r60", "r80"], n_buckets=n_buckets)
-    m = quantiles_wide(base, "monetary", QUINTILES, ["m20", "m40", "m60", "m80"], n_buckets=n_buckets)
+def rfm_thresholds(base: DataFrame, n_buckets: int | None = None) -> dict:
+    """Scalar-subquery columns r20..r80, m20..m80 (exact quintiles of recency
+    and monetary, ONE ordered-quantile plan keyed by column) and f_min/f_max."""
+    long = base.select(F.col("recency").cast("double").alias("recency"),
+                       F.col("monetary").cast("double").alias("monetary")) \
+        .unpivot([], ["recency", "monetary"], "column", "value")
+    q = quantiles_wide(long, "value", QUINTILES, ["q20", "q40", "q60", "q80"], keys=["column"],
+                       n_buckets=n_buckets)
+    names = {"recency": "r", "monetary": "m"}
+    one = q.agg(*[F.max(F.when(F.col("column") == c, F.col(f"q{k}"))).alias(f"{p}{k}")
+                  for c, p in names.items() for k in (20, 40, 60, 80)])
     f = base.agg(F.min("frequency").cast("double").alias("f_min"),
                  F.max("frequency").cast("double").alias("f_max"))
-    cols = {c: r.select(c).scalar() for c in r.columns}
-    cols.update({c: m.select(c).scalar() for c in m.columns})
+    cols = {c: one.select(c).scalar() for c in one.columns}
     cols.update({c: f.select(c).scalar() for c in f.columns})
     return cols
 
