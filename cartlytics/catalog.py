@@ -252,3 +252,20 @@ def q_ab_test_pvalues(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
+
+
+def _orders_stream(spark, d):
+    from cartlytics.sources.readers import read_table
+    schema = read_table(spark, d, "orders").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet") \
+        .parquet(d.rstrip("/"))
+
+
+def q_cancel_rate_stream(spark, d):
+    """X15 as a Structured Streaming query over the orders source."""
+    from cartlytics.streaming import cancel_rate_stream, run_to_table
+    actions = td.ab_users_from_orders(_orders_stream(spark, d))
+    return r6(run_to_table(spark, cancel_rate_stream(actions), "cancel_rate"))
+
+
+QUERIES["cancel_rate_stream"] = q_cancel_rate_stream

@@ -444,3 +444,4 @@ SELECT metric, grp AS "group", CAST(replicate AS INTEGER) AS replicate,
        round(sum(w * s) / sum(w * c), 6) AS mean
 FROM wt GROUP BY metric, grp, replicate""",
 }
+SQL["cancel_rate_stream"] = SQL["cancel_rate"]

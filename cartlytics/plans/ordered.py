@@ -33,18 +33,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_BUCKETS = 4096
+
+
 def default_buckets(df: DataFrame) -> int:
-    """Power of two near 4x the shuffle partition count (at least 64)."""
+    """Power of two near 4x the shuffle partition count, within [64, 4096].
+
+    The cap keeps the split sketch and the per-key offset array small (the
+    offsets are built in O(B^2) array work on one row per key); with 4096
+    buckets a window partition holds ~1/4096 of a key's distinct values.
+    """
     try:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover
         parts = 200
     b = 64
-    while b < 4 * parts:
+    while b < 4 * parts and b < MAX_BUCKETS:
         b *= 2
     return b
 
 
+def _check_buckets(b: int) -> int:
+    if b < 2 or b & (b - 1) or b > 65536:
+        raise ValueError("n_buckets must be a power of two in [2, 65536]")
+    return b
+
+
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the columns of ``small`` (one row per key, bounded) to ``df``.
 
@@ -114,10 +128,8 @@ def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (),
     ``{"n0": F.col("group") == 0}``.  NULL values are dropped.
     """
     keys = list(keys)
-    b = n_buckets or default_buckets(df)
-    if b < 2 or b & (b - 1):
-        raise ValueError("n_buckets must be a power of two >= 2")
-    db, totals = _bucketed(df, value, keys, counts, b, accuracy)
+    b = _check_buckets(n_buckets or default_buckets(df))
+    db, totals = _bucketed(df, value, keys, counts, b, max(accuracy, 4 * b))
     within = Window.partitionBy(*keys, "_bucket").orderBy(value) \
         .rowsBetween(Window.unboundedPreceding, -1)
     rows = (attach(db, totals.select(*keys, "_boffs"), keys)
@@ -137,10 +149,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     buckets that contain a wanted order statistic are sorted.
     """
     keys = list(keys)
-    b = n_buckets or default_buckets(df)
-    if b < 2 or b & (b - 1):
-        raise ValueError("n_buckets must be a power of two >= 2")
-    db, totals = _bucketed(df, value, keys, None, b, accuracy)
+    b = _check_buckets(n_buckets or default_buckets(df))
+    db, totals = _bucketed(df, value, keys, None, b, max(accuracy, 4 * b))
     wanted = F.array(*[F.struct(F.lit(float(p)).alias("q"), F.lit(k).alias("kind"))
                        for p in probs for k in ("lo", "hi")])
     pos = (F.col("total") - 1) * F.col("t.q")

@@ -57,7 +57,11 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ab_users_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
+    return ab_users_from_orders(read_table(spark, sf_dir, "orders"))
+
+
+def ab_users_from_orders(o: DataFrame) -> DataFrame:
+    """The A/B action log from an orders frame (batch or streaming)."""
     actions = F.when(F.col("o_orderstatus") == "P",
                      F.array(F.lit("create_order"), F.lit("cancel_order"))
                      ).otherwise(F.array(F.lit("create_order")))

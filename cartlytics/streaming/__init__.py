@@ -1,0 +1,4 @@
+"""Incremental (Structured Streaming) forms of the experiment counters."""
+
+from cartlytics.streaming.counters import (  # noqa: F401
+    cancel_rate_stream, daily_orders_stream, run_to_table)

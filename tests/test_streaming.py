@@ -1,0 +1,29 @@
+"""Streaming counters equal the batch operators on the same input."""
+
+from pyspark.sql import functions as F
+
+from cartlytics.operators import experiment
+from cartlytics.sources import testdata as td
+from cartlytics.streaming import cancel_rate_stream, daily_orders_stream, run_to_table
+from tests.conftest import rows
+
+SF = "/root/testdata/sf0.001"
+
+
+def _orders_stream(spark):
+    schema = spark.read.parquet(f"{SF}/orders.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(SF)
+
+
+def test_cancel_rate_stream_matches_batch(spark):
+    got = run_to_table(spark, cancel_rate_stream(td.ab_users_from_orders(_orders_stream(spark))), "t1")
+    want = experiment.cancel_rate(td.ab_users_data(spark, SF))
+    assert rows(got, "group", "created", "cancelled") == rows(want, "group", "created", "cancelled")
+
+
+def test_daily_orders_stream_matches_batch(spark):
+    got = run_to_table(spark, daily_orders_stream(td.ab_users_from_orders(_orders_stream(spark))), "t2")
+    users = td.ab_users_data(spark, SF)
+    want = users.where(F.col("action") == "create_order").groupBy("group", "date") \
+        .agg(F.countDistinct("order_id").alias("orders"))
+    assert rows(got, "group", "date", "orders") == rows(want, "group", "date", "orders")
