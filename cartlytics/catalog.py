@@ -45,8 +45,13 @@ def _lines(spark, d):
                                      td.ab_products(spark, d))
 
 
+def _order_metrics(spark, d):
+    return experiment.ab_order_metrics_preagg(td.ab_users_data(spark, d), td.ab_orders(spark, d),
+                                              td.ab_products(spark, d))
+
+
 def _metrics_long(spark, d):
-    return experiment.metric_long_from_lines(_lines(spark, d))
+    return experiment.metric_long_from_order_metrics(_order_metrics(spark, d))
 
 
 def _rfm_base(spark, d):
@@ -160,24 +165,28 @@ def q_histogram_user_totals(spark, d):
     return r6(histogram.histogram_fixed(totals, "value", keys=["metric", "group"], bins=10))
 
 
+def q_ab_order_lines(spark, d):
+    return r6(_lines(spark, d))
+
+
 def q_ab_order_metrics(spark, d):
-    return r6(experiment.ab_order_metrics(_lines(spark, d)))
+    return r6(_order_metrics(spark, d))
 
 
 def q_ab_user_orders(spark, d):
-    return experiment.ab_user_orders(_lines(spark, d))
+    return experiment.ab_user_orders(_order_metrics(spark, d))
 
 
 def q_split_check(spark, d):
-    return experiment.split_check(experiment.ab_order_metrics(_lines(spark, d)))
+    return experiment.split_check(_order_metrics(spark, d))
 
 
 def q_group_summary(spark, d):
-    return r6(experiment.group_summary(experiment.ab_order_metrics(_lines(spark, d))))
+    return r6(experiment.group_summary(_order_metrics(spark, d)))
 
 
 def q_cumulative_orders(spark, d):
-    return experiment.cumulative_orders(experiment.ab_order_metrics(_lines(spark, d)))
+    return experiment.cumulative_orders(_order_metrics(spark, d))
 
 
 def q_cancel_rate(spark, d):

@@ -52,6 +52,26 @@ def ab_order_metrics(lines: DataFrame, money_decimals: int | None = 6) -> DataFr
         F.count("product_id").alias("number_of_products"), s.alias("sum_price"))
 
 
+def ab_order_metrics_preagg(users: DataFrame, ab_orders: DataFrame, products: DataFrame,
+                            exclude_cancelled: bool = False,
+                            money_decimals: int | None = 6) -> DataFrame:
+    """X2 computed without materialising the line-level join: product lines are
+    priced and summed per order first (partial + final aggregate), then joined
+    to the create actions with one row per order on each side, so neither a
+    hot order nor a hot product can skew the large join.  Same result as
+    ``ab_order_metrics(ab_order_lines(...))``."""
+    p = products.select("product_id", "price")
+    per_order = (order_products(ab_orders).join(p, "product_id")
+                 .groupBy("order_id").agg(F.count("product_id").alias("_n"),
+                                          F.sum("price").alias("_s")))
+    u = created_orders(users, exclude_cancelled).select("user_id", "order_id", "date", "group")
+    s = F.coalesce(F.sum("_s"), F.lit(0.0))
+    if money_decimals is not None:
+        s = F.round(s, money_decimals)
+    return u.join(per_order, "order_id").groupBy("user_id", "group", "order_id", "date").agg(
+        F.sum("_n").alias("number_of_products"), s.alias("sum_price"))
+
+
 def ab_user_orders(lines: DataFrame) -> DataFrame:
     """Per (user, group): distinct orders.
 
@@ -118,11 +138,16 @@ def metric_long(order_metrics: DataFrame, user_orders: DataFrame | None = None,
 
 def metric_long_from_lines(lines: DataFrame, money_decimals: int | None = 6) -> DataFrame:
     """Long frame of sum_price, number_of_products (per order) and orders (per
-    user) as ONE chain over the order lines: the per-order aggregate (X2) is
-    re-aggregated with GROUPING SETS ((user, group, order, date), (user, group)),
-    so both granularities come from a single scan and shuffle of the input and
-    no distinct-count rewrite is needed (each order is one row already)."""
-    om = ab_order_metrics(lines, money_decimals)
+    user) from the order lines; see :func:`metric_long_from_order_metrics`."""
+    return metric_long_from_order_metrics(ab_order_metrics(lines, money_decimals))
+
+
+def metric_long_from_order_metrics(om: DataFrame) -> DataFrame:
+    """Long frame of sum_price, number_of_products (per order) and orders (per
+    user) as ONE chain: the per-order aggregate (X2) is re-aggregated with
+    GROUPING SETS ((user, group, order, date), (user, group)), so both
+    granularities come from a single scan and shuffle of the input and no
+    distinct-count rewrite is needed (each order is one row already)."""
     agg = om.groupingSets(
         [["user_id", "group", "order_id", "date"], ["user_id", "group"]],
         "user_id", "group", "order_id", "date").agg(

@@ -27,15 +27,17 @@ def order_values(cust_orders: DataFrame, order_items: DataFrame,
                  excluded_statuses: Sequence[str] = REFERENCE_EXCLUDED_STATUSES) -> DataFrame:
     """Per paid order: (order_id, order_purchase_timestamp, person, price).
 
-    Sum of item prices; an order whose prices are all NULL sums to 0.0 (D4).
-    The aggregate runs on the join's order_id partitioning.
+    Item prices are summed per order *before* the join (partial + final
+    aggregate), so the join sees one row per order on both sides: an order
+    with a huge number of items cannot skew it, and the aggregate's order_id
+    partitioning is reused by the join.  An order whose prices are all NULL
+    sums to 0.0 (D4); orders without items drop out as in an inner join.
     """
     o = paid(cust_orders, excluded_statuses).select(
         "order_id", "order_purchase_timestamp", _P)
-    items = order_items.select("order_id", "price")
-    return (o.join(items, "order_id")
-            .groupBy("order_id", "order_purchase_timestamp", _P)
-            .agg(F.coalesce(F.sum("price"), F.lit(0.0)).alias("price")))
+    totals = order_items.groupBy("order_id").agg(
+        F.coalesce(F.sum("price"), F.lit(0.0)).alias("price"))
+    return o.join(totals, "order_id")
 
 
 def rfm_base(cust_orders: DataFrame, order_items: DataFrame, as_of, period_days: int = 7 * 365,

@@ -343,6 +343,11 @@ allm AS (SELECT * FROM long UNION ALL SELECT * FROM logs),
 src AS (SELECT metric, grp AS "group", user_id, sum(value) AS value FROM allm GROUP BY metric, grp, user_id)""",
         "value", ["metric", '"group"'], False, 10),
 
+    "ab_order_lines": f"""
+WITH {AB}
+SELECT product_id, user_id, order_id, 'create_order' AS action, date, grp AS "group", round(price, 6) AS price
+FROM lines""",
+
     "ab_order_metrics": f"""
 WITH {AB}
 SELECT user_id, grp AS "group", order_id, date, number_of_products, round(sum_price, 6) AS sum_price FROM om""",
