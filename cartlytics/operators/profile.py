@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlytics.plans.ordered import quantiles_wide
@@ -67,8 +67,10 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False,
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(
         F.count(F.lit(1)).alias("count"))
     if normalize:
-        pct = F.col("count") * 100.0 / F.sum("count").over(
-            Window.partitionBy())
+        # total as a scalar subquery: no window without partition keys, so a
+        # high-cardinality column never lands in one partition
+        total = counts.agg(F.sum("count").alias("t")).select("t").scalar()
+        pct = F.col("count") * 100.0 / total
         counts = counts.withColumn("percentage", F.bround(pct, decimals) if decimals is not None else pct)
     return counts
 

@@ -100,7 +100,9 @@ def rfm_segments(scores: DataFrame, rules=RFM_SEGMENT_RULES) -> DataFrame:
 def segment_shares(segments: DataFrame, decimals: int = 3) -> DataFrame:
     """R10 / PRF7: percent of people per segment.
 
-    The window runs over the aggregated rows (one per segment).
+    The total is a window over the aggregated rows: at most 125 codes + 5
+    labels exist, so the one partition it uses is bounded by construction
+    (a scalar subquery here would re-plan the nested RFM subqueries).
     """
     counts = segments.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"))
     total = F.sum("customers").over(Window.partitionBy())
