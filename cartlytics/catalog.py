@@ -233,29 +233,46 @@ def q_bootstrap_mean_ci(spark, d):
 
 
 def q_ab_test_pvalues(spark, d):
-    """Every test with its p-value (the p-value step is a UDF: rows-only check)."""
+    """Every test with its p-value.  Statistic rows of all tests are unioned
+    first and the p-value UDF runs once over them (rows-only check: the tail
+    functions are unit-tested against commons-math)."""
     long = experiment.log_metric(_metrics_long(spark, d))
-    sel = ["test", "metric", "group", "statistic", "p_value"]
-    nul = F.lit(None).cast("int")
+    nul_i, nul_d = F.lit(None).cast("int"), F.lit(None).cast("double")
+
+    def rows(df, test, stat, kind, df1=None, df2=None, group=None):
+        return df.select(F.lit(test).alias("test"), "metric",
+                         (F.col(group) if group else nul_i).alias("group"),
+                         F.col(stat).cast("double").alias("statistic"), F.lit(kind).alias("_kind"),
+                         (F.col(df1).cast("double") if df1 else nul_d).alias("_df1"),
+                         (F.col(df2).cast("double") if df2 else nul_d).alias("_df2"))
+
+    chi = abtests.chi2_independence(td.ab_users_data(spark, d), "group", "action", with_p=False) \
+        .withColumn("metric", F.lit("cancel_share"))
     parts = [
-        abtests.t_test(long, True).select(F.lit("t_pooled").alias("test"), "metric", nul.alias("group"),
-                                          F.col("t").alias("statistic"), "p_value"),
-        abtests.t_test(long, False).select(F.lit("t_welch").alias("test"), "metric", nul.alias("group"),
-                                           F.col("t").alias("statistic"), "p_value"),
-        abtests.levene(long).select(F.lit("levene").alias("test"), "metric", nul.alias("group"),
-                                    F.col("w").alias("statistic"), "p_value"),
-        abtests.mann_whitney(long).select(F.lit("mann_whitney").alias("test"), "metric",
-                                          nul.alias("group"), F.col("u_a").alias("statistic"), "p_value"),
-        abtests.normality(long).select(F.lit("normality").alias("test"), "metric", "group",
-                                       F.col("k2").alias("statistic"), "p_value"),
-        abtests.chi2_independence(td.ab_users_data(spark, d), "group", "action").select(
-            F.lit("chi2").alias("test"), F.lit("cancel_share").alias("metric"), nul.alias("group"),
-            "statistic", "p_value"),
+        rows(abtests.t_test(long, True, with_p=False), "t_pooled", "t", "t", "df"),
+        rows(abtests.t_test(long, False, with_p=False), "t_welch", "t", "t", "df"),
+        rows(abtests.levene(long, with_p=False), "levene", "w", "f", "df1", "df2"),
+        None,
+        rows(abtests.normality(long, with_p=False), "normality", "k2", "k2", group="group"),
+        rows(chi, "chi2", "statistic", "chi2", "dof"),
     ]
+    # Mann-Whitney's p comes from its z, not from U: carry z in the df1 slot
+    mw = abtests.mann_whitney(long, with_p=False)
+    parts[3] = mw.select(F.lit("mann_whitney").alias("test"), "metric", nul_i.alias("group"),
+                         F.col("u_a").cast("double").alias("statistic"), F.lit("z").alias("_kind"),
+                         F.col("z").cast("double").alias("_df1"), nul_d.alias("_df2"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return r6(out.select(*sel))
+    stat_for_p = F.when(F.col("_kind") == "z", F.col("_df1")).otherwise(F.col("statistic"))
+    return r6(out.withColumn("p_value", _p_by_kind(stat_for_p)).select(
+        "test", "metric", "group", "statistic", "p_value"))
+
+
+def _p_by_kind(stat):
+    from cartlytics.functions.pvalues import p_value_kind_col
+    p = p_value_kind_col(F.col("_kind"), stat, F.col("_df1"), F.col("_df2"))
+    return F.when(F.col("_kind") == "z", F.least(F.lit(1.0), p)).otherwise(p)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -181,6 +181,13 @@ def p_value_col(kind: str, stat, df1=None, df2=None) -> Column:
     return F.nanvl(_p_value_udf(F.lit(kind), c(stat), c(df1), c(df2)), F.lit(None).cast("double"))
 
 
+def p_value_kind_col(kind: Column, stat: Column, df1: Column, df2: Column) -> Column:
+    """Like :func:`p_value_col` with the test kind as a column, so one UDF
+    evaluation serves a union of different tests."""
+    return F.nanvl(_p_value_udf(kind, stat.cast("double"), df1.cast("double"), df2.cast("double")),
+                   F.lit(None).cast("double"))
+
+
 @F.pandas_udf(T.DoubleType())
 def _normal_ppf_udf(p: pd.Series) -> pd.Series:
     return pd.Series([normal_ppf(float(v)) if v == v else float("nan") for v in p], dtype="float64")

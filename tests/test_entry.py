@@ -49,3 +49,17 @@ def test_query_matches_oracle(spark, duck, name):
     idx = [rel.columns.index(c) for c in cols]
     want = [tuple(r[i] for i in idx) for r in rel.fetchall()]
     assert _canon(got) == _canon(want)
+
+
+def test_pvalue_report_matches_operators(spark):
+    from cartlytics import catalog as C
+    from cartlytics.operators import abtests, experiment
+    rep = {(r.test, r.metric, r.group): r for r in E.queries()["ab_test_pvalues"](spark, SF).collect()}
+    assert all(r.p_value is None or 0.0 <= r.p_value <= 1.0 for r in rep.values())
+    long = experiment.log_metric(C._metrics_long(spark, SF))
+    for r in abtests.t_test(long, equal_var=False).collect():
+        assert rep[("t_welch", r.metric, None)].p_value == pytest.approx(r.p_value, abs=1e-6)
+    for r in abtests.mann_whitney(long).collect():
+        assert rep[("mann_whitney", r.metric, None)].p_value == pytest.approx(r.p_value, abs=1e-6)
+    for r in abtests.levene(long).collect():
+        assert rep[("levene", r.metric, None)].p_value == pytest.approx(r.p_value, abs=1e-6)
