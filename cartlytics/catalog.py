@@ -93,6 +93,14 @@ def q_value_counts_status(spark, d):
     return profile.value_counts(td.orders(spark, d), "order_status")
 
 
+def q_orders_shape(spark, d):
+    return profile.shape(td.orders(spark, d))
+
+
+def q_status_shares(spark, d):
+    return r6(profile.value_counts(td.orders(spark, d), "order_status", normalize=True, decimals=3))
+
+
 def q_inner_join_customer_orders(spark, d):
     return _co(spark, d)
 
@@ -189,6 +197,16 @@ def q_cumulative_orders(spark, d):
     return experiment.cumulative_orders(_order_metrics(spark, d))
 
 
+def q_group_summary_excl_cancelled(spark, d):
+    om = experiment.ab_order_metrics_preagg(td.ab_users_data(spark, d), td.ab_orders(spark, d),
+                                            td.ab_products(spark, d), exclude_cancelled=True)
+    return r6(experiment.group_summary(om))
+
+
+def q_log_dropped(spark, d):
+    return experiment.log_dropped(_metrics_long(spark, d))
+
+
 def q_cancel_rate(spark, d):
     return r6(experiment.cancel_rate(td.ab_users_data(spark, d)))
 

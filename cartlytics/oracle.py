@@ -249,6 +249,14 @@ WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus""",
 
     "inner_join_customer_orders": f"WITH {CO} SELECT * FROM co",
 
+    "orders_shape": "SELECT count(*) AS \"rows\", 4 AS \"columns\" FROM orders",
+
+    "status_shares": """
+WITH c AS (SELECT o_orderstatus AS order_status, count(*) AS n FROM orders
+           WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus)
+SELECT order_status, n AS "count", round(round_even(CAST(n AS DOUBLE) * 100 / sum(n) OVER (), 3), 6) AS percentage
+FROM c""",
+
     "items_join": f"""
 WITH {ITEMS}
 SELECT o.o_orderkey AS order_id, o.o_orderstatus AS order_status, o.o_orderdate AS order_purchase_timestamp,
@@ -374,6 +382,27 @@ SELECT grp AS "group", date, orders,
             AS BIGINT) AS cumulative_orders
 FROM d""",
 
+    "group_summary_excl_cancelled": f"""
+WITH {AB},
+kept AS (SELECT * FROM users u WHERE action = 'create_order'
+         AND NOT EXISTS (SELECT 1 FROM users x WHERE x.action = 'cancel_order' AND x.order_id = u.order_id)),
+l2 AS (SELECT k.user_id, k.grp, k.order_id, k.date, op.product_id, p.p_retailprice AS price
+       FROM kept k JOIN op ON k.order_id = op.order_id JOIN part p ON p.p_partkey = op.product_id),
+om2 AS (SELECT user_id, grp, order_id, date, count(product_id) AS number_of_products,
+               round(coalesce(sum(price), 0), 6) AS sum_price FROM l2 GROUP BY user_id, grp, order_id, date),
+s AS (SELECT grp, sum(sum_price) AS revenue, round_even(avg(sum_price), 2) AS mean_check,
+             count(DISTINCT order_id) AS orders, round_even(avg(number_of_products), 2) AS mean_products
+      FROM om2 GROUP BY grp)
+SELECT grp AS "group", round(revenue, 6) AS revenue, round(mean_check, 6) AS mean_check, orders,
+       round(mean_products, 6) AS mean_products,
+       round(revenue * 100 / (SELECT max(revenue) FROM s WHERE grp = 0) - 100, 6) AS uplift_pct
+FROM s""",
+
+    "log_dropped": f"""
+WITH {AB}
+SELECT metric, grp AS "group", count(*) FILTER (WHERE value IS NULL OR value <= 0) AS dropped
+FROM long GROUP BY metric, grp""",
+
     "cancel_rate": f"""
 WITH {AB},
 c AS (SELECT grp, count(*) FILTER (WHERE action = 'create_order') AS created,
