@@ -35,6 +35,21 @@ def read_csv_table(spark: SparkSession, path: str, name: str,
     return df.withColumns(fixes) if fixes else df
 
 
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """SRC3: one parquet table of the driver's test data."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    """SRC3: one parquet table of the driver's test data.
+
+    Parquet schema inference runs a footer-reading job; the inferred schema is
+    remembered per (session, path) so later reads of the same table skip it.
+    Only the schema is cached: every read still lists the files afresh.
+    """
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    key = (str(id(spark)), path)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
