@@ -171,11 +171,21 @@ def metric_long_from_order_metrics(om: DataFrame) -> DataFrame:
 
 def log_metric(long: DataFrame, suffix: str = "_log", keep_original: bool = True) -> DataFrame:
     """ln(value) as metric '<name>_log'.  ln of a value <= 0 is NULL and the
-    row is dropped (D5); see :func:`log_dropped` for the count."""
-    logs = (long.withColumn("metric", F.concat(F.col("metric"), F.lit(suffix)))
-                .withColumn("value", F.when(F.col("value") > 0, F.ln("value")))
-                .where(F.col("value").isNotNull()))
-    return long.unionByName(logs) if keep_original else logs
+    row is dropped (D5); see :func:`log_dropped` for the count.
+
+    Original and log rows come out of one ``explode`` (no union), so the input
+    is computed once whatever the optimizer does with each branch.
+    """
+    logv = F.when(F.col("value") > 0, F.ln("value"))
+    recs = [F.struct(F.concat(F.col("metric"), F.lit(suffix)).alias("metric"),
+                     logv.alias("value"), F.lit(True).alias("is_log"))]
+    if keep_original:
+        recs.insert(0, F.struct(F.col("metric"), F.col("value").cast("double").alias("value"),
+                                F.lit(False).alias("is_log")))
+    others = [c for c in long.columns if c not in ("metric", "value")]
+    out = long.select(*others, F.explode(F.array(*recs)).alias("_r"))
+    out = out.where(~F.col("_r.is_log") | F.col("_r.value").isNotNull())
+    return out.select(F.col("_r.metric").alias("metric"), *others, F.col("_r.value").alias("value"))
 
 
 def log_dropped(long: DataFrame) -> DataFrame:
