@@ -258,6 +258,7 @@ def q_ab_test_pvalues(spark, d):
     nul_i, nul_d = F.lit(None).cast("int"), F.lit(None).cast("double")
 
     def rows(df, test, stat, kind, df1=None, df2=None, group=None):
+        # for kind 'z' (Mann-Whitney) the p-value comes from z, carried in _df1
         return df.select(F.lit(test).alias("test"), "metric",
                          (F.col(group) if group else nul_i).alias("group"),
                          F.col(stat).cast("double").alias("statistic"), F.lit(kind).alias("_kind"),
@@ -270,15 +271,10 @@ def q_ab_test_pvalues(spark, d):
         rows(abtests.t_test(long, True, with_p=False), "t_pooled", "t", "t", "df"),
         rows(abtests.t_test(long, False, with_p=False), "t_welch", "t", "t", "df"),
         rows(abtests.levene(long, with_p=False), "levene", "w", "f", "df1", "df2"),
-        None,
+        rows(abtests.mann_whitney(long, with_p=False), "mann_whitney", "u_a", "z", "z"),
         rows(abtests.normality(long, with_p=False), "normality", "k2", "k2", group="group"),
         rows(chi, "chi2", "statistic", "chi2", "dof"),
     ]
-    # Mann-Whitney's p comes from its z, not from U: carry z in the df1 slot
-    mw = abtests.mann_whitney(long, with_p=False)
-    parts[3] = mw.select(F.lit("mann_whitney").alias("test"), "metric", nul_i.alias("group"),
-                         F.col("u_a").cast("double").alias("statistic"), F.lit("z").alias("_kind"),
-                         F.col("z").cast("double").alias("_df1"), nul_d.alias("_df2"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
