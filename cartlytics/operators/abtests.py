@@ -39,11 +39,11 @@ def t_test(long: DataFrame, equal_var: bool = True, a=0, b=1, with_p: bool = Tru
     if equal_var:
         dof = na + nb - 2.0
         sp2 = ((na - 1.0) * va + (nb - 1.0) * vb) / dof
-        t = diff / F.sqrt(sp2 * (1.0 / na + 1.0 / nb))
+        t = F.try_divide(diff, F.sqrt(sp2 * (1.0 / na + 1.0 / nb)))
     else:
         sa, sb = va / na, vb / nb
-        t = diff / F.sqrt(sa + sb)
-        dof = (sa + sb) * (sa + sb) / (sa * sa / (na - 1.0) + sb * sb / (nb - 1.0))
+        t = F.try_divide(diff, F.sqrt(sa + sb))
+        dof = F.try_divide((sa + sb) * (sa + sb), sa * sa / (na - 1.0) + sb * sb / (nb - 1.0))
     out = m.select("metric", "n_a", "n_b", "mean_a", "mean_b", t.alias("t"), dof.alias("df"))
     if with_p:
         out = out.withColumn("p_value", p_value_col("t", "t", "df"))
@@ -53,12 +53,17 @@ def t_test(long: DataFrame, equal_var: bool = True, a=0, b=1, with_p: bool = Tru
 def normality(long: DataFrame, alpha: float = 0.05, with_p: bool = True,
               value: str = "value") -> DataFrame:
     """D'Agostino-Pearson K^2 per (metric, group) from population skewness
-    and excess kurtosis (one aggregation); p = exp(-K^2 / 2) is closed form."""
+    and excess kurtosis (one aggregation); p = exp(-K^2 / 2) is closed form.
+    Groups with fewer than 8 values get NULL statistics (the skewness test is
+    not defined there)."""
     s = long.where(F.col(value).isNotNull()).groupBy("metric", "group").agg(
         F.count(value).alias("n"), F.skewness(value).alias("skew"),
         F.kurtosis(value).alias("kurt"))
+    ok = F.col("n") >= 8
     out = s.select("metric", "group", "n", "skew", "kurt",
-                   *dagostino_columns(F.col("n").cast("double"), F.col("skew"), F.col("kurt")))
+                   *[F.when(ok, c).alias(c_name) for c, c_name in zip(
+                       dagostino_columns(F.col("n").cast("double"), F.col("skew"), F.col("kurt")),
+                       ["z_skew", "z_kurt", "k2"])])
     out = out.withColumn("p_value", F.exp(-F.col("k2") / 2.0))
     return out.withColumn("normal", F.col("p_value") > alpha) if with_p else out
 
@@ -102,7 +107,8 @@ def levene(long: DataFrame, alpha: float = 0.05, with_p: bool = True, value: str
         F.sum(F.col("_n") * (F.col("_zbar") - F.col("_zall")) * (F.col("_zbar") - F.col("_zall"))).alias("_between"),
         F.sum("_ss").alias("_within"))
     out = out.select("metric", "n", "k",
-                     ((F.col("n") - F.col("k")) / (F.col("k") - 1) * F.col("_between") / F.col("_within")).alias("w"),
+                     F.try_divide((F.col("n") - F.col("k")) * F.col("_between"),
+                                  (F.col("k") - 1) * F.col("_within")).alias("w"),
                      (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"))
     if with_p:
         out = out.withColumn("p_value", p_value_col("f", "w", "df1", "df2")) \
@@ -129,8 +135,9 @@ def mann_whitney(long: DataFrame, a=0, b=1, with_p: bool = True, value: str = "v
     mu = na * nb / 2.0
     sd = F.sqrt(na * nb / 12.0 * ((n + 1.0) - F.col("_ties") / (n * (n - 1.0))))
     out = s.select("metric", "n_a", "n_b", u_a.alias("u_a"), mu.alias("_mu"), sd.alias("_sd"))
-    out = out.withColumn("z", (F.greatest(F.col("u_a"), na * nb - F.col("u_a")) - F.col("_mu") - 0.5)
-                         / F.col("_sd")).drop("_mu", "_sd")
+    out = out.withColumn("z", F.try_divide(
+        F.greatest(F.col("u_a"), na * nb - F.col("u_a")) - F.col("_mu") - 0.5, F.col("_sd"))
+    ).drop("_mu", "_sd")
     if with_p:
         out = out.withColumn("p_value", F.least(F.lit(1.0), p_value_col("z", "z")))
     return out

@@ -173,8 +173,10 @@ z4 AS (
   SELECT *, (1 - 2 / (9 * a) - sign(d) * cbrt((1 - 2 / a) / abs(d))) / sqrt(2 / (9 * a)) AS z_kurt FROM z3),
 z5 AS (SELECT *, z_skew * z_skew + z_kurt * z_kurt AS k2 FROM z4)
 SELECT metric, grp AS "group", n, round(g1, 6) AS skew, round(ek, 6) AS kurt,
-       round(z_skew, 6) AS z_skew, round(z_kurt, 6) AS z_kurt, round(k2, 6) AS k2,
-       round(exp(-k2 / 2), 6) AS p_value, exp(-k2 / 2) > 0.05 AS normal
+       CASE WHEN n >= 8 THEN round(z_skew, 6) END AS z_skew, CASE WHEN n >= 8 THEN round(z_kurt, 6) END AS z_kurt,
+       CASE WHEN n >= 8 THEN round(k2, 6) END AS k2,
+       CASE WHEN n >= 8 THEN round(exp(-k2 / 2), 6) END AS p_value,
+       CASE WHEN n >= 8 THEN exp(-k2 / 2) > 0.05 END AS normal
 FROM z5"""
 
 

@@ -115,3 +115,12 @@ def test_methods_agree_on_clear_difference(spark):
     long = long_df(spark, [g0, g1])
     assert abtests.t_test(long, equal_var=False).first().p_value < 0.01
     assert abtests.mann_whitney(long, n_buckets=8).first().p_value < 0.01
+
+
+def test_degenerate_groups_give_null_not_errors(spark):
+    long = long_df(spark, [[5, 5, 5], [5, 5]])
+    assert abtests.t_test(long, True).first().t is None
+    assert abtests.t_test(long, False).first().t is None
+    assert abtests.mann_whitney(long, n_buckets=2).first().z is None
+    assert abtests.levene(long, n_buckets=2).first().w is None
+    assert all(r.k2 is None for r in abtests.normality(long).collect())
