@@ -77,28 +77,19 @@ class Ranked:
     keys: list[str]
 
 
-def _with_bucket(df: DataFrame, splits: str, value: str, n_buckets: int,
-                 from_subquery: bool) -> DataFrame:
-    """Add ``_bucket`` = number of split points < value (binary search, log2(B)
-    steps).  When the splits arrive as a joined column the search is one
-    ``aggregate`` expression; a scalar subquery may not be referenced inside a
-    higher-order function, so then the steps are unrolled into projections."""
-    steps = []
-    step = n_buckets // 2
-    while step >= 1:
-        steps.append(step)
-        step //= 2
+def _with_bucket(df: DataFrame, splits: str, value: str, n_buckets: int) -> DataFrame:
+    """Add ``_bucket`` = number of split points < value: a binary search of
+    log2(B) steps unrolled into plain CASE WHEN projections, which stay inside
+    whole-stage codegen (a higher-order ``aggregate`` would be interpreted per
+    row, and may not reference a scalar subquery at all)."""
     sp, v = F.col(splits), F.col(value)
-    if not from_subquery:
-        search = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0),
-                             lambda acc, st: F.when(F.element_at(sp, acc + st) < v, acc + st)
-                             .otherwise(acc))
-        return df.withColumn("_bucket", search).drop(splits)
     out = df.withColumn("_bucket", F.lit(0))
-    for st in steps:
-        probe = F.col("_bucket") + F.lit(st)
+    step = n_buckets // 2
+    while step >= 1:
+        probe = F.col("_bucket") + F.lit(step)
         out = out.withColumn("_bucket", F.when(F.element_at(sp, probe) < v, probe)
                              .otherwise(F.col("_bucket")))
+        step //= 2
     return out.drop(splits)
 
 
@@ -115,7 +106,7 @@ def _bucketed(df: DataFrame, value: str, keys: list[str], counts, b: int, accura
     # instead of scanning it once per consumer.
     splits = d.groupBy(*keys).agg(F.percentile_approx(
         F.when(F.col("n") > 0, F.col(value)), probs, accuracy).alias("_splits"))
-    db = _with_bucket(attach(d, splits, keys), "_splits", value, b, from_subquery=not keys)
+    db = _with_bucket(attach(d, splits, keys), "_splits", value, b)
     per_bucket = db.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_bn"))
     per_key = per_bucket.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_bucket", "_bn"))).alias("_m"),
