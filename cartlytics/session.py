@@ -49,8 +49,9 @@ def build_session(master: str | None = None, app: str = "cartlytics",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``.  Only a local-mode
+    session without that setting (tests) gets a fresh scratch folder; on a
+    cluster an unset directory is an error, never a machine-local path."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect sessions have no SparkContext
@@ -63,6 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:
         configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        # local mode only (tests): driver and executors share this machine
         configured = tempfile.mkdtemp(prefix="cartlytics-ckpt-",
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     if sc is not None:
