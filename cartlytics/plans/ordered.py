@@ -37,18 +37,20 @@ MAX_BUCKETS = 4096
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Power of two near 4x the shuffle partition count, within [64, 4096].
+    """Next power of two >= the shuffle partition count, within [64, 4096].
 
-    The cap keeps the split sketch and the per-key offset array small (the
-    offsets are built in O(B^2) array work on one row per key); with 4096
-    buckets a window partition holds ~1/4096 of a key's distinct values.
+    Buckets are balanced by distinct values (approximate split points), so one
+    bucket per shuffle partition spreads the per-bucket windows evenly; the cap
+    keeps the split sketch and the per-key offset array small (built in O(B^2)
+    array work on one row per key).  With 4096 buckets a window partition holds
+    ~1/4096 of a key's distinct values.
     """
     try:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover
         parts = 200
     b = 64
-    while b < 4 * parts and b < MAX_BUCKETS:
+    while b < parts and b < MAX_BUCKETS:
         b *= 2
     return b
 
