@@ -43,16 +43,19 @@ def describe(df: DataFrame, columns: Sequence[str], n_buckets: int | None = None
 
 
 def describe_long(long: DataFrame, keys: Sequence[str], n_buckets: int | None = None,
-                  value: str = "value") -> DataFrame:
+                  value: str = "value", extra: Sequence[tuple[float, str]] = ()) -> DataFrame:
+    """Describe per key of a long frame; ``extra`` adds more exact quantiles
+    (q, column name) computed by the same ordered plan as the quartiles."""
     keys = list(keys)
     moments = long.groupBy(*keys).agg(
         F.count(value).alias("count"), F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
         F.max(value).alias("max"))
-    qs = quantiles_wide(long, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"],
-                        keys=keys, n_buckets=n_buckets)
+    probs = [0.25, 0.5, 0.75] + [q for q, _ in extra]
+    names = ["q25", "q50", "q75"] + [n for _, n in extra]
+    qs = quantiles_wide(long, value, probs, names, keys=keys, n_buckets=n_buckets)
     return moments.join(qs, keys, "left").select(
-        *keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+        *keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max", *[n for _, n in extra])
 
 
 def quantile(df: DataFrame, column: str, q: float, n_buckets: int | None = None) -> DataFrame:
@@ -93,12 +96,10 @@ def order_totals(order_items: DataFrame) -> DataFrame:
 
 
 def price_profile(order_items: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """Describe + p95 of item price and of order value, one job."""
+    """Describe + p95 of item price and of order value, one job with one
+    ordered-quantile plan for all quantiles."""
     items = order_items.select(F.lit("item_price").alias("column"),
                                F.col("price").cast("double").alias("value"))
     orders = order_totals(order_items).select(F.lit("order_value").alias("column"),
                                               F.col("price").alias("value"))
-    long = items.unionByName(orders)
-    d = describe_long(long, ["column"], n_buckets)
-    p95 = quantiles_wide(long, "value", [0.95], ["p95"], keys=["column"], n_buckets=n_buckets)
-    return d.join(p95, "column", "left")
+    return describe_long(items.unionByName(orders), ["column"], n_buckets, extra=[(0.95, "p95")])
