@@ -1,2 +1 @@
 from cartlytics.plans.ordered import ranked_values, exact_quantiles  # noqa: F401
-from cartlytics.plans.scalars import one_row  # noqa: F401
