@@ -44,6 +44,8 @@ def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = [tuple(r[c] for c in cols) for r in df.collect()]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     rel = duck.sql(E.oracle_sql()[name])
     assert sorted(rel.columns) == cols
     idx = [rel.columns.index(c) for c in cols]
