@@ -24,11 +24,16 @@ BOOT_SEED = 42
 
 
 def r6(df: DataFrame) -> DataFrame:
-    """Round every double column to 6 decimals (for hash comparison)."""
+    """Round every double column to 6 decimals (for hash comparison).
+
+    A first rounding at 10 decimals absorbs last-bit noise of floating sums, so
+    a value that is exactly on a 6-decimal tie rounds the same way however its
+    sum was ordered (the SQL oracle rounds a DECIMAL(38,10) the same way).
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`"), 6).alias(f.name))
+            cols.append(F.round(F.round(F.col(f"`{f.name}`"), 10), 6).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)

@@ -136,5 +136,10 @@ def relabel(code, rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def half_even(c, scale: int) -> Column:
-    """FN14: round half to even (pandas/numpy rounding, D7)."""
-    return F.bround(col_of(c), scale)
+    """FN14: round half to even (pandas/numpy rounding, D7).
+
+    The value is first rounded at 10 decimals so that last-bit noise of a
+    floating sum cannot move an exact tie (x.xx5) to one side.
+    """
+    c = col_of(c)
+    return F.bround(F.round(c, 10) if scale < 10 else c, scale)

@@ -481,3 +481,45 @@ SELECT metric, grp AS "group", CAST(replicate AS INTEGER) AS replicate,
 FROM wt GROUP BY metric, grp, replicate""",
 }
 SQL["cancel_rate_stream"] = SQL["cancel_rate"]
+
+
+def _decimal_rounding(sql: str) -> str:
+    """Rewrite round(x, 6) / round_even(x, k) to round a DECIMAL(38,10) of x and
+    return DOUBLE, mirroring ``catalog.r6`` (ties decided on the decimal value,
+    not on last-bit noise of a floating sum)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        name = "round_even" if sql.startswith("round_even(", j) else "round"
+        start = j + len(name)
+        if sql[start:start + 1] != "(" or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            out.append(sql[i:j + len(name)])
+            i = j + len(name)
+            continue
+        depth, k, comma = 0, start, None
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner, digits = sql[start + 1:comma], sql[comma + 1:k].strip()
+        if name == "round" and digits != "6":
+            out.append(sql[i:k + 1])
+            i = k + 1
+            continue
+        inner = _decimal_rounding(inner)
+        out.append(sql[i:j])
+        out.append(f"CAST({name}(CAST({inner} AS DECIMAL(38,10)), {digits}) AS DOUBLE)")
+        i = k + 1
+
+
+SQL = {name: _decimal_rounding(q) for name, q in SQL.items()}
