@@ -149,6 +149,11 @@ def q_best_cohort(spark, d):
     return r6(cohort.best_cohort(_retention(spark, d, "proper"), month_number=3))
 
 
+def q_best_cohort_compat(spark, d):
+    """R6 as the reference reads it: compat tables, third observed month."""
+    return r6(cohort.best_cohort(_retention(spark, d, "compat"), month_number=3, position="row"))
+
+
 def q_rfm_base(spark, d):
     return r6(_rfm_base(spark, d))
 

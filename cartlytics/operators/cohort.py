@@ -88,10 +88,22 @@ def cohort_retention(cust_orders: DataFrame,
                         half_even(F.try_divide(F.col("customers_quantity") * 100.0, base), decimals)))
 
 
-def best_cohort(retention: DataFrame, month_number: int = 3) -> DataFrame:
+def best_cohort(retention: DataFrame, month_number: int = 3, position: str = "offset") -> DataFrame:
     """cohort(s) with the highest percentage in their ``month_number``-th
-    month (offset month_number - 1); ties keep every tied cohort."""
-    at = retention.where(F.col("month_offset") == month_number - 1) \
-        .select("cohort", "percentage", "customers_quantity")
+    month; ties keep every tied cohort.
+
+    ``position="offset"``: the month at offset month_number - 1 from the cohort
+    month (proper retention).  ``position="row"``: the month_number-th observed
+    month of the cohort in calendar order, as read off the compat tables.  The
+    per-cohort window runs on aggregated (cohort, month) rows.
+    """
+    if position == "offset":
+        at = retention.where(F.col("month_offset") == month_number - 1)
+    elif position == "row":
+        rn = F.row_number().over(Window.partitionBy("cohort").orderBy("year_month"))
+        at = retention.withColumn("_rn", rn).where(F.col("_rn") == month_number)
+    else:
+        raise ValueError("position must be 'offset' or 'row'")
+    at = at.select("cohort", "percentage", "customers_quantity")
     top = at.agg(F.max("percentage").alias("m")).select("m").scalar()
     return at.where(F.col("percentage") == top)

@@ -322,6 +322,28 @@ FROM cnt""",
 WITH {CO}, {RETENTION},
 third AS (SELECT cohort, percentage, customers_quantity FROM ret WHERE month_offset = 2)
 SELECT cohort, round(percentage, 6) AS percentage, customers_quantity FROM third
+WHERE percentage = (SELECT max(percentage) FROM third)""",
+
+    "best_cohort_compat": f"""
+WITH {CO},
+cohorts AS (
+  SELECT customer_unique_id, CAST(date_trunc('month', min(order_purchase_timestamp)) AS DATE) AS cohort
+  FROM co WHERE {PAID} AND customer_unique_id IS NOT NULL GROUP BY customer_unique_id),
+act AS (
+  SELECT customer_unique_id, CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS year_month,
+         count(customer_unique_id) AS n
+  FROM co WHERE customer_unique_id IS NOT NULL GROUP BY customer_unique_id, year_month),
+cnt AS (
+  SELECT cohort, year_month, CAST(sum(n) AS BIGINT) AS customers_quantity
+  FROM act JOIN cohorts USING (customer_unique_id) GROUP BY cohort, year_month),
+ret AS (
+  SELECT cohort, year_month, customers_quantity,
+         round_even(CAST(customers_quantity AS DOUBLE) * 100
+                    / max(customers_quantity) OVER (PARTITION BY cohort), 2) AS percentage,
+         row_number() OVER (PARTITION BY cohort ORDER BY year_month) AS rn
+  FROM cnt),
+third AS (SELECT cohort, percentage, customers_quantity FROM ret WHERE rn = 3)
+SELECT cohort, round(percentage, 6) AS percentage, customers_quantity FROM third
 WHERE percentage = (SELECT max(percentage) FROM third)""",
 
     "rfm_base": f"WITH {CO}, {RFM_BASE} SELECT customer_unique_id, recency, frequency, round(monetary, 6) AS monetary FROM base",

@@ -109,3 +109,15 @@ def test_rfm_end_to_end(spark, cust_orders):
         assert 1 <= r.r <= 5 and 1 <= r.f <= 5 and 1 <= r.m <= 5
     shares = rfm.segment_shares(segs).collect()
     assert abs(sum(r.percentage for r in shares) - 100) < 1e-6
+
+
+def test_best_cohort_by_observed_row_in_compat_mode(cust_orders):
+    # person x: an unpaid order in Jan before the first paid order in Mar
+    data = [("o1", "x", "canceled", ts(2017, 1)), ("o2", "x", "delivered", ts(2017, 3)),
+            ("o3", "x", "delivered", ts(2017, 5)),
+            ("p1", "y", "delivered", ts(2017, 3)), ("p2", "y", "delivered", ts(2017, 4))]
+    compat = cohort.cohort_retention(cust_orders(data), mode="compat")
+    by_row = rows(cohort.best_cohort(compat, 3, position="row"), "cohort", "customers_quantity")
+    assert by_row == [(dt.date(2017, 3, 1), 1)]   # third observed month of the Mar cohort is Apr
+    by_offset = rows(cohort.best_cohort(compat, 3), "cohort", "customers_quantity")
+    assert by_offset == [(dt.date(2017, 3, 1), 1)]  # offset 2 is May
