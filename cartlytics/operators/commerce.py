@@ -53,17 +53,25 @@ def one_time_buyers(cust_orders: DataFrame,
 
 def undelivered_by_reason(cust_orders: DataFrame,
                           reasons: Sequence[str] = REFERENCE_UNDELIVERED_STATUSES,
-                          decimals: int = 2) -> DataFrame:
+                          decimals: int = 2, fill_missing_months: bool = False) -> DataFrame:
     """R2: average number of orders per month for each non-delivery status.
 
-    Months in which a status does not occur are not counted as zero (D8).
+    By default months in which a status does not occur are not counted (D8,
+    the reference's result); ``fill_missing_months`` averages over every
+    calendar month from the first to the last order month instead (zeros).
     """
     per_month = (cust_orders.where(F.col("order_status").isin(*reasons))
                  .groupBy(month_start("order_purchase_timestamp").alias("year_month"),
                           "order_status")
                  .agg(F.count("order_id").alias("n_orders")))
-    return per_month.groupBy("order_status").agg(
-        half_even(F.avg("n_orders"), decimals).alias("avg_canceled"))
+    if not fill_missing_months:
+        mean = F.avg("n_orders")
+    else:
+        span = cust_orders.agg(
+            (F.months_between(month_start(F.max("order_purchase_timestamp")),
+                              month_start(F.min("order_purchase_timestamp"))) + 1).alias("m"))
+        mean = F.sum("n_orders") / span.select("m").scalar()
+    return per_month.groupBy("order_status").agg(half_even(mean, decimals).alias("avg_canceled"))
 
 
 def top_weekday_per_product(orders: DataFrame, order_items: DataFrame,

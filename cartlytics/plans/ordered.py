@@ -184,11 +184,25 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         .alias("quantile"))
 
 
+def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float],
+                     keys: Sequence[str] = (), accuracy: int = 10000) -> DataFrame:
+    """Opt-in approximate quantiles (D6): ``percentile_approx`` sketches, one
+    aggregation; rank error at most n / accuracy.  Same long layout as
+    :func:`exact_quantiles`."""
+    keys = list(keys)
+    qs = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.percentile_approx(F.col(value).cast("double"), [float(p) for p in probs], accuracy).alias("_q"))
+    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("q"), F.col("_q").alias("quantile"))
+    return qs.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.q", "_p.quantile")
+
+
 def quantiles_wide(df: DataFrame, value: str, probs: Sequence[float],
                    names: Sequence[str], keys: Sequence[str] = (),
-                   n_buckets: int | None = None) -> DataFrame:
-    """Same as :func:`exact_quantiles`, one row per key and one column per q."""
-    long = exact_quantiles(df, value, probs, keys, n_buckets)
+                   n_buckets: int | None = None, approx: bool = False) -> DataFrame:
+    """Same as :func:`exact_quantiles` (or :func:`approx_quantiles` with
+    ``approx``), one row per key and one column per q."""
+    long = (approx_quantiles(df, value, probs, keys) if approx
+            else exact_quantiles(df, value, probs, keys, n_buckets))
     aggs = [F.max(F.when(F.col("q") == float(p), F.col("quantile"))).alias(nm)
             for p, nm in zip(probs, names)]
     return long.groupBy(*keys).agg(*aggs)

@@ -121,3 +121,11 @@ def test_best_cohort_by_observed_row_in_compat_mode(cust_orders):
     assert by_row == [(dt.date(2017, 3, 1), 1)]   # third observed month of the Mar cohort is Apr
     by_offset = rows(cohort.best_cohort(compat, 3), "cohort", "customers_quantity")
     assert by_offset == [(dt.date(2017, 3, 1), 1)]  # offset 2 is May
+
+
+def test_undelivered_fill_missing_months(cust_orders):
+    data = ([(f"c{i}", "x", "canceled", ts(2017, 1)) for i in range(2)]
+            + [(f"d{i}", "x", "canceled", ts(2017, 3)) for i in range(4)]
+            + [(f"u{i}", "x", "unavailable", ts(2017, 2)) for i in range(3)])
+    out = dict(rows(commerce.undelivered_by_reason(cust_orders(data), fill_missing_months=True)))
+    assert out == {"canceled": 2.0, "unavailable": 1.0}

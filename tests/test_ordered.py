@@ -52,3 +52,10 @@ def test_plan_has_no_single_partition_exchange_on_detail(spark):
     df = spark.range(0, 5000).selectExpr("cast(id % 977 as double) as v")
     plan = exact_quantiles(df, "v", [0.5], n_buckets=8)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from cartlytics.plans.ordered import approx_quantiles
+    df = spark.range(0, 10001).selectExpr("cast(id as double) as v", "id % 2 as k")
+    got = {(r.k, r.q): r.quantile for r in approx_quantiles(df, "v", [0.5, 0.9], keys=["k"]).collect()}
+    assert abs(got[(0, 0.5)] - 5000) <= 10 and abs(got[(1, 0.9)] - 9000) <= 10

@@ -50,3 +50,11 @@ def test_exclude_cancelled_option(spark):
     cancelled = users.where(F.col("action") == "cancel_order").select("order_id")
     assert kept.join(cancelled, "order_id").count() == 0
     assert kept.count() == users.where("action = 'create_order'").count() - cancelled.count()
+
+
+def test_split_check_approx_close(spark):
+    om = C._order_metrics(spark, SF)
+    exact = dict(rows(experiment.split_check(om)))
+    approx = dict(rows(experiment.split_check(om, approx=True)))
+    for g, n in exact.items():
+        assert abs(approx[g] - n) <= max(3, 0.05 * n)
