@@ -19,14 +19,26 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def group_stats(long: DataFrame, value: str = "value") -> DataFrame:
+    """Per (metric, group): n, mean, sample variance, population skewness and
+    excess kurtosis in ONE aggregation (partial + final); the t-tests and the
+    normality test read the same aggregate, so Spark computes it once."""
+    return long.where(F.col(value).isNotNull()).groupBy("metric", "group").agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"),
+        F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"))
+
+
 def group_moments(long: DataFrame, a=0, b=1, value: str = "value") -> DataFrame:
-    """Per metric: n, mean, sample variance of groups a and b (one pass)."""
+    """Per metric: n, mean, sample variance of groups a and b (pivot of the two
+    :func:`group_stats` rows of each metric)."""
+    g = group_stats(long, value)
     aggs = []
-    for tag, g in (("a", a), ("b", b)):
-        v = F.when(F.col("group") == g, F.col(value))
-        aggs += [F.count(v).alias(f"n_{tag}"), F.avg(v).alias(f"mean_{tag}"),
-                 F.var_samp(v).alias(f"var_{tag}")]
-    return long.where(F.col(value).isNotNull()).groupBy("metric").agg(*aggs)
+    for tag, grp in (("a", a), ("b", b)):
+        sel = F.col("group") == grp
+        aggs += [F.coalesce(F.max(F.when(sel, F.col("n"))), F.lit(0)).alias(f"n_{tag}"),
+                 F.max(F.when(sel, F.col("mean"))).alias(f"mean_{tag}"),
+                 F.max(F.when(sel, F.col("var"))).alias(f"var_{tag}")]
+    return g.groupBy("metric").agg(*aggs)
 
 
 def t_test(long: DataFrame, equal_var: bool = True, a=0, b=1, with_p: bool = True,
@@ -56,9 +68,7 @@ def normality(long: DataFrame, alpha: float = 0.05, with_p: bool = True,
     and excess kurtosis (one aggregation); p = exp(-K^2 / 2) is closed form.
     Groups with fewer than 8 values get NULL statistics (the skewness test is
     not defined there)."""
-    s = long.where(F.col(value).isNotNull()).groupBy("metric", "group").agg(
-        F.count(value).alias("n"), F.skewness(value).alias("skew"),
-        F.kurtosis(value).alias("kurt"))
+    s = group_stats(long, value)
     ok = F.col("n") >= 8
     out = s.select("metric", "group", "n", "skew", "kurt",
                    *[F.when(ok, c).alias(c_name) for c, c_name in zip(
