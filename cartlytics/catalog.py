@@ -318,4 +318,12 @@ def q_cancel_rate_stream(spark, d):
     return r6(run_to_table(spark, cancel_rate_stream(actions), "cancel_rate"))
 
 
+def q_daily_orders_stream(spark, d):
+    """X6's daily counts as a Structured Streaming query (watermarked dedup)."""
+    from cartlytics.streaming import daily_orders_stream, run_to_table
+    actions = td.ab_users_from_orders(_orders_stream(spark, d))
+    return run_to_table(spark, daily_orders_stream(actions), "daily_orders")
+
+
 QUERIES["cancel_rate_stream"] = q_cancel_rate_stream
+QUERIES["daily_orders_stream"] = q_daily_orders_stream

@@ -503,6 +503,10 @@ SELECT metric, grp AS "group", CAST(replicate AS INTEGER) AS replicate,
 FROM wt GROUP BY metric, grp, replicate""",
 }
 SQL["cancel_rate_stream"] = SQL["cancel_rate"]
+SQL["daily_orders_stream"] = f"""
+WITH {AB}
+SELECT grp AS "group", date, count(DISTINCT order_id) AS orders
+FROM users WHERE action = 'create_order' GROUP BY grp, date"""
 
 
 def _decimal_rounding(sql: str) -> str:
