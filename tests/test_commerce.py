@@ -129,3 +129,17 @@ def test_undelivered_fill_missing_months(cust_orders):
             + [(f"u{i}", "x", "unavailable", ts(2017, 2)) for i in range(3)])
     out = dict(rows(commerce.undelivered_by_reason(cust_orders(data), fill_missing_months=True)))
     assert out == {"canceled": 2.0, "unavailable": 1.0}
+
+
+def test_cohort_range_and_period_mapping(cust_orders):
+    data = ([(f"a{m}", "a", "delivered", ts(2017, m)) for m in range(1, 6)]
+            + [(f"b{m}", "b", "delivered", ts(2017, m)) for m in range(2, 6)])
+    co = cust_orders(data)
+    only_feb = rows(cohort.cohort_retention(co, cohort_from="2017-02-01", cohort_to="2017-02-28"),
+                    "cohort", "month_offset", "percentage")
+    assert only_feb == [(dt.date(2017, 2, 1), k, 100.0) for k in range(4)]
+    limited = cohort.cohort_retention(co, n_periods={"2017-01": 2, "2017-02": 3})
+    counts = {}
+    for r in limited.collect():
+        counts[r.cohort] = counts.get(r.cohort, 0) + 1
+    assert counts == {dt.date(2017, 1, 1): 2, dt.date(2017, 2, 1): 3}
