@@ -10,7 +10,8 @@ into ``n_blocks`` blocks per (metric, group) by a hash of their unit id
 ``n_blocks=None`` every row is its own unit (exact Poisson bootstrap, cost
 rows x n_resamples).
 
-Interval: bias-corrected percentile ("cper"): z0 = Phi^-1(share of replicates
+Interval: bias-corrected percentile ("cper", Phi and Phi^-1 as rational
+approximations evaluated JVM-side): z0 = Phi^-1(share of replicates
 below the estimate + half the share equal to it); limits are the replicate
 percentiles (linear interpolation) at Phi(2 z0 + z_{alpha/2}) and
 Phi(2 z0 + z_{1-alpha/2}).
@@ -23,7 +24,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlytics.functions.pvalues import normal_cdf_col, normal_ppf_col, normal_ppf
+from cartlytics.functions.columns import half_even
+from cartlytics.functions.normal import norm_cdf, norm_ppf
+from cartlytics.functions.pvalues import normal_ppf
 
 
 def _poisson1_cdf(kmax: int = 20) -> list[float]:
@@ -117,10 +120,11 @@ def bootstrap_mean_ci(long: DataFrame, unit: str = "unit_id", value: str = "valu
         F.count(F.lit(1)).alias("_r"))
     za = normal_ppf((1.0 - confidence) / 2.0)
     zb = normal_ppf(1.0 - (1.0 - confidence) / 2.0)
-    z0 = normal_ppf_col("_share")
-    lim = (share.withColumn("_z0", z0)
-                .withColumn("_a1", normal_cdf_col(2.0 * F.col("_z0") + za))
-                .withColumn("_a2", normal_cdf_col(2.0 * F.col("_z0") + zb)))
+    # Phi and Phi^-1 as arithmetic expressions (no Python); a share of 0 or 1
+    # gives NULL limits
+    lim = (share.withColumn("_z0", norm_ppf("_share"))
+                .withColumn("_a1", norm_cdf(2.0 * F.col("_z0") + za))
+                .withColumn("_a2", norm_cdf(2.0 * F.col("_z0") + zb)))
     # replicate percentiles: R rows per key (bounded by n_resamples)
     ranked = reps.withColumn("_i", F.row_number().over(
         Window.partitionBy(*keys).orderBy("mean")) - 1)
@@ -139,6 +143,6 @@ def bootstrap_mean_ci(long: DataFrame, unit: str = "unit_id", value: str = "valu
                                    F.max(F.when(F.col("side") == "hi", val)).alias("ci_high"))
     out = est.join(ci, keys)
     if decimals is not None:
-        out = out.withColumn("ci_low", F.bround("ci_low", decimals)) \
-                 .withColumn("ci_high", F.bround("ci_high", decimals))
+        out = out.withColumn("ci_low", half_even("ci_low", decimals)) \
+                 .withColumn("ci_high", half_even("ci_high", decimals))
     return out

@@ -9,8 +9,13 @@ Doubles are rounded to 6 decimals like ``catalog.r6``.
 from __future__ import annotations
 
 from cartlytics.catalog import BOOT_BLOCKS, BOOT_RESAMPLES, BOOT_SEED
+from statistics import NormalDist
+
+from cartlytics.functions.normal import sql_norm_cdf, sql_norm_ppf
 from cartlytics.operators.bootstrap import POISSON1_CDF
 
+_normal = NormalDist()
+
 AS_OF = "DATE '2001-08-02'"
 PERIOD = 1095
 PAID = "order_status IS DISTINCT FROM 'P'"
@@ -211,6 +216,21 @@ def _md5_int(expr: str) -> str:
     return f"CAST(('0x' || substr(md5({expr}), 1, 13)) AS BIGINT)"
 
 
+BOOT = f"""blk AS (
+  SELECT metric, grp, {_md5_int(f"'{BOOT_SEED}:' || CAST(unit_id AS VARCHAR)")} % {BOOT_BLOCKS} AS u,
+         sum(value) AS s, CAST(count(*) AS DOUBLE) AS c
+  FROM long WHERE value IS NOT NULL GROUP BY metric, grp, u),
+rep AS (SELECT blk.*, r.range AS replicate FROM blk CROSS JOIN range(0, {BOOT_RESAMPLES}) r),
+wt AS (
+  SELECT *, {_poisson_case(f"CAST({_md5_int(f"'{BOOT_SEED}:' || CAST(u AS VARCHAR) || ':' || CAST(replicate AS VARCHAR)")} AS DOUBLE) / CAST(4503599627370496 AS DOUBLE)")} AS w
+  FROM rep),
+reps AS (SELECT metric, grp, replicate, sum(w * s) / sum(w * c) AS mean FROM wt GROUP BY metric, grp, replicate)"""
+
+# the same expressions as bootstrap_mean_ci(confidence=0.95)
+_ZA = _normal.inv_cdf((1.0 - 0.95) / 2.0)
+_ZB = _normal.inv_cdf(1.0 - (1.0 - 0.95) / 2.0)
+
+
 SQL: dict[str, str] = {
     "null_profile": """
 SELECT 'order_id' AS "column", count(*) - count(o_orderkey) AS null_count FROM orders
@@ -489,18 +509,42 @@ SELECT round(sum(CASE WHEN dof.dof = 1 THEN (abs(o - e) - least(0.5, abs(o - e))
 FROM cells CROSS JOIN dof""",
 
     "bootstrap_replicates": f"""
-WITH {AB},
-blk AS (
-  SELECT metric, grp, {_md5_int(f"'{BOOT_SEED}:' || CAST(unit_id AS VARCHAR)")} % {BOOT_BLOCKS} AS u,
-         sum(value) AS s, CAST(count(*) AS DOUBLE) AS c
-  FROM long WHERE value IS NOT NULL GROUP BY metric, grp, u),
-rep AS (SELECT blk.*, r.range AS replicate FROM blk CROSS JOIN range(0, {BOOT_RESAMPLES}) r),
-wt AS (
-  SELECT *, {_poisson_case(f"CAST({_md5_int(f"'{BOOT_SEED}:' || CAST(u AS VARCHAR) || ':' || CAST(replicate AS VARCHAR)")} AS DOUBLE) / CAST(4503599627370496 AS DOUBLE)")} AS w
-  FROM rep)
-SELECT metric, grp AS "group", CAST(replicate AS INTEGER) AS replicate,
-       round(sum(w * s) / sum(w * c), 6) AS mean
-FROM wt GROUP BY metric, grp, replicate""",
+WITH {AB}, {BOOT}
+SELECT metric, grp AS "group", CAST(replicate AS INTEGER) AS replicate, round(mean, 6) AS mean FROM reps""",
+
+    "bootstrap_mean_ci": f"""
+WITH {AB}, {BOOT},
+est AS (SELECT metric, grp, avg(value) AS est FROM long WHERE value IS NOT NULL GROUP BY metric, grp),
+sh AS (
+  SELECT r.metric, r.grp,
+         avg(CASE WHEN r.mean < e.est THEN 1.0 ELSE 0.0 END)
+           + avg(CASE WHEN r.mean = e.est THEN 1.0 ELSE 0.0 END) / 2 AS share,
+         count(*) AS nr
+  FROM reps r JOIN est e USING (metric, grp) WHERE r.mean IS NOT NULL GROUP BY r.metric, r.grp),
+z AS (SELECT *, {sql_norm_ppf('CAST(share AS DOUBLE)')} AS z0 FROM sh),
+lim AS (
+  SELECT metric, grp, nr,
+         {sql_norm_cdf(f"(2.0 * z0 + CAST('{_ZA!r}' AS DOUBLE))")} AS a1,
+         {sql_norm_cdf(f"(2.0 * z0 + CAST('{_ZB!r}' AS DOUBLE))")} AS a2 FROM z),
+pos AS (SELECT metric, grp, 'lo' AS side, (nr - 1) * a1 AS p FROM lim
+        UNION ALL SELECT metric, grp, 'hi', (nr - 1) * a2 FROM lim),
+ranked AS (SELECT metric, grp, mean, row_number() OVER (PARTITION BY metric, grp ORDER BY mean) - 1 AS i
+           FROM reps WHERE mean IS NOT NULL),
+picked AS (
+  SELECT p.metric, p.grp, p.side, p.p,
+         max(CASE WHEN r.i = floor(p.p) THEN r.mean END) AS lo,
+         max(CASE WHEN r.i = ceil(p.p) THEN r.mean END) AS hi
+  FROM pos p JOIN ranked r ON r.metric = p.metric AND r.grp = p.grp
+   AND (r.i = floor(p.p) OR r.i = ceil(p.p))
+  GROUP BY p.metric, p.grp, p.side, p.p),
+ci AS (
+  SELECT metric, grp,
+         max(CASE WHEN side = 'lo' THEN lo + (hi - lo) * (p - floor(p)) END) AS ci_low,
+         max(CASE WHEN side = 'hi' THEN lo + (hi - lo) * (p - floor(p)) END) AS ci_high
+  FROM picked GROUP BY metric, grp)
+SELECT e.metric, e.grp AS "group", round(e.est, 6) AS mean,
+       round(round_even(c.ci_low, 2), 6) AS ci_low, round(round_even(c.ci_high, 2), 6) AS ci_high
+FROM est e JOIN ci c USING (metric, grp)""",
 }
 SQL["cancel_rate_stream"] = SQL["cancel_rate"]
 SQL["daily_orders_stream"] = f"""

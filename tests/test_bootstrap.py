@@ -38,3 +38,17 @@ def test_per_row_and_blocked_spread_agree(spark):
         sd[blocks] = statistics.pstdev([r.mean for r in reps])
     assert sd[128] == pytest.approx(sd[None], rel=0.25)
     assert sd[None] == pytest.approx(15 / (300 ** 0.5), rel=0.25)
+
+
+def test_normal_expressions_match_python(spark):
+    from statistics import NormalDist
+
+    from cartlytics.functions.normal import norm_cdf, norm_ppf
+    xs = [-9.0, -3.2, -1.0, 0.0, 0.4, 2.9, 8.0]
+    ps = [1e-8, 0.01, 0.3, 0.5, 0.97, 0.999999]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r, x in zip(df.select(norm_cdf("x").alias("c")).collect(), xs):
+        assert r.c == pytest.approx(NormalDist().cdf(x), abs=1e-14)
+    dp = spark.createDataFrame([(p,) for p in ps], "p double")
+    for r, p in zip(dp.select(norm_ppf("p").alias("z")).collect(), ps):
+        assert r.z == pytest.approx(NormalDist().inv_cdf(p), rel=2e-9, abs=1e-12)

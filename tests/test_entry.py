@@ -21,7 +21,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_documented():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"bootstrap_mean_ci", "ab_test_pvalues"}
+    assert set(qs) - set(sql) == {"ab_test_pvalues"}
 
 
 def _canon(rows):
