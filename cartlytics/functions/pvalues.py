@@ -186,21 +186,3 @@ def p_value_kind_col(kind: Column, stat: Column, df1: Column, df2: Column) -> Co
     evaluation serves a union of different tests."""
     return F.nanvl(_p_value_udf(kind, stat.cast("double"), df1.cast("double"), df2.cast("double")),
                    F.lit(None).cast("double"))
-
-
-@F.pandas_udf(T.DoubleType())
-def _normal_ppf_udf(p: pd.Series) -> pd.Series:
-    return pd.Series([normal_ppf(float(v)) if v == v else float("nan") for v in p], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def _normal_cdf_udf(z: pd.Series) -> pd.Series:
-    return pd.Series([normal_cdf(float(v)) if v == v else float("nan") for v in z], dtype="float64")
-
-
-def normal_ppf_col(p) -> Column:
-    return _normal_ppf_udf((F.col(p) if isinstance(p, str) else p).cast("double"))
-
-
-def normal_cdf_col(z) -> Column:
-    return _normal_cdf_udf((F.col(z) if isinstance(z, str) else z).cast("double"))
