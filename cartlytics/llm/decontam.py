@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlytics.llm.common import WordIds, materialise, ship, small_batches, text_or_empty
+from cartlytics.llm.common import WordIds, fresh, materialise, ship, small_batches, text_or_empty
 
 ship(__name__)
 
@@ -247,5 +247,6 @@ def seed_bitmap(seeds: DataFrame) -> bytes:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has no overlap with any item, all columns kept.  Spark
     broadcasts the hashes of the rejected texts only if the written table is small enough."""
-    bad = materialise(_overlaps_of_texts(docs, benchmark)[1].select(F.col("text_hash").alias("_bad")).distinct())
-    return docs.join(bad, F.xxhash64(text_or_empty()) == F.col("_bad"), "left_anti")
+    name, = fresh(docs, "rejected")
+    bad = materialise(_overlaps_of_texts(docs, benchmark)[1].select(F.col("text_hash").alias(name)).distinct())
+    return docs.join(bad, F.xxhash64(text_or_empty()) == F.col(name), "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cartlytics.llm.common import materialise, partitions, text_or_empty
 
 #: The band: terms in at least MIN_SHARE and at most MAX_SHARE of the documents.
-MIN_SHARE, MAX_SHARE = 0.005, 0.02
+MIN_SHARE, MAX_SHARE = 0.004, 0.03
 LEVELS = 5
 SUBSETS = 12
 BROADCAST_TERMS = 1_000_000
@@ -44,28 +44,39 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = MIN_SHARE, high: float = MAX_SHARE) -> DataFrame:
-    """term, mask: the terms of the band, each with the subsets that keep it as bits (SUBSETS * LEVELS)."""
+    """term, mask_a, mask_b: the terms of the band, each with the subsets that keep it as bits; a level has
+    SUBSETS subsets in either mask."""
     counted = docs.select(F.explode(terms(text_or_empty())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.count()
     band = counted.where((F.col("df") >= max(1, low * n)) & (F.col("df") <= max(1, high * n))).select("term")
-    mask = F.lit(0).cast("long")
-    for level in range(1, LEVELS + 1):
-        for k in range(SUBSETS):
-            kept = F.pmod(F.xxhash64("term", F.lit(level * SUBSETS + k)), F.lit(4 ** level)) == 0
-            mask = mask.bitwiseOR(F.when(kept, F.lit(1 << ((level - 1) * SUBSETS + k))).otherwise(F.lit(0)))
-    return materialise(band.withColumn("mask", mask))
+
+    def mask(half: int) -> Column:
+        """Bit (level - 1) * SUBSETS + k: whether subset k of the level keeps the term."""
+        def keeps(bit):
+            level = F.call_function("div", bit, F.lit(SUBSETS)) + 1
+            share = F.call_function("shiftleft", F.lit(1).cast("bigint"), (2 * level).cast("int"))
+            return F.when(F.pmod(F.xxhash64("term", F.lit(half), bit), share) == 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), F.lit(0).cast("bigint"), lambda m, bit: m.bitwiseOR(keeps(bit)))
+
+    return materialise(band.withColumn("mask_a", mask(0)).withColumn("mask_b", mask(1)))
+
+
+def first_level(size: Column) -> Column:
+    """The densest level of subsets that expect to keep at most one of ``size`` terms."""
+    return F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.ceil(F.log2(size.cast("double")) / 2))).cast("int")
 
 
 def fingerprint_of(found: Column, fallback: Column) -> Column:
-    """``found``: sorted array<struct<term, mask>>.  ``terms:part,part,...`` with an empty part where a
-    subset keeps no term; ``0:hash`` without lexicon terms."""
+    """``found``: sorted array<struct<term, mask_a, mask_b>>.  ``terms:part,part,...`` from the first level
+    for that many terms on, with an empty part where a subset keeps none; ``0:hash`` without lexicon terms."""
     nothing = F.substring(F.hex(F.xxhash64(F.array().cast("array<bigint>"))), -8, 8)
 
-    def part(bit: Column) -> Column:
-        kept = F.transform(F.filter(found, lambda t: F.getbit(t["mask"], bit) == 1), lambda t: t["term"])
-        return F.substring(F.hex(F.xxhash64(kept)), -8, 8)
+    def part(mask: str, bit: Column) -> Column:
+        kept = F.transform(F.filter(found, lambda t: F.getbit(t[mask], bit) == 1), lambda t: t["term"])
+        return F.replace(F.substring(F.hex(F.xxhash64(kept)), -8, 8), nothing, F.lit(""))
 
-    parts = F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), lambda bit: F.replace(part(bit), nothing, F.lit("")))
+    bits = F.sequence((first_level(F.size(found)) - 1) * SUBSETS, F.lit(LEVELS * SUBSETS - 1))
+    parts = F.transform(bits, lambda bit: F.concat(part("mask_a", bit), F.lit(","), part("mask_b", bit)))
     whole = F.concat(F.size(found).cast("string"), F.lit(":"), F.array_join(parts, ","))
     return F.when(F.size(found) > 0, whole).otherwise(F.concat(F.lit("0:"), fallback))
 
@@ -73,17 +84,13 @@ def fingerprint_of(found: Column, fallback: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; see the module's docstring."""
     size_a, size_b = (F.substring_index(x, ":", 1).cast("int") for x in (a, b))
-    more = F.greatest(size_a, size_b)
-    first = F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.ceil(F.log2(more.cast("double")) / 2))).cast("int")
-    start = (first - 1) * SUBSETS + 1
-    pa, pb = (F.slice(F.split(F.substring_index(x, ":", -1), ","), start, F.lit(LEVELS * SUBSETS)) for x in (a, b))
+    first = first_level(F.greatest(size_a, size_b))
+    pa, pb = (F.slice(F.split(F.substring_index(x, ":", -1), ","), (first - first_level(n)) * 2 * SUBSETS + 1, F.lit(2 * LEVELS * SUBSETS))
+              for x, n in ((a, size_a), (b, size_b)))
     both = F.arrays_zip(pa.alias("x"), pb.alias("y"))
-    state = F.struct(F.lit(0).alias("same"), F.lit(0).alias("some"))
-    share = F.aggregate(both, state, lambda s, p: F.struct(
-        (s["same"] + F.when((p["x"] == p["y"]) & (p["x"] != ""), 1).otherwise(0)).alias("same"),
-        (s["some"] + F.when((p["x"] != "") | (p["y"] != ""), 1).otherwise(0)).alias("some")),
-        lambda s: F.when(s["some"] > 0, s["same"] / s["some"]).otherwise(F.lit(0.0)))
-    return F.when(a == b, F.lit(1.0)).when((size_a == 0) | (size_b == 0), F.lit(0.0)).otherwise(share)
+    same = F.size(F.filter(both, lambda p: (p["x"] == p["y"]) & (p["x"] != "")))
+    some = F.size(F.filter(both, lambda p: (p["x"] != "") | (p["y"] != "")))
+    return F.when(a == b, F.lit(1.0)).when((size_a == 0) | (size_b == 0) | (some == 0), F.lit(0.0)).otherwise(same / some)
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
@@ -144,8 +151,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = (base.withColumn("row", F.monotonically_increasing_id())  # follows the order within a bucket
             .select("bucket", "extra", "doc_id", "row", fact.alias("fact"), F.explode(items).alias("i"))
             .select("bucket", "extra", "doc_id", "row", "i.term", "i.side", F.when(F.col("i.side") == 2, F.col("fact")).alias("fact")))
-    hits = rows.join(known, "term", "left").where("side = 2 OR mask IS NOT NULL")
-    own = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("term", "mask"))))
+    hits = rows.join(known, "term", "left").where("side = 2 OR mask_a IS NOT NULL")
+    own = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("term", "mask_a", "mask_b"))))
     made = (hits.groupBy("bucket", "row").agg(F.max("extra").alias("extra"), F.max("doc_id").alias("doc_id"), F.max("fact").alias("fact"), own(0).alias("a"), own(1).alias("b"))
             .select("bucket", "row", "extra", "doc_id", "fact.n_chars", F.col("fact.sha").alias("edited_sha256"),
                     fingerprint_of(F.col("a"), F.col("fact.all_text")).alias("fingerprint"),

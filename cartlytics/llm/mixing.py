@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlytics.llm.common import materialise, ship
+from cartlytics.llm.common import fresh, materialise, ship
 
 ship(__name__)
 
@@ -30,7 +30,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_REPEAT = 2
 SEED = 17
-#: Words up to which the dynamic programme fills a source's budget; more is filled greedily before.
+#: The dynamic programme fills the last words of a source's budget, up to twice this many; more is filled greedily before.
 WINDOW_WORDS = 4096
 SLICES = 128
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,13 +76,12 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, window: int =
         more = min(counts[i] - take[i], max(0, rest - window) // lengths[i])
         take[i] += more
         rest -= more * lengths[i]
-    if rest > window:  # only longer documents than the window are left above it
-        for i in order:
-            more = min(counts[i] - take[i], rest // lengths[i])
-            take[i] += more
-            rest -= more * lengths[i]
+    for i in order:  # documents longer than the window may still be above it
+        while rest > 2 * window and take[i] < counts[i] and lengths[i] <= rest:
+            take[i] += 1
+            rest -= lengths[i]
     # bounded knapsack: by[v] is the length that first reached v words, used[v] how many of it
-    goal = min(rest, window)
+    goal = min(rest, 2 * window)
     by, used = [0] * (goal + 1), [0] * (goal + 1)
     reached = [True] + [False] * goal
     for i in sorted(order, key=lambda i: lengths[i]):
@@ -157,12 +156,14 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     plan = allot(materialise(sized), **parameters).select("doc_id", "source", "size", "times")
     of_key = materialise(plan.groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
                          .where("times > 0"))
-    key = [F.col(a).alias(b) for a, b in (("doc_id", "_d"), ("source", "_s"), ("size", "_n"), ("times", "_t"), ("rows", "_r"))]
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (n_words() == F.col("_n"))
+    d, s, n, t, r, k = fresh(docs, "d", "s", "n", "t", "r", "k")
+    key = [F.col(a).alias(b) for a, b in (("doc_id", d), ("source", s), ("size", n), ("times", t), ("rows", r))]
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (n_words() == F.col(n))
     even, uneven = of_key.where("times % rows = 0").select(*key), of_key.where("times % rows > 0").select(*key)
-    out = docs.join(even, same).withColumn("_k", F.expr("cast(_t div _r as int)"))
+    each = F.floor(F.col(t) / F.col(r)).cast("int")
+    out = docs.join(even, same).withColumn(k, each)
     if not uneven.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("_d", "_s", "_n").orderBy("text"))
-        more = F.when(nth <= F.col("_t") % F.col("_r"), 1).otherwise(0)
-        out = out.unionByName(docs.join(uneven, same).withColumn("_k", F.expr("cast(_t div _r as int)") + more).where("_k > 0"))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), "_k"))).select(*docs.columns)
+        nth = F.row_number().over(Window.partitionBy(d, s, n).orderBy("text"))
+        more = F.when(nth <= F.col(t) % F.col(r), 1).otherwise(0)
+        out = out.unionByName(docs.join(uneven, same).withColumn(k, each + more).where(F.col(k) > 0))
+    return out.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(k)))).select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlytics.llm.common import WordIds, materialise, mix64, ship, small_batches, text_or_empty
+from cartlytics.llm.common import WordIds, fresh, materialise, mix64, ship, small_batches, text_or_empty
 
 ship(__name__)
 
@@ -313,12 +313,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the document of least id, once; all columns kept."""
     rows, of_text = _classified(docs)
+    name, = fresh(docs, "row")
     judged = rows.select("row", "text_hash").join(materialise(of_text), "text_hash", "left")
-    gone = materialise(judged.where("row <> keeper").select(F.col("row").alias("_row"), F.col("text_hash").alias("_hash")).distinct())
-    twice = materialise(rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row").alias("_row")))
-    stay = docs.join(gone.select("_row").distinct(), row_key() == F.col("_row"), "left_anti")
+    gone = materialise(judged.where("row <> keeper").select(F.col("row").alias(name)).distinct())
+    twice = materialise(rows.groupBy(F.col("row").alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name))
+    stay = docs.join(gone, row_key() == F.col(name), "left_anti")
     if twice.isEmpty():
         return stay
-    # ids that several rows have: of a class's rows with the keeper's id, one stays
-    return (stay.join(twice, row_key() == F.col("_row"), "left_anti")
-            .unionByName(stay.join(twice, row_key() == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"])))
+    # ids that several rows have: of equal rows, one stays
+    return (stay.join(twice, row_key() == F.col(name), "left_anti")
+            .unionByName(stay.join(twice, row_key() == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])))

@@ -67,14 +67,24 @@ def smallest_capacity(sums: list[int], shards: int) -> int:
 
 
 def even_cuts(sums: list[int], shards: int, capacity: int) -> list[int]:
-    """Ends of the shards: each takes what is nearest to an even share of what is left, never more
-    than ``capacity``, and leaves no more than the later ones can take."""
+    """Ends of the shards: each takes what is nearest to an even share of what is left, one group at
+    least, never more than ``capacity``, and leaves no more than the later ones can take."""
+
+    def even_share(left: list[int], k: int) -> float:
+        """The mean of what is left, groups above it having a shard of their own."""
+        total = sum(left)
+        for large in sorted(left, reverse=True):
+            if k == 1 or large * k <= total:
+                break
+            total, k = total - large, k - 1
+        return total / k
+
     upto, ends, start = list(accumulate(sums)), [], 0
     for k in range(shards, 0, -1):
         base = upto[start - 1] if start else 0
         most = max(start, bisect_right(upto, base + capacity))
-        share = (upto[-1] - base) / k if upto else 0
-        end = max(start, bisect_right(upto, base + share))
+        share = even_share(sums[start:], k)
+        end = min(most, max(start + 1, bisect_right(upto, base + share)))
         if end < most and upto[end] - base - share < share - ((upto[end - 1] if end else 0) - base):
             end += 1
         while end < most and _greedy(upto, capacity, k - 1, end)[-1:] != [len(sums)] and end < len(sums):
