@@ -29,7 +29,7 @@ ship(__name__)
 
 BUCKETS = 16_384
 #: Share of the raw texts that is drawn.
-KEEP = 0.75
+KEEP = 0.8
 SHARPNESS = 25.0
 SEED = 23
 WORD = r"[^\W_]+|[^\w\s]"
