@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartlytics.functions.pvalues import tail_arguments, upper_tail
 from cartlytics.operators import abtests, bootstrap, cohort, commerce, experiment, histogram, profile, rfm
 from cartlytics.sources import testdata as td
 
@@ -231,23 +232,23 @@ def q_log_normality_k2(spark, d):
 
 
 def q_t_test_pooled(spark, d):
-    return r6(abtests.t_test(_metrics_long(spark, d), equal_var=True, with_p=False))
+    return r6(abtests.t_test(_metrics_long(spark, d), equal_var=True))
 
 
 def q_t_test_welch(spark, d):
-    return r6(abtests.t_test(_metrics_long(spark, d), equal_var=False, with_p=False))
+    return r6(abtests.t_test(_metrics_long(spark, d), equal_var=False))
 
 
 def q_levene(spark, d):
-    return r6(abtests.levene(_metrics_long(spark, d), with_p=False))
+    return r6(abtests.levene(_metrics_long(spark, d)))
 
 
 def q_mann_whitney(spark, d):
-    return r6(abtests.mann_whitney(_metrics_long(spark, d), with_p=False))
+    return r6(abtests.mann_whitney(_metrics_long(spark, d)))
 
 
 def q_chi2_yates(spark, d):
-    return r6(abtests.chi2_independence(td.ab_users_data(spark, d), "group", "action", with_p=False))
+    return r6(abtests.chi2_independence(td.ab_users_data(spark, d), "group", "action"))
 
 
 def q_bootstrap_replicates(spark, d):
@@ -261,69 +262,35 @@ def q_bootstrap_mean_ci(spark, d):
 
 
 def q_ab_test_pvalues(spark, d):
-    """Every test with its p-value.  Statistic rows of all tests are unioned
-    first and the p-value UDF runs once over them (rows-only check: the tail
-    functions are unit-tested against commons-math)."""
+    """Every test with its p-value: the statistics of all tests are unioned with the arguments of
+    their tail (``pvalues.tail_arguments``), and the tail is evaluated once over these few rows."""
     long = experiment.log_metric(_metrics_long(spark, d))
-    nul_i, nul_d = F.lit(None).cast("int"), F.lit(None).cast("double")
 
-    def rows(df, test, stat, kind, df1=None, df2=None, group=None):
-        # for kind 'z' (Mann-Whitney) the p-value comes from z, carried in _df1
+    def rows(df, test, stat, kind, df1=None, df2=None, group=None, tail=None):
+        v, k, c = tail_arguments(kind, tail or stat, df1, df2)
         return df.select(F.lit(test).alias("test"), "metric",
-                         (F.col(group) if group else nul_i).alias("group"),
-                         F.col(stat).cast("double").alias("statistic"), F.lit(kind).alias("_kind"),
-                         (F.col(df1).cast("double") if df1 else nul_d).alias("_df1"),
-                         (F.col(df2).cast("double") if df2 else nul_d).alias("_df2"))
+                         (F.col(group) if group else F.lit(None)).cast("int").alias("group"),
+                         F.col(stat).cast("double").alias("statistic"), v.alias("_v"), k.alias("_k"), c.alias("_c"))
 
     chi = abtests.chi2_independence(td.ab_users_data(spark, d), "group", "action", with_p=False) \
         .withColumn("metric", F.lit("cancel_share"))
+    whitney = abtests.mann_whitney(long, with_p=False).withColumn("_tail", F.greatest("z", F.lit(0.0)))
     parts = [
         rows(abtests.t_test(long, True, with_p=False), "t_pooled", "t", "t", "df"),
         rows(abtests.t_test(long, False, with_p=False), "t_welch", "t", "t", "df"),
         rows(abtests.levene(long, with_p=False), "levene", "w", "f", "df1", "df2"),
-        rows(abtests.mann_whitney(long, with_p=False), "mann_whitney", "u_a", "z", "z"),
+        rows(whitney, "mann_whitney", "u_a", "z", tail="_tail"),
         rows(abtests.normality(long, with_p=False), "normality", "k2", "k2", group="group"),
         rows(chi, "chi2", "statistic", "chi2", "dof"),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    stat_for_p = F.when(F.col("_kind") == "z", F.col("_df1")).otherwise(F.col("statistic"))
-    return r6(out.withColumn("p_value", _p_by_kind(stat_for_p)).select(
+    return r6(out.withColumn("p_value", upper_tail("_v", "_k", "_c")).select(
         "test", "metric", "group", "statistic", "p_value"))
 
 
-def _p_by_kind(stat):
-    from cartlytics.functions.pvalues import p_value_kind_col
-    p = p_value_kind_col(F.col("_kind"), stat, F.col("_df1"), F.col("_df2"))
-    return F.when(F.col("_kind") == "z", F.least(F.lit(1.0), p)).otherwise(p)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
 
-
-def _orders_stream(spark, d):
-    from cartlytics.sources.readers import read_table
-    schema = read_table(spark, d, "orders").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet") \
-        .parquet(d.rstrip("/"))
-
-
-def q_cancel_rate_stream(spark, d):
-    """X15 as a Structured Streaming query over the orders source."""
-    from cartlytics.streaming import cancel_rate_stream, run_to_table
-    actions = td.ab_users_from_orders(_orders_stream(spark, d))
-    return r6(run_to_table(spark, cancel_rate_stream(actions), "cancel_rate"))
-
-
-def q_daily_orders_stream(spark, d):
-    """X6's daily counts as a Structured Streaming query (watermarked dedup)."""
-    from cartlytics.streaming import daily_orders_stream, run_to_table
-    actions = td.ab_users_from_orders(_orders_stream(spark, d))
-    return run_to_table(spark, daily_orders_stream(actions), "daily_orders")
-
-
-QUERIES["cancel_rate_stream"] = q_cancel_rate_stream
-QUERIES["daily_orders_stream"] = q_daily_orders_stream

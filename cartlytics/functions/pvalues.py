@@ -1,140 +1,33 @@
-"""Tail probabilities for the test statistics (the finishing step of X7-X14).
+"""Tail probabilities of the test statistics as Column expressions.
 
-Spark SQL has no erf / incomplete beta / incomplete gamma, so p-values are a
-vectorised pandas UDF applied to the *aggregated* result rows (one row per
-test), never to detail rows.  The maths is the textbook continued-fraction /
-series evaluation of the regularised incomplete beta and gamma functions.
+Normal, chi-square, t and F tails are all one integral.  With k degrees of freedom above, c the
+reciprocal of the degrees of freedom below (0 for none: normal and chi-square) and v = k * F,
+
+    p = I(sqrt(v)) / I(0),   I(s0) = integral from s0 to infinity of
+        s^(k - 1) * exp(-(1 + k c) / 2 * log(1 + c s^2) / c) ds.
+
+t and z are k = 1 with v their square.  Normalising by I(0) needs no gamma function, so nothing
+cancels however large the degrees of freedom are.  Both integrals are sums over the nodes of
+the exp-sinh rule, s = s0 + exp(pi / 2 * sinh(tau)).  The same sums over every other node
+bound the error: where the two disagree the result is NULL, never a wrong number (this happens
+for some hundreds of degrees of freedom above).  All of it runs on the JVM, on result rows only.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-try:  # ship this module's code with the UDFs: executors need not have the package
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle: rely on --py-files
-    pass
-
-_EPS = 1e-15
-_TINY = 1e-300
-_MAXIT = 10000
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _TINY else _TINY)
-    h = d
-    for m in range(1, _MAXIT + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = _TINY if abs(d) < _TINY else d
-        c = 1.0 + aa / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = _TINY if abs(d) < _TINY else d
-        c = 1.0 + aa / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-           + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
-
-
-def gammaincc(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x)."""
-    if x <= 0.0:
-        return 1.0
-    gln = math.lgamma(a)
-    if x < a + 1.0:  # series for P, return 1 - P
-        ap, s, delta = a, 1.0 / a, 1.0 / a
-        for _ in range(_MAXIT):
-            ap += 1.0
-            delta *= x / ap
-            s += delta
-            if abs(delta) < abs(s) * _EPS:
-                break
-        return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
-    b = x + 1.0 - a  # continued fraction for Q
-    c, d = 1.0 / _TINY, 1.0 / b
-    h = d
-    for i in range(1, _MAXIT + 1):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = _TINY if abs(d) < _TINY else d
-        c = b + an / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - gln) * h
-
-
-def t_two_sided(t: float, df: float) -> float:
-    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
-
-
-def f_upper(f: float, d1: float, d2: float) -> float:
-    if f is None or math.isnan(f) or d1 <= 0 or d2 <= 0:
-        return float("nan")
-    if f <= 0:
-        return 1.0
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
-
-
-def chi2_upper(x: float, k: float) -> float:
-    if x is None or math.isnan(x) or k <= 0:
-        return float("nan")
-    return gammaincc(k / 2.0, x / 2.0)
-
-
-def normal_two_sided(z: float) -> float:
-    if z is None or math.isnan(z):
-        return float("nan")
-    return math.erfc(abs(z) / math.sqrt(2.0))
 
+#: Nodes on either side of 0, and their distance in tau.
+NODES, STEP = 256, 1.0 / 64
+TOLERANCE = 1e-9
 
 _STD = NormalDist()
 
 
-def normal_cdf(z: float) -> float:
-    return _STD.cdf(z)
-
-
 def normal_ppf(p: float) -> float:
     if p <= 0.0:
         return float("-inf")
@@ -143,46 +36,64 @@ def normal_ppf(p: float) -> float:
     return _STD.inv_cdf(p)
 
 
-def p_value(kind: str, stat: float, df1: float | None = None, df2: float | None = None) -> float:
-    """kind: 't' (two-sided), 'f' (upper), 'chi2' (upper), 'z' (two-sided),
-    'k2' (D'Agostino K^2, chi-square with 2 dof: exp(-K2/2))."""
-    if stat is None or (isinstance(stat, float) and math.isnan(stat)):
-        return float("nan")
+def _column(x) -> Column:
+    if x is None:
+        return F.lit(None).cast("double")
+    return (F.col(x) if isinstance(x, str) else x).cast("double")
+
+
+def upper_tail(v, k, c) -> Column:
+    """P(V > v) in the notation of the module's docstring; NULL for undefined arguments."""
+    v, k, c = _column(v), _column(k), _column(c)
+    zero = F.lit(0.0)
+
+    def log_density(s: Column) -> Column:
+        u = c * s * s
+        # log(1 + u) / c without dividing by a c of 0
+        exponent = F.when(u < 1e-6, s * s * (1.0 - u / 2.0 + u * u / 3.0)).otherwise(F.try_divide(F.log1p(u), c))
+        return (k - 1.0) * F.ln(s) - 0.5 * (1.0 + k * c) * exponent
+
+    mode = F.sqrt((k - 1.0) / (1.0 + c))
+    peak = F.when(k > 1.0, log_density(F.greatest(mode, F.lit(1e-9)))).otherwise(zero)
+    start, scale = F.sqrt(F.greatest(v, zero)), F.sqrt(F.greatest(k, F.lit(1.0)))
+    sums = F.struct(*[zero.alias(n) for n in ("tail", "all", "tail2", "all2")])
+
+    def add(acc: Column, j: Column) -> Column:
+        tau = j * STEP
+        x = scale * F.exp(math.pi / 2 * F.sinh(tau))  # nodes are densest where the mass is
+        weight = F.cosh(tau) * x
+        tail = weight * F.exp(log_density(start + x) - peak)
+        every = weight * F.exp(log_density(x) - peak)
+        even = j % 2 == 0
+        return F.struct((acc["tail"] + tail).alias("tail"), (acc["all"] + every).alias("all"),
+                        (acc["tail2"] + F.when(even, tail).otherwise(zero)).alias("tail2"),
+                        (acc["all2"] + F.when(even, every).otherwise(zero)).alias("all2"))
+
+    def settled(acc: Column) -> Column:
+        fine, coarse = F.try_divide(acc["tail"], acc["all"]), F.try_divide(acc["tail2"], acc["all2"])
+        return F.when(F.abs(fine - coarse) <= TOLERANCE, F.least(fine, F.lit(1.0)))
+
+    p = F.aggregate(F.sequence(F.lit(-NODES), F.lit(NODES)), sums, add, settled)
+    fine = v.isNotNull() & ~F.isnan(v) & (k > 0) & (c >= 0) & ~F.isnan(c)
+    return F.when(fine & (v <= 0), F.lit(1.0)).when(fine & (v == float("inf")), zero).when(fine, p)
+
+
+def tail_arguments(kind: str, stat, df1=None, df2=None) -> tuple[Column, Column, Column]:
+    """(v, k, c) of a statistic.  kind: 't' and 'z' (two-sided), 'f', 'chi2' (upper), 'k2' (D'Agostino
+    K^2, chi-square with 2 degrees of freedom)."""
+    x, one, none = _column(stat), F.lit(1.0), F.lit(0.0)
     if kind == "t":
-        return t_two_sided(stat, df1)
+        return x * x, one, F.try_divide(one, _column(df1))
+    if kind == "z":
+        return x * x, one, none
     if kind == "f":
-        return f_upper(stat, df1, df2)
+        return x * _column(df1), _column(df1), F.try_divide(one, _column(df2))
     if kind == "chi2":
-        return chi2_upper(stat, df1)
-    if kind == "z":
-        return normal_two_sided(stat)
+        return x, _column(df1), none
     if kind == "k2":
-        return math.exp(-stat / 2.0)
-    raise ValueError(f"unknown p-value kind {kind!r}")
-
-
-def _nz(v):
-    return None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v)
-
-
-@F.pandas_udf(T.DoubleType())
-def _p_value_udf(kind: pd.Series, stat: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    out = [p_value(k, _nz(s), _nz(a), _nz(b)) if _nz(s) is not None else float("nan")
-           for k, s, a, b in zip(kind, stat, df1, df2)]
-    return pd.Series(out, dtype="float64")
+        return x, F.lit(2.0), none
+    raise ValueError(f"unknown kind {kind!r}")
 
 
 def p_value_col(kind: str, stat, df1=None, df2=None) -> Column:
-    """Column form of :func:`p_value` for result rows (Arrow-batched)."""
-    def c(x):
-        if x is None:
-            return F.lit(None).cast("double")
-        return (F.col(x) if isinstance(x, str) else x).cast("double")
-    return F.nanvl(_p_value_udf(F.lit(kind), c(stat), c(df1), c(df2)), F.lit(None).cast("double"))
-
-
-def p_value_kind_col(kind: Column, stat: Column, df1: Column, df2: Column) -> Column:
-    """Like :func:`p_value_col` with the test kind as a column, so one UDF
-    evaluation serves a union of different tests."""
-    return F.nanvl(_p_value_udf(kind, stat.cast("double"), df1.cast("double"), df2.cast("double")),
-                   F.lit(None).cast("double"))
+    return upper_tail(*tail_arguments(kind, stat, df1, df2))

@@ -2,8 +2,7 @@
 
 Each test is aggregation over the detail rows (partial + final, shuffle of
 one small buffer per task and key) followed by closed-form arithmetic on the
-aggregated rows.  p-values are added by an Arrow-batched UDF on those result
-rows only (``with_p=True``).
+aggregated rows.  p-values are Column expressions on those result rows.
 """
 
 from __future__ import annotations
@@ -42,7 +41,7 @@ def group_moments(long: DataFrame, a=0, b=1, value: str = "value") -> DataFrame:
 
 
 def t_test(long: DataFrame, equal_var: bool = True, a=0, b=1, with_p: bool = True,
-           value: str = "value") -> DataFrame:
+           value: str = "value", alpha: float = 0.05) -> DataFrame:
     """X10 (pooled, equal_var=True) / X11 (Welch): t of a minus b and its df."""
     m = group_moments(long, a, b, value)
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
@@ -58,7 +57,7 @@ def t_test(long: DataFrame, equal_var: bool = True, a=0, b=1, with_p: bool = Tru
         dof = F.try_divide((sa + sb) * (sa + sb), sa * sa / (na - 1.0) + sb * sb / (nb - 1.0))
     out = m.select("metric", "n_a", "n_b", "mean_a", "mean_b", t.alias("t"), dof.alias("df"))
     if with_p:
-        out = out.withColumn("p_value", p_value_col("t", "t", "df"))
+        out = out.withColumn("p_value", p_value_col("t", "t", "df")).withColumn("differ", F.col("p_value") < alpha)
     return out
 
 
@@ -83,7 +82,7 @@ def dagostino_columns(n: Column, g1: Column, excess_kurt: Column) -> list[Column
     y = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
     beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = -1.0 + F.sqrt(2.0 * (beta2 - 1.0))
-    z1 = F.asinh(y / F.sqrt(2.0 / (w2 - 1.0))) / F.sqrt(0.5 * F.ln(w2))
+    z1 = F.try_divide(F.asinh(F.try_divide(y, F.sqrt(2.0 / (w2 - 1.0)))), F.sqrt(0.5 * F.ln(w2)))
     b2 = excess_kurt + 3.0
     e = 3.0 * (n - 1) / (n + 1)
     varb2 = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
@@ -91,7 +90,7 @@ def dagostino_columns(n: Column, g1: Column, excess_kurt: Column) -> list[Column
     sb1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
     a = 6.0 + 8.0 / sb1 * (2.0 / sb1 + F.sqrt(1.0 + 4.0 / (sb1 * sb1)))
     d = 1.0 + x * F.sqrt(2.0 / (a - 4.0))
-    t2 = F.signum(d) * F.cbrt((1.0 - 2.0 / a) / F.abs(d))
+    t2 = F.signum(d) * F.cbrt(F.try_divide(1.0 - 2.0 / a, F.abs(d)))
     z2 = (1.0 - 2.0 / (9.0 * a) - t2) / F.sqrt(2.0 / (9.0 * a))
     return [z1.alias("z_skew"), z2.alias("z_kurt"), (z1 * z1 + z2 * z2).alias("k2")]
 
@@ -127,7 +126,7 @@ def levene(long: DataFrame, alpha: float = 0.05, with_p: bool = True, value: str
 
 
 def mann_whitney(long: DataFrame, a=0, b=1, with_p: bool = True, value: str = "value",
-                 n_buckets: int | None = None) -> DataFrame:
+                 n_buckets: int | None = None, alpha: float = 0.05) -> DataFrame:
     """U of group a, two-sided, tie-corrected normal approximation with
     continuity correction.  Average ranks come from the bucketed prefix counts
     over distinct values: rank = before + (t + 1) / 2."""
@@ -143,49 +142,52 @@ def mann_whitney(long: DataFrame, a=0, b=1, with_p: bool = True, value: str = "v
     n = na + nb
     u_a = F.col("_ra") - na * (na + 1.0) / 2.0
     mu = na * nb / 2.0
-    sd = F.sqrt(na * nb / 12.0 * ((n + 1.0) - F.col("_ties") / (n * (n - 1.0))))
+    sd = F.sqrt(na * nb / 12.0 * ((n + 1.0) - F.try_divide(F.col("_ties"), n * (n - 1.0))))
     out = s.select("metric", "n_a", "n_b", u_a.alias("u_a"), mu.alias("_mu"), sd.alias("_sd"))
     out = out.withColumn("z", F.try_divide(
         F.greatest(F.col("u_a"), na * nb - F.col("u_a")) - F.col("_mu") - 0.5, F.col("_sd"))
     ).drop("_mu", "_sd")
     if with_p:
-        out = out.withColumn("p_value", F.least(F.lit(1.0), p_value_col("z", "z")))
+        # the continuity correction can take z below 0: then nothing speaks against equality
+        p = F.when(F.col("z") <= 0, F.lit(1.0)).otherwise(p_value_col("z", "z"))
+        out = out.withColumn("p_value", p).withColumn("differ", F.col("p_value") < alpha)
     return out
 
 
 def contingency(df: DataFrame, row: str, col: str) -> DataFrame:
     """AGG11: dense (row, col, observed, expected) table including zero cells.
 
-    Column categories (bounded: a categorical) are collected into one array
-    attached as a scalar subquery and exploded per row category, so the grid
-    is built without a join; observed counts are a partial+final aggregate.
+    One scan: the observed counts are a partial+final aggregate, and all else is made of these few
+    rows (categories times categories), gathered as one list: each row category is given every
+    column category.
     """
     obs = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("observed"))
-    rows = obs.groupBy(row).agg(F.sum("observed").alias("_rt"))
-    cols = obs.groupBy(col).agg(F.sum("observed").alias("_ct"))
-    cats = cols.agg(F.collect_list(F.struct(F.col(col).alias("c"), F.col("_ct").alias("t")))
-                    .alias("a")).select("a").scalar()
-    total = obs.agg(F.sum("observed").alias("t")).select("t").scalar()
-    grid = rows.select(row, "_rt", F.explode(cats).alias("_c")) \
-        .select(row, "_rt", F.col("_c.c").alias(col), F.col("_c.t").alias("_ct"))
-    return (grid.join(obs, [row, col], "left")
-            .select(row, col, F.coalesce("observed", F.lit(0)).alias("observed"),
-                    (F.col("_rt") * F.col("_ct") / total).alias("expected")))
+    every = obs.agg(F.collect_list(F.struct(F.col(row).alias("r"), F.col(col).alias("c"), F.col("observed").alias("n"))).alias("cells"))
+
+    def total(cells: Column) -> Column:
+        return F.aggregate(cells, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+
+    def of(r: Column | None, c: Column | None) -> Column:
+        return total(F.filter("cells", lambda x: (x["r"].eqNullSafe(r) if r is not None else F.lit(True))
+                              & (x["c"].eqNullSafe(c) if c is not None else F.lit(True))))
+
+    grid = (every.withColumn("_r", F.explode(F.array_distinct(F.col("cells.r"))))
+            .withColumn("_c", F.explode(F.array_distinct(F.col("cells.c")))))
+    expected = of(F.col("_r"), None) * of(None, F.col("_c")).cast("double") / total(F.col("cells"))
+    return grid.select(F.col("_r").alias(row), F.col("_c").alias(col), of(F.col("_r"), F.col("_c")).alias("observed"), expected.alias("expected"))
 
 
 def chi2_independence(df: DataFrame, row: str, col: str, correction: bool = True,
-                      with_p: bool = True) -> DataFrame:
+                      with_p: bool = True, alpha: float = 0.05) -> DataFrame:
     """Pearson chi-square; Yates' correction when dof = 1 (and correction)."""
-    cells = contingency(df, row, col)
-    s = cells.agg(F.countDistinct(row).alias("_r"), F.countDistinct(col).alias("_k"),
-                  F.count(F.lit(1)).alias("cells"))
-    dof = ((F.col("_r") - 1) * (F.col("_k") - 1)).alias("dof")
-    dof_v = s.select(dof).select("dof").scalar()
     d = F.abs(F.col("observed") - F.col("expected"))
-    if correction:
-        d = F.when(dof_v == 1, d - F.least(F.lit(0.5), d)).otherwise(d)
-    stat = cells.agg(F.sum(d * d / F.col("expected")).alias("statistic"))
-    out = stat.select("statistic", dof_v.alias("dof"))
+    yates = d - F.least(F.lit(0.5), d)
+    s = contingency(df, row, col).agg(
+        F.countDistinct(row).alias("_r"), F.countDistinct(col).alias("_k"),
+        F.sum(d * d / F.col("expected")).alias("_plain"), F.sum(yates * yates / F.col("expected")).alias("_yates"))
+    dof = (F.col("_r") - 1) * (F.col("_k") - 1)
+    stat = F.when(dof == 1, F.col("_yates")).otherwise(F.col("_plain")) if correction else F.col("_plain")
+    out = s.select(stat.alias("statistic"), dof.alias("dof"))
     if with_p:
-        out = out.withColumn("p_value", p_value_col("chi2", "statistic", "dof"))
+        out = out.withColumn("p_value", p_value_col("chi2", "statistic", "dof")).withColumn("dependent", F.col("p_value") < alpha)
     return out

@@ -120,11 +120,12 @@ def bootstrap_mean_ci(long: DataFrame, unit: str = "unit_id", value: str = "valu
         F.count(F.lit(1)).alias("_r"))
     za = normal_ppf((1.0 - confidence) / 2.0)
     zb = normal_ppf(1.0 - (1.0 - confidence) / 2.0)
-    # Phi and Phi^-1 as arithmetic expressions (no Python); a share of 0 or 1
-    # gives NULL limits
+    # Phi and Phi^-1 as arithmetic expressions (no Python).  With all replicates on one side of the
+    # estimate the bias is infinite: both limits are then the outermost replicate on that side
+    outermost = F.when(F.col("_share") >= 1, F.lit(1.0)).when(F.col("_share") <= 0, F.lit(0.0))
     lim = (share.withColumn("_z0", norm_ppf("_share"))
-                .withColumn("_a1", norm_cdf(2.0 * F.col("_z0") + za))
-                .withColumn("_a2", norm_cdf(2.0 * F.col("_z0") + zb)))
+                .withColumn("_a1", F.coalesce(norm_cdf(2.0 * F.col("_z0") + za), outermost))
+                .withColumn("_a2", F.coalesce(norm_cdf(2.0 * F.col("_z0") + zb), outermost)))
     # replicate percentiles: R rows per key (bounded by n_resamples)
     ranked = reps.withColumn("_i", F.row_number().over(
         Window.partitionBy(*keys).orderBy("mean")) - 1)
@@ -141,7 +142,7 @@ def bootstrap_mean_ci(long: DataFrame, unit: str = "unit_id", value: str = "valu
     val = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.col("_f"))
     ci = picked.groupBy(*keys).agg(F.max(F.when(F.col("side") == "lo", val)).alias("ci_low"),
                                    F.max(F.when(F.col("side") == "hi", val)).alias("ci_high"))
-    out = est.join(ci, keys)
+    out = est.join(ci, keys, "left")
     if decimals is not None:
         out = out.withColumn("ci_low", half_even("ci_low", decimals)) \
                  .withColumn("ci_high", half_even("ci_high", decimals))

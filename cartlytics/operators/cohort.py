@@ -29,9 +29,10 @@ def _month_offset(month: str, cohort: str):
 
 def _limit_periods(df: DataFrame, n_periods) -> DataFrame:
     """WIN2: keep the first N observed months of each cohort (N may differ per
-    cohort: a mapping cohort-date -> N).  Rows per cohort are bounded by the
+    cohort: a mapping cohort-date -> N; cohorts that it does not name keep all their
+    months).  Rows per cohort are bounded by the
     number of calendar months, so the window is small."""
-    if n_periods is None:
+    if n_periods is None or isinstance(n_periods, Mapping) and not n_periods:
         return df
     rn = F.row_number().over(Window.partitionBy("cohort").orderBy("year_month"))
     if isinstance(n_periods, Mapping):
@@ -40,7 +41,7 @@ def _limit_periods(df: DataFrame, n_periods) -> DataFrame:
             k = _dt.date.fromisoformat(k + "-01") if isinstance(k, str) and len(k) == 7 else k
             cond = F.col("cohort") == date_lit(k)
             expr = F.when(cond, F.lit(int(v))) if expr is None else expr.when(cond, F.lit(int(v)))
-        limit = expr.otherwise(F.lit(None))
+        limit = expr.otherwise(F.col("_rn"))  # a cohort that the mapping does not name stays whole
     else:
         limit = F.lit(int(n_periods))
     return df.withColumn("_rn", rn).where(F.col("_rn") <= limit).drop("_rn")

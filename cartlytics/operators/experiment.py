@@ -96,7 +96,7 @@ def group_summary(order_metrics: DataFrame, control=0, decimals: int = 2) -> Dat
         half_even(F.avg("sum_price"), decimals).alias("mean_check"),
         F.countDistinct("order_id").alias("orders"),
         half_even(F.avg("number_of_products"), decimals).alias("mean_products"))
-    base = s.where(F.col("group") == control).agg(F.max("revenue").alias("b")).select("b").scalar()
+    base = F.max(F.when(F.col("group") == control, F.col("revenue"))).over(Window.partitionBy())  # one row a group
     return s.withColumn("uplift_pct", F.try_divide(F.col("revenue") * 100.0, base) - 100.0)
 
 

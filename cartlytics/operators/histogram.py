@@ -37,6 +37,8 @@ def _assign(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     out = out.withColumn("bin", F.when((x >= edge(F.col("_i1") + 1))
                                        & (F.col("_i1") != F.col("_nb") - 1), F.col("_i1") + 1)
                          .otherwise(F.col("_i1")))
+    # a sum that is evaluated anew can differ from the edge it gave in the last bit: it stays in the outer bin
+    out = out.withColumn("bin", F.greatest(F.lit(0).cast("long"), F.least("bin", F.col("_nb") - 1)))
     counts = out.groupBy(*keys, "bin", "_lo", "_hi", "_nb").agg(F.count(F.lit(1)).alias("count"))
     return counts.select(*keys, "bin", edge(F.col("bin")).alias("lower"),
                          edge(F.col("bin") + 1).alias("upper"), "count")

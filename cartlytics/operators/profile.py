@@ -89,10 +89,10 @@ def tail_profile(df: DataFrame, column: str, q: float = 0.95,
         F.count_if(F.col("v") > p).alias("n_above"))
 
 
-def order_totals(order_items: DataFrame) -> DataFrame:
-    """Order value: sum of item prices per order (AGG1, D4)."""
-    return order_items.groupBy("order_id").agg(
-        F.coalesce(F.sum("price"), F.lit(0.0)).alias("price"))
+def order_totals(order_items: DataFrame, money_decimals: int | None = 6) -> DataFrame:
+    """Order value: sum of item prices per order (AGG1, D4), rounded as in ``rfm_base``."""
+    total = F.coalesce(F.sum("price"), F.lit(0.0))
+    return order_items.groupBy("order_id").agg((F.round(total, money_decimals) if money_decimals is not None else total).alias("price"))
 
 
 def price_profile(order_items: DataFrame, n_buckets: int | None = None) -> DataFrame:

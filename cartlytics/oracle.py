@@ -185,6 +185,21 @@ SELECT metric, grp AS "group", n, round(g1, 6) AS skew, round(ek, 6) AS kurt,
 FROM z5"""
 
 
+TAIL_NODES = 40_000
+
+
+def _tail(v: str, k: str, c: str) -> str:
+    """Upper tail of the t, F, normal and chi-square laws by the midpoint rule over u in (0, 1),
+    s = sqrt(v) + u / (1 - u): the integral of s^(k-1) (1 + c s^2)^(-(1 + k c) / (2 c)) above
+    sqrt(v), by that above 0."""
+    def integral(start: str) -> str:
+        u = f"((i + 0.5) / {TAIL_NODES})"
+        x = f"({start} + {u} / (1 - {u}))"
+        power = f"(CASE WHEN {c} * {x} * {x} < 1e-6 THEN {x} * {x} * (1 - {c} * {x} * {x} / 2) ELSE ln(1 + {c} * {x} * {x}) / {c} END)"
+        return f"list_sum([exp(({k} - 1) * ln({x}) - 0.5 * (1 + {k} * {c}) * {power}) / ((1 - {u}) * (1 - {u})) for i in range({TAIL_NODES})])"
+    return f"(CASE WHEN {v} <= 0 THEN 1.0 ELSE {integral(f'sqrt({v})')} / {integral('0.0')} END)"
+
+
 def _t_test(equal_var: bool) -> str:
     if equal_var:
         stat = """(mean_a - mean_b) / sqrt(((na - 1) * var_a + (nb - 1) * var_b) / (na + nb - 2)
@@ -202,9 +217,10 @@ g AS (
          var_samp(value) FILTER (WHERE grp = 1) AS var_b
   FROM long WHERE value IS NOT NULL GROUP BY metric),
 s AS (SELECT *, CAST(n_a AS DOUBLE) AS na, CAST(n_b AS DOUBLE) AS nb FROM g),
-r AS (SELECT metric, n_a, n_b, mean_a, mean_b, {stat} FROM s)
+r AS (SELECT metric, n_a, n_b, mean_a, mean_b, {stat} FROM s),
+p AS (SELECT *, {_tail('t * t', '1', '(1 / df)')} AS p FROM r)
 SELECT metric, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
-       round(t, 6) AS t, round(df, 6) AS df FROM r"""
+       round(t, 6) AS t, round(df, 6) AS df, round(p, 6) AS p_value, p < 0.05 AS differ FROM p"""
 
 
 def _poisson_case(u: str) -> str:
@@ -472,9 +488,11 @@ g AS (SELECT metric, grp, count(z) AS n, avg(z) AS zbar, coalesce(var_samp(z), 0
 g2 AS (SELECT *, sum(n * zbar) OVER (PARTITION BY metric) / sum(n) OVER (PARTITION BY metric) AS zall FROM g),
 s AS (SELECT metric, CAST(sum(n) AS BIGINT) AS n, count(*) AS k,
              sum(n * (zbar - zall) * (zbar - zall)) AS between_ss, sum(ss) AS within_ss
-      FROM g2 GROUP BY metric)
-SELECT metric, n, k, round(CAST(n - k AS DOUBLE) / (k - 1) * between_ss / within_ss, 6) AS w,
-       k - 1 AS df1, n - k AS df2 FROM s""",
+      FROM g2 GROUP BY metric),
+w AS (SELECT *, CAST(n - k AS DOUBLE) / (k - 1) * between_ss / within_ss AS w, CAST(k - 1 AS DOUBLE) AS above,
+             1 / CAST(n - k AS DOUBLE) AS below FROM s),
+p AS (SELECT *, {_tail('(w * above)', 'above', 'below')} AS p FROM w)
+SELECT metric, n, k, round(w, 6) AS w, k - 1 AS df1, n - k AS df2, round(p, 6) AS p_value, p > 0.05 AS equal_var FROM p""",
 
     "mann_whitney": f"""
 WITH {AB},
@@ -489,9 +507,10 @@ s AS (SELECT metric, sum(ca * (before + (CAST(t AS DOUBLE) + 1) / 2)) AS ra,
 u AS (SELECT *, ra - CAST(n_a AS DOUBLE) * (n_a + 1) / 2 AS u_a,
              CAST(n_a AS DOUBLE) * n_b / 2 AS mu,
              sqrt(CAST(n_a AS DOUBLE) * n_b / 12 * ((n_a + n_b + 1)
-                  - ties / (CAST(n_a + n_b AS DOUBLE) * (n_a + n_b - 1)))) AS sd FROM s)
-SELECT metric, n_a, n_b, round(u_a, 6) AS u_a,
-       round((greatest(u_a, CAST(n_a AS DOUBLE) * n_b - u_a) - mu - 0.5) / sd, 6) AS z FROM u""",
+                  - ties / (CAST(n_a + n_b AS DOUBLE) * (n_a + n_b - 1)))) AS sd FROM s),
+zs AS (SELECT *, (greatest(u_a, CAST(n_a AS DOUBLE) * n_b - u_a) - mu - 0.5) / sd AS z FROM u),
+p AS (SELECT *, CASE WHEN z <= 0 THEN 1.0 ELSE {_tail('z * z', '1', '0.0')} END AS p FROM zs)
+SELECT metric, n_a, n_b, round(u_a, 6) AS u_a, round(z, 6) AS z, round(p, 6) AS p_value, p < 0.05 AS differ FROM p""",
 
     "chi2_yates": f"""
 WITH {AB},
@@ -502,11 +521,13 @@ tot AS (SELECT sum(o) AS n FROM obs),
 cells AS (
   SELECT rt.grp, ct.action, coalesce(obs.o, 0) AS o, CAST(rt.rt AS DOUBLE) * ct.ct / tot.n AS e
   FROM rt CROSS JOIN ct CROSS JOIN tot LEFT JOIN obs ON obs.grp = rt.grp AND obs.action = ct.action),
-dof AS (SELECT (count(DISTINCT grp) - 1) * (count(DISTINCT action) - 1) AS dof FROM cells)
-SELECT round(sum(CASE WHEN dof.dof = 1 THEN (abs(o - e) - least(0.5, abs(o - e))) * (abs(o - e) - least(0.5, abs(o - e)))
-                      ELSE (o - e) * (o - e) END / e), 6) AS statistic,
+dof AS (SELECT (count(DISTINCT grp) - 1) * (count(DISTINCT action) - 1) AS dof FROM cells),
+st AS (SELECT sum(CASE WHEN dof.dof = 1 THEN (abs(o - e) - least(0.5, abs(o - e))) * (abs(o - e) - least(0.5, abs(o - e)))
+                      ELSE (o - e) * (o - e) END / e) AS statistic,
        any_value(dof.dof) AS dof
-FROM cells CROSS JOIN dof""",
+FROM cells CROSS JOIN dof),
+p AS (SELECT *, {_tail('statistic', 'CAST(dof AS DOUBLE)', '0.0')} AS p FROM st)
+SELECT round(statistic, 6) AS statistic, dof, round(p, 6) AS p_value, p < 0.05 AS dependent FROM p""",
 
     "bootstrap_replicates": f"""
 WITH {AB}, {BOOT}
@@ -546,11 +567,26 @@ SELECT e.metric, e.grp AS "group", round(e.est, 6) AS mean,
        round(round_even(c.ci_low, 2), 6) AS ci_low, round(round_even(c.ci_high, 2), 6) AS ci_high
 FROM est e JOIN ci c USING (metric, grp)""",
 }
-SQL["cancel_rate_stream"] = SQL["cancel_rate"]
-SQL["daily_orders_stream"] = f"""
-WITH {AB}
-SELECT grp AS "group", date, count(DISTINCT order_id) AS orders
-FROM users WHERE action = 'create_order' GROUP BY grp, date"""
+
+def _on_all_metrics(name: str, test: str, statistic: str, group: str = "NULL", metric: str = "metric") -> str:
+    """A test's query over the metrics and their logs."""
+    inner = SQL[name].strip().removeprefix(f"WITH {AB},")
+    return (f"SELECT '{test}' AS test, {metric} AS metric, CAST({group} AS INTEGER) AS \"group\", {statistic} AS statistic, p_value\n"
+            f"FROM (WITH long AS (SELECT * FROM both_kinds), {inner})")
+
+
+SQL["ab_test_pvalues"] = f"""
+WITH {AB}, {LOGS},
+both_kinds AS (SELECT metric, grp, user_id, unit_id, value FROM long
+               UNION ALL SELECT metric, grp, user_id, unit_id, value FROM logs)
+""" + "\nUNION ALL ".join([
+    _on_all_metrics("t_test_pooled", "t_pooled", "t"),
+    _on_all_metrics("t_test_welch", "t_welch", "t"),
+    _on_all_metrics("levene", "levene", "w"),
+    _on_all_metrics("mann_whitney", "mann_whitney", "u_a"),
+    _on_all_metrics("normality_k2", "normality", "k2", '"group"'),
+    _on_all_metrics("chi2_yates", "chi2", "statistic", metric="'cancel_share'"),
+])
 
 
 def _decimal_rounding(sql: str) -> str:

@@ -1,11 +1,11 @@
-"""Session defaults and lineage helpers."""
+"""Session defaults and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on: naive timestamps are interpreted in UTC (D16),
 # AQE re-plans joins/partition counts at runtime and splits skewed partitions.
@@ -44,7 +44,6 @@ def build_session(master: str | None = None, app: str = "cartlytics",
     spark = b.getOrCreate()
     for k, v in SESSION_DEFAULTS.items():
         spark.conf.set(k, v)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -74,9 +73,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
     return configured
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (reliable, survives
-    executor loss) and return a DataFrame reading it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

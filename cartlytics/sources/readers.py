@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartlytics.sources.schemas import SCHEMAS
 
@@ -20,7 +21,7 @@ def read_csv_table(spark: SparkSession, path: str, name: str,
     """
     schema = SCHEMAS[name]
     if keep_corrupt:
-        schema = schema.add("_corrupt_record", "string")
+        schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     reader = (spark.read.schema(schema)
               .option("header", True)
               .option("mode", "PERMISSIVE")
@@ -30,26 +31,15 @@ def read_csv_table(spark: SparkSession, path: str, name: str,
     if keep_corrupt:
         reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
     df = reader.csv(path)
-    fixes = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast("double"))
-             for f in SCHEMAS[name].fields if f.dataType.typeName() == "double"}
-    return df.withColumns(fixes) if fixes else df
+    return _nan_to_null(df)
 
 
-_SCHEMAS: dict[tuple[str, str], object] = {}
+def _nan_to_null(df: DataFrame) -> DataFrame:
+    fixes = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType))
+             for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(fixes) if fixes else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """SRC3: one parquet table of the driver's test data.
-
-    Parquet schema inference runs a footer-reading job; the inferred schema is
-    remembered per (session, path) so later reads of the same table skip it.
-    Only the schema is cached: every read still lists the files afresh.
-    """
-    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
-    key = (str(id(spark)), path)
-    schema = _SCHEMAS.get(key)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    """SRC3: one parquet table of the driver's test data, NaN read as NULL."""
+    return _nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))

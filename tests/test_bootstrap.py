@@ -52,3 +52,12 @@ def test_normal_expressions_match_python(spark):
     dp = spark.createDataFrame([(p,) for p in ps], "p double")
     for r, p in zip(dp.select(norm_ppf("p").alias("z")).collect(), ps):
         assert r.z == pytest.approx(NormalDist().inv_cdf(p), rel=2e-9, abs=1e-12)
+
+
+def test_replicates_on_one_side_keep_the_group(spark):
+    """With one replicate all lie on one side of the estimate: the limits are that replicate."""
+    long = _long(spark)
+    got = bootstrap_mean_ci(long, n_resamples=1, n_blocks=64, decimals=None).collect()
+    reps = {r.group: r.mean for r in bootstrap_replicates(long, n_resamples=1, n_blocks=64).collect()}
+    assert {r.group for r in got} == {0, 1}
+    assert all(r.ci_low == r.ci_high == pytest.approx(reps[r.group]) for r in got)

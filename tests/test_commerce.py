@@ -143,3 +143,14 @@ def test_cohort_range_and_period_mapping(cust_orders):
     for r in limited.collect():
         counts[r.cohort] = counts.get(r.cohort, 0) + 1
     assert counts == {dt.date(2017, 1, 1): 2, dt.date(2017, 2, 1): 3}
+
+
+def test_cohorts_without_a_limit_stay_whole(cust_orders):
+    data = ([(f"a{m}", "a", "delivered", ts(2017, m)) for m in range(1, 6)]
+            + [(f"b{m}", "b", "delivered", ts(2017, m)) for m in range(2, 6)])
+    co = cust_orders(data)
+    counts = {}
+    for r in cohort.cohort_retention(co, n_periods={"2017-01": 2}).collect():
+        counts[r.cohort] = counts.get(r.cohort, 0) + 1
+    assert counts == {dt.date(2017, 1, 1): 2, dt.date(2017, 2, 1): 4}
+    assert cohort.cohort_retention(co, n_periods={}).count() == 9

@@ -39,3 +39,23 @@ def test_describe_and_tail(spark):
     assert (d["count"], d["min"], d["q50"], d["max"]) == (5, 1.0, 5.0, 20.0)
     t = profile.tail_profile(df, "v", 0.95, n_buckets=4).first()
     assert abs(t.p_quantile - 17.8) < 1e-9 and t.n_above == 1 and abs(t.share_above - 0.2) < 1e-12
+
+
+def test_keeping_corrupt_rows_leaves_the_schema_alone(spark, tmp_path):
+    p = tmp_path / "items.csv"
+    p.write_text("order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\no1,x,p1,s1,2017-09-19 09:45:35,58.9,13.29\n")
+    for _ in range(2):
+        assert read_csv_table(spark, str(p), "order_items", keep_corrupt=True).first()["_corrupt_record"].startswith("o1,x")
+    plain = read_csv_table(spark, str(p), "order_items")
+    assert "_corrupt_record" not in plain.columns and check_schema(plain, "order_items") == []
+
+
+def test_parquet_nan_is_null_and_new_columns_are_seen(spark, tmp_path):
+    from cartlytics.sources.readers import read_table
+    nan = float("nan")
+    spark.createDataFrame([(1, 2.0), (2, nan), (3, None)], "id long, v double").write.parquet(str(tmp_path / "t.parquet"))
+    df = read_table(spark, str(tmp_path), "t")
+    assert rows(profile.null_profile(df)) == [("id", 0), ("v", 2)]
+    assert profile.describe(df, ["v"], n_buckets=4).first()["mean"] == 2.0
+    spark.createDataFrame([(1, 2.0, "x")], "id long, v double, w string").write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+    assert read_table(spark, str(tmp_path), "t").columns == ["id", "v", "w"]

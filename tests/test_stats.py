@@ -95,15 +95,42 @@ def test_chi2_fills_zero_cells(spark):
 
 def test_distribution_tails_against_commons_math(spark):
     jm = spark._jvm.org.apache.commons.math3.distribution
-    for t, df in [(-1.2, 7.5), (2.5, 30.0), (0.1, 3.0)]:
-        ref = 2 * jm.TDistribution(df).cumulativeProbability(-abs(t))
-        assert pv.t_two_sided(t, df) == pytest.approx(ref, abs=1e-12)
-    for f, d1, d2 in [(7.584953, 2, 27), (1.3, 4, 100)]:
-        ref = 1 - jm.FDistribution(float(d1), float(d2)).cumulativeProbability(f)
-        assert pv.f_upper(f, d1, d2) == pytest.approx(ref, abs=1e-12)
-    for x, k in [(0.5, 1), (3.2, 2), (12.0, 5)]:
-        ref = 1 - jm.ChiSquaredDistribution(float(k)).cumulativeProbability(x)
-        assert pv.chi2_upper(x, k) == pytest.approx(ref, abs=1e-12)
+    cases = [("t", t, df, None, 2 * jm.TDistribution(df).cumulativeProbability(-abs(t)))
+             for t, df in [(-1.2, 7.5), (2.5, 30.0), (0.1, 3.0), (3.0, 1.0), (0.0, 5.0), (1.96, 1e5)]]
+    cases += [("f", f, d1, d2, 1 - jm.FDistribution(float(d1), float(d2)).cumulativeProbability(f))
+              for f, d1, d2 in [(7.584953, 2, 27), (1.3, 4, 100), (0.2, 1, 9), (1.1, 30, 40)]]
+    cases += [("chi2", x, k, None, 1 - jm.ChiSquaredDistribution(float(k)).cumulativeProbability(x))
+              for x, k in [(0.5, 1), (3.2, 2), (12.0, 5), (95.0, 100)]]
+    cases += [("z", z, None, None, math.erfc(abs(z) / math.sqrt(2))) for z in (0.3, -1.96, 5.0)] + [("k2", 4.0, None, None, math.exp(-2.0))]
+    for kind, x, d1, d2, ref in cases:
+        lit = lambda v: None if v is None else F.lit(float(v))
+        got = spark.range(1).select(pv.p_value_col(kind, lit(x), lit(d1), lit(d2)).alias("p")).first().p
+        assert got == pytest.approx(ref, abs=1e-10), (kind, x, d1, d2)
+
+
+def test_tails_reach_their_limit_for_many_degrees_of_freedom(spark):
+    """t and F tend to the normal law: within 1e-9 at 1e12 degrees of freedom and beyond."""
+    normal = math.erfc(1.96 / math.sqrt(2))
+    for df in (1e10, 1e12, 1e13, 1e15):
+        r = spark.range(1).select(pv.p_value_col("t", F.lit(1.96), F.lit(df)).alias("t"),
+                                  pv.p_value_col("f", F.lit(1.96 ** 2), F.lit(1.0), F.lit(df)).alias("f")).first()
+        assert r.t == pytest.approx(normal, abs=1e-9) and r.f == pytest.approx(normal, abs=1e-9)
+
+
+def test_tails_without_a_sure_value_are_null(spark):
+    lit = F.lit
+    r = spark.range(1).select(
+        pv.p_value_col("t", lit(None).cast("double"), lit(3.0)).alias("a"), pv.p_value_col("t", lit(float("nan")), lit(3.0)).alias("b"),
+        pv.p_value_col("t", lit(1.0), lit(0.0)).alias("c"), pv.p_value_col("chi2", lit(1.0), lit(0.0)).alias("d"),
+        pv.p_value_col("chi2", lit(50_000.0), lit(50_000.0)).alias("e"), pv.p_value_col("t", lit(float("inf")), lit(3.0)).alias("f")).first()
+    assert r.a is None and r.b is None and r.c is None and r.d is None and r.e is None and r.f == 0.0
+
+
+def test_a_metric_of_one_row_does_not_fail_the_others(spark):
+    long = long_df(spark, [A, B]).unionByName(long_df(spark, [[1.0]], metric="lone"))
+    got = {r.metric: r for r in abtests.mann_whitney(long, n_buckets=4).collect()}
+    assert got["m"].u_a == pytest.approx(9.5) and got["lone"].p_value is None
+    assert {r.metric: r.t for r in abtests.t_test(long).collect()}["lone"] is None
 
 
 def test_methods_agree_on_clear_difference(spark):
