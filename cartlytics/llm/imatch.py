@@ -96,11 +96,13 @@ def likeness(a: Column, b: Column) -> Column:
 def _bucketed(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, extra: rows by range of the id, so that each row's successor is in its bucket.
     The first row of a bucket is also in the bucket before, as ``extra`` (1; 2 after the last
-    document).  The bounds are ids from a sample of fixed size: they decide balance only."""
+    document).  The bounds are ids from a hash sample of about 16 a bucket: they decide balance only, and no
+    row depends on which ids are in it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     buckets = 8 * partitions(docs.sparkSession)
     ids = rows.select("doc_id").where("doc_id IS NOT NULL")
-    sample = sorted({r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id")).limit(16 * buckets).collect()})
+    every = max(1, rows.count() // (16 * buckets))
+    sample = sorted({r["doc_id"] for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).collect()})
     bounds = sorted({sample[i * len(sample) // buckets] for i in range(buckets)}) if sample else []
     # the least id belongs to the first bucket, with null ids before it
     at = F.lit(0)
