@@ -181,7 +181,7 @@ def q_histogram_order_value_auto(spark, d):
 
 def q_histogram_user_totals(spark, d):
     totals = experiment.user_metric_totals(experiment.log_metric(_metrics_long(spark, d)))
-    return r6(histogram.histogram_fixed(totals, "value", keys=["metric", "group"], bins=10))
+    return r6(histogram.histogram_fixed(totals, "value", keys=["metric", "group"], bins=10, few_keys=True))
 
 
 def q_ab_order_lines(spark, d):

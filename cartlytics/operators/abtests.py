@@ -103,7 +103,7 @@ def levene(long: DataFrame, alpha: float = 0.05, with_p: bool = True, value: str
     task); |x - median| moments per group are one more aggregation.
     """
     data = long.where(F.col(value).isNotNull())
-    med = exact_quantiles(data, value, [0.5], keys=["metric", "group"], n_buckets=n_buckets) \
+    med = exact_quantiles(data, value, [0.5], keys=["metric", "group"], n_buckets=n_buckets, few_keys=True) \
         .select("metric", "group", F.col("quantile").alias("_med"))
     z = attach(data, med, ["metric", "group"]).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
     g = z.groupBy("metric", "group").agg(
@@ -128,7 +128,7 @@ def levene(long: DataFrame, alpha: float = 0.05, with_p: bool = True, value: str
 def mann_whitney(long: DataFrame, a=0, b=1, with_p: bool = True, value: str = "value",
                  n_buckets: int | None = None, alpha: float = 0.05) -> DataFrame:
     """U of group a, two-sided, tie-corrected normal approximation with
-    continuity correction.  Average ranks come from the bucketed prefix counts
+    continuity correction.  Average ranks come from the prefix counts
     over distinct values: rank = before + (t + 1) / 2."""
     data = long.where(F.col("group").isin(a, b))
     r = ranked_values(data, value, keys=["metric"], n_buckets=n_buckets,

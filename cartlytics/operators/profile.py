@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlytics.plans.ordered import quantiles_wide
+from cartlytics.plans.ordered import ordered_summary, quantiles_wide
 from cartlytics.sources.schemas import check_schema  # noqa: F401  (PRF2)
 
 
@@ -39,23 +39,18 @@ def describe(df: DataFrame, columns: Sequence[str], n_buckets: int | None = None
     Rows (column, count, mean, std, min, q25, q50, q75, max).
     """
     long = _long(df, columns)
-    return describe_long(long, ["column"], n_buckets)
+    return describe_long(long, ["column"], n_buckets, few_keys=True)
 
 
 def describe_long(long: DataFrame, keys: Sequence[str], n_buckets: int | None = None,
-                  value: str = "value", extra: Sequence[tuple[float, str]] = ()) -> DataFrame:
-    """Describe per key of a long frame; ``extra`` adds more exact quantiles
-    (q, column name) computed by the same ordered plan as the quartiles."""
-    keys = list(keys)
-    moments = long.groupBy(*keys).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        F.max(value).alias("max"))
+                  value: str = "value", extra: Sequence[tuple[float, str]] = (), few_keys: bool = False) -> DataFrame:
+    """Describe per key of a long frame: moments and exact quantiles from the same first scan; ``extra``
+    adds more quantiles (q, column name).  A key without values has no row."""
     probs = [0.25, 0.5, 0.75] + [q for q, _ in extra]
+    s = ordered_summary(long, value, probs, list(keys), n_buckets, few_keys)
     names = ["q25", "q50", "q75"] + [n for _, n in extra]
-    qs = quantiles_wide(long, value, probs, names, keys=keys, n_buckets=n_buckets)
-    return moments.join(qs, keys, "left").select(
-        *keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max", *[n for _, n in extra])
+    q = [F.col(f"q{i}").alias(n) for i, n in enumerate(names)]
+    return s.select(*keys, "count", "mean", "std", "min", *q[:3], "max", *q[3:])
 
 
 def quantile(df: DataFrame, column: str, q: float, n_buckets: int | None = None) -> DataFrame:
@@ -80,13 +75,11 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False,
 
 def tail_profile(df: DataFrame, column: str, q: float = 0.95,
                  n_buckets: int | None = None) -> DataFrame:
-    """PRF8: (p_q, max, share of rows above p_q, count above)."""
-    v = df.select(F.col(column).cast("double").alias("v"))
-    p = quantiles_wide(v, "v", [q], ["p"], n_buckets=n_buckets).select("p").scalar()
-    return v.agg(
-        F.first(p).alias("p_quantile"), F.max("v").alias("max"),
-        F.avg(F.when(F.col("v").isNotNull(), (F.col("v") > p).cast("double"))).alias("share_above"),
-        F.count_if(F.col("v") > p).alias("n_above"))
+    """PRF8: (p_q, max, share of rows above p_q, count above): the rows up to the order statistic at
+    or below the quantile are those not above it."""
+    s = ordered_summary(df, column, [q], n_buckets=n_buckets)
+    above = F.col("count") - F.col("upto0")
+    return s.select(F.col("q0").alias("p_quantile"), "max", (above / F.col("count")).alias("share_above"), above.alias("n_above"))
 
 
 def order_totals(order_items: DataFrame, money_decimals: int | None = 6) -> DataFrame:
@@ -102,4 +95,4 @@ def price_profile(order_items: DataFrame, n_buckets: int | None = None) -> DataF
                                F.col("price").cast("double").alias("value"))
     orders = order_totals(order_items).select(F.lit("order_value").alias("column"),
                                               F.col("price").alias("value"))
-    return describe_long(items.unionByName(orders), ["column"], n_buckets, extra=[(0.95, "p95")])
+    return describe_long(items.unionByName(orders), ["column"], n_buckets, extra=[(0.95, "p95")], few_keys=True)

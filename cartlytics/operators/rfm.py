@@ -18,6 +18,7 @@ from cartlytics.functions.columns import (
     quantile_score, relabel, within_days)
 from cartlytics.operators.commerce import paid
 from cartlytics.plans.ordered import quantiles_wide
+from cartlytics.session import materialise
 
 _P = "customer_unique_id"
 QUINTILES = (0.2, 0.4, 0.6, 0.8)
@@ -47,8 +48,7 @@ def rfm_base(cust_orders: DataFrame, order_items: DataFrame, as_of, period_days:
     after as_of - period_days), monetary (sum of order values).
 
     Floating sums depend on the order rows arrive in; monetary is rounded to
-    ``money_decimals`` so the quintile thresholds and the scored rows (two
-    evaluations of this table) see the very same values.
+    ``money_decimals`` so that every evaluation of this table has the same values.
     """
     ov = order_values(cust_orders, order_items, excluded_statuses).where(F.col(_P).isNotNull())
     monetary = F.sum("price")
@@ -67,7 +67,7 @@ def rfm_thresholds(base: DataFrame, n_buckets: int | None = None) -> dict:
                        F.col("monetary").cast("double").alias("monetary")) \
         .unpivot([], ["recency", "monetary"], "column", "value")
     q = quantiles_wide(long, "value", QUINTILES, ["q20", "q40", "q60", "q80"], keys=["column"],
-                       n_buckets=n_buckets)
+                       n_buckets=n_buckets, few_keys=True)
     names = {"recency": "r", "monetary": "m"}
     one = q.agg(*[F.max(F.when(F.col("column") == c, F.col(f"q{k}"))).alias(f"{p}{k}")
                   for c, p in names.items() for k in (20, 40, 60, 80)])
@@ -80,6 +80,7 @@ def rfm_thresholds(base: DataFrame, n_buckets: int | None = None) -> dict:
 
 def rfm_scores(base: DataFrame, n_buckets: int | None = None, frequency_bins: int = 5) -> DataFrame:
     """R (5 = most recent quintile), f (equal-width bin 1..5), m (1..5)."""
+    base = materialise(base)  # thresholds and scores read one table of persons
     t = rfm_thresholds(base, n_buckets)
     return base.select(
         "*",

@@ -1,27 +1,21 @@
-"""Ordered prefix counts and exact quantiles without a single-partition sort.
-
-A global ``Window.orderBy`` plans ``Exchange SinglePartition``: every row of
-a group goes through one task.  Instead:
-
-1. collapse ties: one row per distinct (keys, value) with its count(s) -- a
-   partial+final hash aggregate, so a value holding a third of all rows is one
-   row after the map side;
-2. per key, ``percentile_approx`` gives B-1 split points (a mergeable sketch of
-   bounded size); bucket = number of split points below the value, found by a
-   binary search over the small split array.  The bucket is a pure function of
-   the value, so ties never straddle buckets and a recomputed task puts every
-   value in the same bucket;
-3. per (key, bucket) totals -> one row per key holding the rows before each
-   bucket (a dense array of B offsets, tiny, broadcast);
-4. running count within (key, bucket) ordered by value, plus the offset.
-   Quantiles only need the buckets that hold a wanted order statistic, so only
-   those few buckets are sorted.
-
-Each distinct value then carries ``before`` = rows of the same key with a
-strictly smaller value, ``n`` = its own count and ``total`` = rows of the key.
-Keys must be low-cardinality (metric, group, ...): split and offset arrays are
-broadcast, #keys x B values.  Without keys the one-row tables are attached as
-scalar subqueries, so no join without an equality key is planned.
+"""Ordered prefix counts and exact quantiles without a sort of all rows.
+
+Values are cut into cells by their binary magnitude: ``per_octave`` equal cells between any two
+powers of two, in the order of the values.  A cell is a pure function of the value: no sample and
+no sketch is needed, and a recomputed task puts every value in the same cell.
+
+Quantiles, moments and extremes (``ordered_summary``) take two scans:
+
+1. rows per (key, cell) with their count and moments, a partial+final aggregate, so a task sends
+   one small row a cell; windows over these rows give each cell's offset, the key's totals
+   and the cells that hold a wanted order statistic;
+2. a scan that keeps only the rows of those cells, collapses ties, and counts within the cell.
+
+No detail row is shuffled before its cell is known to be wanted.  Known bound: the different values
+of one wanted cell (1 / per_octave of an octave) are ordered in one task.
+
+``ranked_values`` needs the rank of every value: ties are collapsed first, then running counts are
+windows per (key, cell) plus the offset of the cell.
 """
 
 from __future__ import annotations
@@ -32,156 +26,124 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PER_OCTAVE = 4096
+_OCTAVES = 1100  # above the range of double exponents on either side of 0
 
-MAX_BUCKETS = 4096
 
+def _cells_per_octave(n: int | None) -> int:
+    n = n or PER_OCTAVE
+    if n < 2 or n & (n - 1) or n > 1 << 20:
+        raise ValueError("n_buckets, the cells per octave, must be a power of two in [2, 2**20]")
+    return n
 
-def default_buckets(df: DataFrame) -> int:
-    """Next power of two >= the shuffle partition count, within [64, 4096].
 
-    Buckets are balanced by distinct values (approximate split points), so one
-    bucket per shuffle partition spreads the per-bucket windows evenly; the cap
-    keeps the split sketch and the per-key offset array small (built in O(B^2)
-    array work on one row per key).  With 4096 buckets a window partition holds
-    ~1/4096 of a key's distinct values.
-    """
-    try:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover
-        parts = 200
-    b = 64
-    while b < parts and b < MAX_BUCKETS:
-        b *= 2
-    return b
+def cell_of(value: Column, per_octave: int = PER_OCTAVE) -> Column:
+    """Cell of a double; monotone in the value.  If log2 lands on the wrong side of a power of two,
+    the linear part makes up for it, so the order holds there too."""
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    within = F.floor((size / F.pow(F.lit(2.0), exponent.cast("double")) - 1.0) * per_octave)
+    magnitude = (F.when(size == float("inf"), F.lit(2 * _OCTAVES * per_octave))
+                 .otherwise((exponent + _OCTAVES) * per_octave + within).cast("long"))
+    return F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(F.lit(0).cast("long"))
 
 
-def _check_buckets(b: int) -> int:
-    """Power of two in [2, 8192]: the dense offset array of a key is built with
-    O(B^2) element copies on one row, about 67M at the limit."""
-    if b < 2 or b & (b - 1) or b > 8192:
-        raise ValueError("n_buckets must be a power of two in [2, 8192]")
-    return b
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], few_keys: bool = True) -> DataFrame:
+    """Add the columns of ``small`` (one row per key) to ``df``.
 
-
-def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the columns of ``small`` (one row per key, bounded) to ``df``.
-
-    With keys: broadcast hash join.  Without keys ``small`` has one row and its
-    columns become scalar subqueries.
+    With keys: a join, whose small side is broadcast if the caller vouches for ``few_keys``.  Without
+    keys ``small`` has one row and its columns become scalar subqueries.
     """
     if keys:
-        return df.join(F.broadcast(small), list(keys))
+        return df.join(F.broadcast(small) if few_keys else small, list(keys))
     return df.withColumns({c: small.select(c).scalar() for c in small.columns})
 
 
 @dataclass
 class Ranked:
-    rows: DataFrame      # keys..., value, n, extra counts..., _bucket, before
-    totals: DataFrame    # keys..., total, _boffs  (one row per key)
+    rows: DataFrame      # keys..., value, n, extra counts..., _cell, before
     keys: list[str]
 
 
-def _with_bucket(df: DataFrame, splits: str, value: str, n_buckets: int) -> DataFrame:
-    """Add ``_bucket`` = number of split points < value: a binary search of
-    log2(B) steps unrolled into plain CASE WHEN projections, which stay inside
-    whole-stage codegen (a higher-order ``aggregate`` would be interpreted per
-    row, and may not reference a scalar subquery at all)."""
-    sp, v = F.col(splits), F.col(value)
-    out = df.withColumn("_bucket", F.lit(0))
-    step = n_buckets // 2
-    while step >= 1:
-        probe = F.col("_bucket") + F.lit(step)
-        out = out.withColumn("_bucket", F.when(F.element_at(sp, probe) < v, probe)
-                             .otherwise(F.col("_bucket")))
-        step //= 2
-    return out.drop(splits)
-
-
-def _bucketed(df: DataFrame, value: str, keys: list[str], counts, b: int, accuracy: int):
-    """Distinct values with counts and bucket, plus one row per key with the
-    total and ``_boffs``: rows before each bucket (dense, B entries)."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for name, cond in (counts or {}).items():
-        aggs.append(F.count(F.when(cond, F.lit(1))).alias(name))
-    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
-    probs = [i / b for i in range(1, b)]
-    # The split sketch reads ``n`` too (n > 0 always holds), so all consumers of
-    # ``d`` see the identical plan and Spark reuses one shuffle of the input
-    # instead of scanning it once per consumer.
-    splits = d.groupBy(*keys).agg(F.percentile_approx(
-        F.when(F.col("n") > 0, F.col(value)), probs, accuracy).alias("_splits"))
-    db = _with_bucket(attach(d, splits, keys), "_splits", value, b)
-    per_bucket = db.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_bn"))
-    per_key = per_bucket.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_bucket", "_bn"))).alias("_m"),
-        F.sum("_bn").alias("total"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(b - 1)),
-                        lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0).cast("long")))
-    init = F.struct(F.array().cast("array<bigint>").alias("acc"), F.lit(0).cast("long").alias("s"))
-    boffs = F.aggregate(dense, init, lambda st, x: F.struct(
-        F.array_append(st["acc"], st["s"]).alias("acc"), (st["s"] + x).alias("s")))["acc"]
-    totals = per_key.select(*keys, "total", boffs.alias("_boffs"))
-    return db, totals
-
-
 def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (),
-                  counts: Mapping[str, Column] | None = None,
-                  n_buckets: int | None = None, accuracy: int = 10000) -> Ranked:
-    """Distinct values per key with rank information (see module docstring).
+                  counts: Mapping[str, Column] | None = None, n_buckets: int | None = None) -> Ranked:
+    """Distinct values per key with ``n`` (rows) and ``before`` (rows of the key with a smaller value).
 
-    ``counts`` adds conditional counts per distinct value, e.g.
-    ``{"n0": F.col("group") == 0}``.  NULL values are dropped.
+    ``counts`` adds conditional counts per distinct value, e.g. ``{"n0": F.col("group") == 0}``.  NULL
+    values are dropped.  ``n_buckets``: cells per octave.
     """
     keys = list(keys)
-    b = _check_buckets(n_buckets or default_buckets(df))
-    db, totals = _bucketed(df, value, keys, counts, b, max(accuracy, 4 * b))
-    within = Window.partitionBy(*keys, "_bucket").orderBy(value) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    rows = (attach(db, totals.select(*keys, "_boffs"), keys)
-            .withColumn("before", F.element_at(F.col("_boffs"), F.col("_bucket") + 1)
-                        + F.coalesce(F.sum("n").over(within), F.lit(0)))
-            .drop("_boffs"))
-    return Ranked(rows=rows, totals=totals, keys=keys)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for name, cond in (counts or {}).items():
+        aggs.append(F.count(F.when(cond, F.lit(1))).alias(name))
+    d = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
+         .withColumn("_cell", cell_of(F.col(value).cast("double"), _cells_per_octave(n_buckets))))
+    offsets = d.groupBy(*keys, "_cell").agg(F.sum("n").alias("_cn"))
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select(*keys, "_cell", F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = (d.join(offsets, [*keys, "_cell"])
+            .withColumn("before", F.col("_offset") + F.coalesce(F.sum("n").over(within), F.lit(0))).drop("_offset"))
+    return Ranked(rows=rows, keys=keys)
+
+
+def ordered_summary(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
+                    n_buckets: int | None = None, few_keys: bool = False) -> DataFrame:
+    """keys..., count, mean, std, min, max, and per probability i: q{i} (linear interpolation between the
+    order statistics around (n - 1) q, exact) and upto{i} (rows at most as large as the lower one).
+
+    ``few_keys``: the caller knows that there are few keys (column names, metrics, groups); the
+    table of wanted cells, 2 * len(probs) rows a key, is then broadcast.
+    """
+    keys, per_octave = list(keys), _cells_per_octave(n_buckets)
+    v = F.col(value).cast("double")
+    data = df.where(F.col(value).isNotNull()).select(*keys, v.alias("_v"), cell_of(v, per_octave).alias("_cell"))
+    cells = data.groupBy(*keys, "_cell").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_avg"), (F.var_pop("_v") * F.count(F.lit(1))).alias("_m2"),
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    n, avg = F.col("_n"), F.col("_avg")
+    cells = (cells.withColumn("count", F.sum(n).over(whole)).withColumn("mean", F.sum(n * avg).over(whole) / F.col("count"))
+             .withColumn("_ss", F.sum(F.col("_m2") + n * (avg - F.col("mean")) * (avg - F.col("mean"))).over(whole))
+             .withColumn("min", F.min("_lo").over(whole)).withColumn("max", F.max("_hi").over(whole))
+             .withColumn("_before", F.coalesce(F.sum(n).over(earlier), F.lit(0))))
+    moments = ["count", "mean", "_ss", "min", "max"]
+
+    def target(i: int, p: float, kind: str) -> Column:
+        at = (F.col("count") - 1) * float(p)
+        return F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), (F.floor(at) if kind == "lo" else F.ceil(at)).cast("long").alias("idx"),
+                        (at - F.floor(at)).alias("frac"))
+
+    wanted = F.filter(F.array(*[target(i, p, k) for i, p in enumerate(probs) for k in ("lo", "hi")]),
+                      lambda t: (t["idx"] >= F.col("_before")) & (t["idx"] < F.col("_before") + F.col("_n")))
+    goals = (cells.select(*keys, "_cell", "_before", *moments, wanted.alias("_targets")).where(F.size("_targets") > 0))
+    seen = data.join(F.broadcast(goals) if few_keys or not keys else goals, [*keys, "_cell"])
+    about = ["_before", *moments, "_targets"]
+    ties = seen.groupBy(*keys, "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in about])
+    below = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ties.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    hits = ranked.select(*keys, *moments, "_v", (F.col("_at") + F.col("_n")).alias("_upto"), F.explode(F.filter(
+        "_targets", lambda t: (t["idx"] >= F.col("_at")) & (t["idx"] < F.col("_at") + F.col("_n")))).alias("_t"))
+    picked = []
+    for i in range(len(probs)):
+        here = F.col("_t.i") == i
+        low, high = (F.max(F.when(here & (F.col("_t.kind") == k), F.col("_v"))) for k in ("lo", "hi"))
+        frac = F.max(F.when(here, F.col("_t.frac")))
+        picked += [F.when(frac == 0, low).otherwise(low + (high - low) * frac).alias(f"q{i}"),
+                   F.max(F.when(here & (F.col("_t.kind") == "lo"), F.col("_upto"))).alias(f"upto{i}")]
+    out = hits.groupBy(*keys).agg(*[F.first(c).alias(c) for c in moments], *picked)
+    std = F.when(F.col("count") > 1, F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1)))
+    return out.select(*keys, "count", "mean", std.alias("std"), "min", "max", *[c for i in range(len(probs)) for c in (f"q{i}", f"upto{i}")])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    keys: Sequence[str] = (), n_buckets: int | None = None,
-                    accuracy: int = 10000) -> DataFrame:
-    """Linear-interpolation quantiles (pandas / numpy / DuckDB quantile_cont), exact.
-
-    Returns long rows (keys..., q, quantile): position (n-1)q between the order
-    statistics at floor and ceil, value = lo + (hi - lo) * frac.  Only the
-    buckets that contain a wanted order statistic are sorted.
-    """
-    keys = list(keys)
-    b = _check_buckets(n_buckets or default_buckets(df))
-    db, totals = _bucketed(df, value, keys, None, b, max(accuracy, 4 * b))
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("q"), F.lit(k).alias("kind"))
-                       for p in probs for k in ("lo", "hi")])
-    pos = (F.col("total") - 1) * F.col("t.q")
-    tgt = (totals.select(*keys, "_boffs", "total", F.explode(wanted).alias("t"))
-           .select(*keys, "_boffs", F.col("t.q").alias("q"), F.col("t.kind").alias("_kind"),
-                   F.when(F.col("t.kind") == "lo", F.floor(pos)).otherwise(F.ceil(pos)).alias("_idx"),
-                   (pos - F.floor(pos)).alias("_frac")))
-    # bucket holding order statistic _idx: last bucket whose offset <= _idx
-    n_le = F.size(F.filter("_boffs", lambda o: o <= F.col("_idx")))
-    tgt = tgt.select(*keys, "q", "_kind", "_idx", "_frac", (n_le - 1).alias("_bucket"),
-                     F.element_at("_boffs", n_le).alias("_boff"))
-    v = F.col(value).cast("double")
-    cand = db.join(F.broadcast(tgt), keys + ["_bucket"])
-    w = Window.partitionBy(*keys, "q", "_kind").orderBy(value) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    cand = cand.withColumn("_before", F.col("_boff") + F.coalesce(F.sum("n").over(w), F.lit(0)))
-    hits = cand.where((F.col("_idx") >= F.col("_before"))
-                      & (F.col("_idx") < F.col("_before") + F.col("n")))
-    picked = hits.groupBy(*keys, "q", "_frac").agg(
-        F.max(F.when(F.col("_kind") == "lo", v)).alias("_lov"),
-        F.max(F.when(F.col("_kind") == "hi", v)).alias("_hiv"))
-    return picked.select(
-        *keys, "q",
-        F.when(F.col("_frac") == 0, F.col("_lov"))
-        .otherwise(F.col("_lov") + (F.col("_hiv") - F.col("_lov")) * F.col("_frac"))
-        .alias("quantile"))
+                    keys: Sequence[str] = (), n_buckets: int | None = None, few_keys: bool = False) -> DataFrame:
+    """Linear-interpolation quantiles (pandas / numpy / DuckDB quantile_cont), exact: long rows
+    (keys..., q, quantile)."""
+    wide = ordered_summary(df, value, probs, keys, n_buckets, few_keys).where(F.col("count") > 0)
+    pairs = F.array(*[F.struct(F.lit(float(p)).alias("q"), F.col(f"q{i}").alias("quantile")) for i, p in enumerate(probs)])
+    return wide.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.q", "_p.quantile")
 
 
 def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float],
@@ -198,11 +160,11 @@ def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 def quantiles_wide(df: DataFrame, value: str, probs: Sequence[float],
                    names: Sequence[str], keys: Sequence[str] = (),
-                   n_buckets: int | None = None, approx: bool = False) -> DataFrame:
-    """Same as :func:`exact_quantiles` (or :func:`approx_quantiles` with
-    ``approx``), one row per key and one column per q."""
-    long = (approx_quantiles(df, value, probs, keys) if approx
-            else exact_quantiles(df, value, probs, keys, n_buckets))
-    aggs = [F.max(F.when(F.col("q") == float(p), F.col("quantile"))).alias(nm)
-            for p, nm in zip(probs, names)]
-    return long.groupBy(*keys).agg(*aggs)
+                   n_buckets: int | None = None, approx: bool = False, few_keys: bool = False) -> DataFrame:
+    """Same as :func:`exact_quantiles` (or :func:`approx_quantiles` with ``approx``), one row per key
+    and one column per q."""
+    if not approx:
+        wide = ordered_summary(df, value, probs, keys, n_buckets, few_keys)
+        return wide.select(*keys, *[F.col(f"q{i}").alias(nm) for i, nm in enumerate(names)])
+    aggs = [F.max(F.when(F.col("q") == float(p), F.col("quantile"))).alias(nm) for p, nm in zip(probs, names)]
+    return approx_quantiles(df, value, probs, keys).groupBy(*keys).agg(*aggs)

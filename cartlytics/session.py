@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: naive timestamps are interpreted in UTC (D16),
 # AQE re-plans joins/partition counts at runtime and splits skewed partitions.
@@ -47,6 +48,27 @@ def build_session(master: str | None = None, app: str = "cartlytics",
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, which all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/cartlytics-{spark.sparkContext.applicationId}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: it is computed once, and a
+    lost executor costs no recomputation.  ``release`` removes these tables."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``materialise`` wrote in this application."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``.  Only a local-mode
     session without that setting (tests) gets a fresh scratch folder; on a
