@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import sys
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlytics.session import ensure_checkpoint_dir
+from cartlytics.session import materialise, release, shared_folder  # noqa: F401
 
 
 def ship(module: str) -> None:
@@ -24,29 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a scratch
-    folder only in local mode, where driver and executors are one process."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    root = set_by_cluster or ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/cartlytics-{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage is cut,
-    and a lost executor costs no recomputation.  ``release`` removes these tables."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what ``materialise`` wrote in this application."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` records, so that a worker holds few texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
