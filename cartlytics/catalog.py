@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlytics.functions.pvalues import tail_arguments, upper_tail
-from cartlytics.operators import abtests, bootstrap, cohort, commerce, experiment, histogram, profile, rfm
+from cartlytics.functions.columns import month_label
+from cartlytics.operators import abtests, bootstrap, cohort, commerce, display, experiment, histogram, profile, rfm
+from cartlytics.sources.readers import read_table
 from cartlytics.sources import testdata as td
 
 P = td.PARAMS
 BOOT_RESAMPLES = 2000
 BOOT_BLOCKS = 1024
 BOOT_SEED = 42
+TOP = 20
+COHORT_RANGE = ("1995-02-01", "1995-09-30")
+COHORT_PERIODS = {"1995-02": 3, "1995-03": 5, "1995-04": 4}  # the other cohorts are shown whole
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -75,8 +80,58 @@ def _retention(spark, d, mode):
 
 # --- queries ---------------------------------------------------------------
 
+SOURCES = ("customer", "orders", "lineitem")
+
+
 def q_null_profile(spark, d):
-    return profile.null_profile(td.orders(spark, d))
+    """Missing values of every column of all three source tables."""
+    return display.union_all([profile.null_profile(read_table(spark, d, t)).select(F.lit(t).alias("table"), "column", "null_count")
+                              for t in SOURCES])
+
+
+def q_describe_lineitem(spark, d):
+    """describe() of every numeric column of the items table."""
+    li = read_table(spark, d, "lineitem")
+    return r6(profile.describe(li, [f.name for f in li.schema.fields if isinstance(f.dataType, T.NumericType)]))
+
+
+def q_top_products(spark, d):
+    """R3 as displayed: by quantity, largest first, ties by product."""
+    best = commerce.top_weekday_per_product(td.orders(spark, d), td.order_items(spark, d), P["excluded_statuses"])
+    return display.preview(best, TOP, by=[("quantity", False)], tiebreak=["product_id"])
+
+
+def q_top_buyers_per_week(spark, d):
+    """R4 as displayed: by rate, largest first, ties by month and person."""
+    rates = commerce.purchases_per_week(_co(spark, d), P["excluded_statuses"])
+    return r6(display.preview(rates, TOP, by=[("avg_purchases_per_week", False)], tiebreak=["year_month", "customer_unique_id"]))
+
+
+def q_cohort_retention_range(spark, d):
+    """R5 as asked: a range of cohorts, a number of months for each, and the month as a label."""
+    got = cohort.cohort_retention(_co(spark, d), P["excluded_statuses"], n_periods=COHORT_PERIODS,
+                                  cohort_from=COHORT_RANGE[0], cohort_to=COHORT_RANGE[1])
+    return r6(got.withColumn("cohort_label", month_label("cohort")))
+
+
+def q_histogram_cumulative_orders(spark, d):
+    """H1 on integers: the running number of orders by day."""
+    return r6(histogram.histogram_auto(experiment.cumulative_orders(_order_metrics(spark, d)), "cumulative_orders",
+                                       keys=["group"], few_keys=True))
+
+
+def q_contingency(spark, d):
+    return r6(abtests.contingency(td.ab_users_data(spark, d), "group", "action"))
+
+
+def q_log_metric_checks(spark, d):
+    """Equality of variances and normality of the logs of the metrics, with verdicts."""
+    logs = experiment.log_metric(_metrics_long(spark, d), keep_original=False)
+    even = abtests.levene(logs).select(F.lit("levene").alias("test"), "metric", F.lit(None).cast("int").alias("group"),
+                                       F.col("w").alias("statistic"), "p_value", F.col("equal_var").alias("holds"))
+    normal = abtests.normality(logs).select(F.lit("normality").alias("test"), "metric", "group",
+                                            F.col("k2").alias("statistic"), "p_value", F.col("normal").alias("holds"))
+    return r6(display.union_all([even, normal]))
 
 
 def q_describe_price(spark, d):
@@ -100,7 +155,7 @@ def q_value_counts_status(spark, d):
 
 
 def q_orders_shape(spark, d):
-    return profile.shape(td.orders(spark, d))
+    return profile.shape(read_table(spark, d, "orders"))
 
 
 def q_status_shares(spark, d):

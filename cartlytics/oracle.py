@@ -248,11 +248,39 @@ _ZB = _normal.inv_cdf(1.0 - (1.0 - 0.95) / 2.0)
 
 
 SQL: dict[str, str] = {
-    "null_profile": """
-SELECT 'order_id' AS "column", count(*) - count(o_orderkey) AS null_count FROM orders
-UNION ALL SELECT 'customer_id', count(*) - count(o_custkey) FROM orders
-UNION ALL SELECT 'order_status', count(*) - count(o_orderstatus) FROM orders
-UNION ALL SELECT 'order_purchase_timestamp', count(*) - count(o_orderdate) FROM orders""",
+    "null_profile": "\nUNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", name AS \"column\", value AS null_count FROM "
+        f"(UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME name VALUE value)"
+        for t in ("customer", "orders", "lineitem")),
+
+    "describe_lineitem": "\nUNION ALL ".join(f"""
+SELECT '{c}' AS "column", count({c}) AS "count", round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+       round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min,
+       round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS q50,
+       round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75, round(CAST(max({c}) AS DOUBLE), 6) AS max
+FROM lineitem""" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")),
+
+    "contingency": f"""
+WITH {AB},
+r AS (SELECT grp, count(*) AS n FROM users GROUP BY grp), c AS (SELECT action, count(*) AS n FROM users GROUP BY action)
+SELECT r.grp AS "group", c.action, (SELECT count(*) FROM users u WHERE u.grp = r.grp AND u.action = c.action) AS observed,
+       round(CAST(r.n AS DOUBLE) * c.n / (SELECT count(*) FROM users), 6) AS expected
+FROM r CROSS JOIN c""",
+
+    "cohort_retention_range": f"""
+WITH {CO}, {RETENTION},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY year_month) AS nth FROM ret
+             WHERE cohort BETWEEN DATE '1995-02-01' AND DATE '1995-09-30'),
+kept AS (SELECT * FROM numbered WHERE nth <= CASE strftime(cohort, '%Y-%m') WHEN '1995-02' THEN 3 WHEN '1995-03' THEN 5 WHEN '1995-04' THEN 4
+                                                  ELSE nth END)
+SELECT cohort, year_month, month_offset, customers_quantity, round(percentage, 6) AS percentage,
+       strftime(cohort, '%Y-%m') AS cohort_label FROM kept""",
+
+    "histogram_cumulative_orders": _hist(f"""{AB},
+daily AS (SELECT grp, date, count(DISTINCT order_id) AS n FROM om GROUP BY grp, date),
+src AS (SELECT grp, sum(n) OVER (PARTITION BY grp ORDER BY date) AS total FROM daily)""", "total", ["grp"], True)
+    .replace("ELSE st END AS wd FROM w", "ELSE st END AS wd0, CASE WHEN wd0 > 0 AND wd0 < 1 THEN 1.0 ELSE wd0 END AS wd FROM w")
+    .replace("SELECT grp, bin, round", 'SELECT grp AS "group", bin, round'),
 
     "describe_price": """
 SELECT 'price' AS "column", count(l_extendedprice) AS "count", round(avg(l_extendedprice), 6) AS mean,
@@ -287,7 +315,7 @@ WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus""",
 
     "inner_join_customer_orders": f"WITH {CO} SELECT * FROM co",
 
-    "orders_shape": "SELECT count(*) AS \"rows\", 4 AS \"columns\" FROM orders",
+    "orders_shape": "SELECT count(*) AS \"rows\", (SELECT count(*) FROM (DESCRIBE SELECT * FROM orders)) AS \"columns\" FROM orders",
 
     "status_shares": """
 WITH c AS (SELECT o_orderstatus AS order_status, count(*) AS n FROM orders
@@ -575,6 +603,15 @@ def _on_all_metrics(name: str, test: str, statistic: str, group: str = "NULL", m
             f"FROM (WITH long AS (SELECT * FROM both_kinds), {inner})")
 
 
+SQL["top_products"] = f"SELECT * FROM ({SQL['top_weekday_per_product']}) ORDER BY quantity DESC, product_id LIMIT 20"
+SQL["top_buyers_per_week"] = f"SELECT * FROM ({SQL['purchases_per_week']}) ORDER BY avg_purchases_per_week DESC, year_month, customer_unique_id LIMIT 20"
+SQL["log_metric_checks"] = f"""
+WITH {AB}, {LOGS}
+""" + "\nUNION ALL ".join(
+    f"SELECT '{test}' AS test, metric, CAST({group} AS INTEGER) AS \"group\", {stat} AS statistic, p_value, {flag} AS holds\n"
+    f"FROM (WITH long AS (SELECT * FROM logs), {SQL[name].strip().removeprefix(f'WITH {AB},')})"
+    for test, name, group, stat, flag in (("levene", "levene", "NULL", "w", "equal_var"), ("normality", "normality_k2", '"group"', "k2", "normal")))
+
 SQL["ab_test_pvalues"] = f"""
 WITH {AB}, {LOGS},
 both_kinds AS (SELECT metric, grp, user_id, unit_id, value FROM long
