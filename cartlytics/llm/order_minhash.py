@@ -14,7 +14,7 @@ excludes no link.
 Classes are the connected components of the links; copies (equal words) are one node.  Within
 a key, no pairs of all members are made at once: each member is compared with one leader, and
 only members that are still in another class than some member of their key go on, to
-2, 4, 8 ... further leaders, until a key's members are of one class or have been compared
+2, 8, 32 ... leaders, until a key's members are of one class or have been compared
 with each other.
 
 Cases: null texts are empty; texts without words are never near another one; a text of fewer
@@ -37,8 +37,10 @@ ship(__name__)
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
-SAMPLES = 16
-KEPT = 3
+#: Texts of similarity 0.8 share all KEPT shingles of a sample with probability 0.8**5 = 0.33, and so
+#: no key at all with 0.67**24 = 7e-5; texts that only share a passage rarely share a key.
+SAMPLES = 24
+KEPT = 5
 WORD = r"[^\W_]+"
 
 TEXTS = T.StructType([
@@ -79,20 +81,30 @@ def occurrence_labelled(s):
     return s + label * np.uint64(0xD1B54A32D192ED03)
 
 
+def kept(n: int) -> int:
+    """How many shingles make a key of a text of n: fewer for short texts."""
+    return max(1, min(KEPT, n // 3))
+
+
 def order_keys(labelled):
-    """SAMPLES keys of int64: for each hash function the KEPT least labelled shingles in text order."""
+    """Keys (int64) of a text: for each of SAMPLES hash functions its least labelled shingles in text
+    order.  A short text gets keys for each number of shingles that a similar text may have."""
+    import math
+
     import numpy as np
 
     n = len(labelled)
     salts = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    k = min(KEPT, n)
     ranks = mix64(labelled[None, :] ^ salts[:, None])
-    least = np.argpartition(ranks, k - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (SAMPLES, 1))
-    least.sort(axis=1)
-    key = salts.copy()
-    for i in range(k):
-        key = mix64((key + np.uint64(i)) ^ labelled[least[:, i]])
-    return key.view(np.int64)
+    out = []
+    for k in sorted({min(n, kept(m)) for m in (n, math.ceil(MIN_SIMILARITY * n), int(n / MIN_SIMILARITY))}):
+        least = np.argpartition(ranks, k - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (SAMPLES, 1))
+        least.sort(axis=1)
+        key = salts + np.uint64(k)
+        for i in range(k):
+            key = mix64((key + np.uint64(i)) ^ labelled[least[:, i]])
+        out.append(key.view(np.int64))
+    return np.concatenate(out)
 
 
 def keys_of_texts(batches: Iterator) -> Iterator:
@@ -241,13 +253,13 @@ def links_of(texts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, similarity) between different texts, and the class of each linked text.
 
     ``texts``: text_hash, row, keys, n, one row for each text_hash."""
-    keyed = texts.select("text_hash", "n", F.posexplode("keys").alias("sample", "key"))
+    keyed = texts.select("text_hash", "n", F.explode("keys").alias("key"))
     # a key's size, and its leader: the member of least hash, the same for all keys where possible
     leads = materialise(
-        keyed.groupBy("sample", "key")
+        keyed.groupBy("key")
         .agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("text_hash").alias("h"), "text_hash", "n")).alias("l"))
-        .where("members > 1").select("sample", "key", "members", F.col("l.text_hash").alias("lead"), F.col("l.n").alias("lead_n")))
-    shared = materialise(keyed.join(leads, ["sample", "key"]))
+        .where("members > 1").select("key", "members", F.col("l.text_hash").alias("lead"), F.col("l.n").alias("lead_n")))
+    shared = materialise(keyed.join(leads, "key"))
     wanted = materialise(shared.select("text_hash").distinct().join(texts.select("text_hash", "row"), "text_hash"))
     seqs = materialise(docs.select(row_key().alias("row"), text_or_empty().alias("text")).join(wanted, "row").select("text_hash", "text")
                        .mapInArrow(sequences, SEQUENCES).groupBy("text_hash").agg(F.first("seq").alias("seq")))
@@ -256,29 +268,39 @@ def links_of(texts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.least("text_hash", "lead").alias("a"), F.greatest("text_hash", "lead").alias("b")).distinct()
     links = materialise(verified(tried, seqs))
     classes = components(links)
-    members = shared.where("members > 2").select("sample", "key", "members", "text_hash", "n")
-    step = 1
+    members = shared.where("members > 2").select("key", "members", "text_hash", "n")
+    leaders = 2
     while True:
         # keys whose members are not of one class yet, and have not all been leaders
         now = members.join(classes.withColumnRenamed("node", "text_hash"), "text_hash", "left").withColumn("class", F.coalesce("class", "text_hash"))
-        spread = materialise(now.groupBy("sample", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-                             .where("lo < hi").select("sample", "key"))
-        members = materialise(now.join(spread, ["sample", "key"]))
+        spread = materialise(now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+                             .where("lo < hi").select("key"))
+        members = materialise(now.join(spread, "key"))
         if members.isEmpty():
             return links, classes
-        # about 2 * step leaders of each key, by the share of their hash; at the end all of a key's members
+        # about so many leaders of each key, by the share of their hash; at the end all of a key's members
         share = F.pmod(F.xxhash64("text_hash", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-        chosen = (members.where(share * F.col("members") < 2 * step)
-                  .select("sample", "key", F.col("text_hash").alias("lead"), F.col("n").alias("lead_n"), F.col("class").alias("lead_class")))
-        pairs = (members.join(chosen, ["sample", "key"])
+        chosen = (members.where(share * F.col("members") < leaders)
+                  .select("key", F.col("text_hash").alias("lead"), F.col("n").alias("lead_n"), F.col("class").alias("lead_class")))
+        pairs = (members.join(chosen, "key")
                  .where((F.col("class") != F.col("lead_class")) & close)
                  .select(F.least("text_hash", "lead").alias("a"), F.greatest("text_hash", "lead").alias("b")).distinct())
         fresh = materialise(verified(pairs, seqs))
         if not fresh.isEmpty():
             links = materialise(links.unionByName(fresh).distinct())
-            classes = components(links)
-        members = members.where(F.col("members") > 2 * step).drop("class")
-        step *= 2
+            classes = joined(classes, fresh)
+        members = members.where(F.col("members") > leaders).drop("class")
+        leaders *= 4
+
+
+def joined(classes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The classes after more links: only the classes that these links join are looked at."""
+    nodes = fresh.select(F.col("a").alias("node")).unionByName(fresh.select(F.col("b").alias("node"))).distinct()
+    every = materialise(classes.unionByName(nodes.join(classes, "node", "left_anti").select("node", F.col("node").alias("class"))))
+    of = lambda side: every.select(F.col("node").alias(side), F.col("class").alias(f"class_{side}"))
+    between = fresh.join(of("a"), "a").join(of("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).where("a <> b")
+    moved = components(between).select(F.col("node").alias("class"), F.col("class").alias("to"))
+    return materialise(every.join(moved, "class", "left").select("node", F.coalesce("to", "class").alias("class")))
 
 
 def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -27,22 +28,25 @@ def test_alignment_against_the_plain_recurrence():
         assert got == true if true >= least else got < least
 
 
-def similarity(a, b):
-    s = []
-    for t in (a, b):
-        w = re.findall(X.WORD, t.lower())
-        k = min(5, len(w))
-        s.append([tuple(w[i:i + k]) for i in range(len(w) - k + 1)] if w else [])
-    if not all(s):
+def shingles_of(text):
+    w = re.findall(X.WORD, text.lower())
+    k = min(5, len(w))
+    return [tuple(w[i:i + k]) for i in range(len(w) - k + 1)] if w else []
+
+
+def similarity(a, b, shared):
+    """Of two lists of shingles; ``shared``: their common ones, repeats counted, which bound the alignment."""
+    if not a or not b or shared < 0.8 * (len(a) + len(b) - shared) - 1e-9:
         return 0.0
-    n = lcs(*s)
-    return n / (len(s[0]) + len(s[1]) - n)
+    n = lcs(a, b)
+    return n / (len(a) + len(b) - n)
 
 
 def classes_by_brute_force(texts):
     """Components of all pairs of similarity 0.8, texts without words alone; ids to least ids."""
-    ids = sorted(texts)
-    parent = {i: i for i in ids}
+    ids, parent = sorted(texts), {i: i for i in texts}
+    lists = {i: shingles_of(t) for i, t in texts.items()}
+    counts = {i: Counter(s) for i, s in lists.items()}
 
     def find(x):
         while parent[x] != x:
@@ -51,9 +55,10 @@ def classes_by_brute_force(texts):
 
     for a in ids:
         for b in ids:
-            if a < b and (find(a) != find(b)) and similarity(texts[a], texts[b]) >= 0.8 - 1e-9:
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
+            if a < b and min(len(lists[a]), len(lists[b])) >= 0.8 * max(len(lists[a]), len(lists[b])) and find(a) != find(b):
+                if similarity(lists[a], lists[b], (counts[a] & counts[b]).total()) >= 0.8 - 1e-9:
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
     return {i: find(i) for i in ids}
 
 
