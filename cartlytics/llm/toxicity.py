@@ -253,21 +253,49 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_TEXTS) -> dic
     """Learn from the rows of ``labels`` outside the held-out fold.  At most ``per_class``
     distinct texts of each class are read, those of the lowest hash of the id; the share of
     toxic rows is counted over all of them."""
-    learn = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    import numpy as np
+
+    usable = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~in_held_out_fold()))
-    counts = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for c in (0, 1):
-        part = learn.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-              .join(F.broadcast(chosen), "doc_id").collect())  # at most 2 * per_class ids, and as many texts
-    texts = {}
-    for r in sorted(sample, key=lambda r: (r["doc_id"], r["toxic"])):
-        texts[r["text"]] = max(texts.get(r["text"], 0), r["toxic"])
     total = sum(counts.values())
-    prior = counts.get(1, 0) / total if total else 0.0
-    return fit_field(list(texts), list(texts.values()), min(max(prior, 1e-4), 1 - 1e-4))
+    prior = min(max(counts.get(1, 0) / total if total else 0.0, 1e-4), 1 - 1e-4)
+    # at most 2 * per_class ids are broadcast, and as many texts meet in the one task that learns
+    small_batches(docs.sparkSession)
+    sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+              .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").repartition(1))
+    rows = sample.mapInArrow(learn(prior), MODEL).collect()
+    if not rows:
+        return fit_field([], [], prior)
+    r = rows[0]
+    weights = np.frombuffer(bytes(r["weights"]), np.float32)
+    return {"weights": weights, "bias": r["bias"], "trans": np.array(r["trans"]).reshape(2, 2), "start": np.array(r["start"]), "scale": r["scale"], "shift": r["shift"]}
+
+
+MODEL = T.StructType([T.StructField("weights", T.BinaryType()), T.StructField("bias", T.DoubleType()), T.StructField("trans", T.ArrayType(T.DoubleType())),
+                      T.StructField("start", T.ArrayType(T.DoubleType())), T.StructField("scale", T.DoubleType()), T.StructField("shift", T.DoubleType())])
+
+
+def learn(prior: float):
+    """mapInArrow: doc_id, text, toxic of the sample -> MODEL, one row."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0], r[2], r[1]))
+        texts: dict[str, int] = {}
+        for _, text, toxic in rows:
+            texts[text] = max(texts.get(text, 0), toxic)
+        m = fit_field(list(texts), list(texts.values()), prior)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m["weights"].tobytes()], pa.binary()), pa.array([m["bias"]]), pa.array([m["trans"].ravel().tolist()], pa.list_(pa.float64())),
+             pa.array([m["start"].tolist()], pa.list_(pa.float64())), pa.array([m["scale"]]), pa.array([m["shift"]])], names=MODEL.names)
+
+    return run
 
 
 def score_batches(model: dict, threshold: float):
