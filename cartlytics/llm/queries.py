@@ -77,4 +77,24 @@ QUERIES = {
     "op10_importance": _quality,
     "pipeline": _pipeline,
 }
-SQL: dict[str, str] = {}
+
+# Control strings after their first character, as chat.CONTROLS has them (fixed values).
+_REST = "\\|turn\\|>|\\|text\\|>|\\|end\\|>|\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|\\|startoftext\\|>|s>|/s>|<SYS>>|</SYS>>|INST\\]|/INST\\]"
+
+
+def _escaped_chars(column: str) -> str:
+    """Characters of an escaped text: one more for each backslash and two for each control string."""
+    broken = f"regexp_replace({column}, '([<\\[])({_REST})', '\\1@@\\2', 'g')"
+    return f"(length({broken}) + length({column}) - length(replace({column}, '\\', '')))"
+
+
+SQL: dict[str, str] = {"op6_chat": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             CAST(sum(8 + {_escaped_chars('role')} + 8 + {_escaped_chars('text')} + 8) AS BIGINT) AS formatted_chars
+      FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM o"""}
