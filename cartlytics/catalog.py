@@ -57,7 +57,7 @@ def _lines(spark, d):
 
 
 def _order_metrics(spark, d):
-    return experiment.ab_order_metrics_preagg(td.ab_users_data(spark, d), td.ab_orders(spark, d),
+    return experiment.ab_order_metrics_preagg(td.ab_users_data(spark, d), td.ab_order_products(spark, d),
                                               td.ab_products(spark, d))
 
 
@@ -264,7 +264,7 @@ def q_cumulative_orders(spark, d):
 
 
 def q_group_summary_excl_cancelled(spark, d):
-    om = experiment.ab_order_metrics_preagg(td.ab_users_data(spark, d), td.ab_orders(spark, d),
+    om = experiment.ab_order_metrics_preagg(td.ab_users_data(spark, d), td.ab_order_products(spark, d),
                                             td.ab_products(spark, d), exclude_cancelled=True)
     return r6(experiment.group_summary(om))
 

@@ -27,7 +27,10 @@ def created_orders(users: DataFrame, exclude_cancelled: bool = False) -> DataFra
 
 
 def order_products(ab_orders: DataFrame) -> DataFrame:
-    """FN8-FN10: one row per (order_id, product_id) from the '{a, b}' text."""
+    """FN8-FN10: one row per (order_id, product_id) from the '{a, b}' text; rows that are already of
+    (order_id, product_id) are taken as they are."""
+    if "product_ids" not in ab_orders.columns:
+        return ab_orders.select("order_id", "product_id")
     return ab_orders.select("order_id", F.explode(parse_id_set("product_ids")).alias("product_id"))
 
 
@@ -55,15 +58,16 @@ def ab_order_metrics(lines: DataFrame, money_decimals: int | None = 6) -> DataFr
 def ab_order_metrics_preagg(users: DataFrame, ab_orders: DataFrame, products: DataFrame,
                             exclude_cancelled: bool = False,
                             money_decimals: int | None = 6) -> DataFrame:
-    """X2 computed without materialising the line-level join: product lines are
-    priced and summed per order first (partial + final aggregate), then joined
-    to the create actions with one row per order on each side, so neither a
-    hot order nor a hot product can skew the large join.  Same result as
-    ``ab_order_metrics(ab_order_lines(...))``."""
+    """X2 computed without materialising the line-level join.
+
+    Lines are first counted per (order, product), so that repeats of a hot order are one row each;
+    these rows are priced (a hot product's rows are split by AQE, both sides of the join being
+    shuffles) and summed per order (partial + final aggregate); the join to the create actions then has
+    one row per order on each side.  Same result as ``ab_order_metrics(ab_order_lines(...))``."""
     p = products.select("product_id", "price")
-    per_order = (order_products(ab_orders).join(p, "product_id")
-                 .groupBy("order_id").agg(F.count("product_id").alias("_n"),
-                                          F.sum("price").alias("_s")))
+    counted = order_products(ab_orders).where("product_id IS NOT NULL").groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("_k"))
+    per_order = (counted.join(p, "product_id")
+                 .groupBy("order_id").agg(F.sum("_k").alias("_n"), F.sum(F.col("_k") * F.col("price")).alias("_s")))
     u = created_orders(users, exclude_cancelled).select("user_id", "order_id", "date", "group")
     s = F.coalesce(F.sum("_s"), F.lit(0.0))
     if money_decimals is not None:

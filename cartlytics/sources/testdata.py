@@ -8,6 +8,7 @@ Mapping (fixed by FIXTURES.md):
   ab_users_data <- orders: create_order for every order, plus cancel_order when
                  status = P; group = o_custkey % 2
   ab_orders   <- lineitem: '{' + sorted l_partkey joined by ', ' + '}' per order
+  ab_order_products <- lineitem: the same as rows (order, product)
   ab_products <- part: p_partkey, p_retailprice
 All adapters are projections of one scan (the A/B order sets add one
 aggregation), so Catalyst still prunes columns down to the parquet reader.
@@ -61,7 +62,7 @@ def ab_users_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ab_users_from_orders(o: DataFrame) -> DataFrame:
-    """The A/B action log from an orders frame (batch or streaming)."""
+    """The A/B action log from an orders frame."""
     actions = F.when(F.col("o_orderstatus") == "P",
                      F.array(F.lit("create_order"), F.lit("cancel_order"))
                      ).otherwise(F.array(F.lit("create_order")))
@@ -80,6 +81,12 @@ def ab_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.concat(F.lit("{"), ids, F.lit("}")).alias("product_ids")))
 
 
+def ab_order_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sets as rows (order_id, product_id): nothing is gathered by order."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
+
+
 def ab_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("product_id"),

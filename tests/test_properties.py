@@ -58,3 +58,29 @@ def test_split_check_approx_close(spark):
     approx = dict(rows(experiment.split_check(om, approx=True)))
     for g, n in exact.items():
         assert abs(approx[g] - n) <= max(3, 0.05 * n)
+
+
+def test_a_hot_order_and_a_hot_product_are_split(spark):
+    """A third of the lines are of one order, a third of one product: results equal the line-level
+    plan, and AQE splits the skewed join."""
+    n = 30_000
+    lines = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 2999 + 2).alias("order_id"),
+        F.when(F.col("id") % 3 == 1, 7).otherwise(F.col("id") % 997 + 8).alias("product_id"))
+    products = spark.range(1, 1100).select(F.col("id").alias("product_id"), (F.col("id") % 50 + 0.25).alias("price"))
+    users = spark.range(1, 3100).select((F.col("id") % 40).alias("user_id"), F.col("id").alias("order_id"), F.lit("create_order").alias("action"),
+                                        F.lit("2020-01-01").cast("date").alias("date"), (F.col("id") % 2).cast("int").alias("group"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pre = experiment.ab_order_metrics_preagg(users, lines, products)
+        got = rows(pre)
+        assert "skew=true" in pre._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == rows(experiment.ab_order_metrics(experiment.ab_order_lines(users, lines, products)))
