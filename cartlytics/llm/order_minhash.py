@@ -6,10 +6,10 @@ in text order, give one key: two texts share a key with a probability that grows
 shingles that they have in common and in the same order, i.e. with edit similarity.
 
 Texts that share a key are candidates.  A candidate pair is verified by a banded alignment of
-the two shingle sequences: similarity = aligned equal shingles / (n1 + n2 - aligned), and a
-link needs ``MIN_SIMILARITY``.  This is the Jaccard similarity of the shingles under the order
-of the text; the band is as wide as the similarity allows shingles to shift, so that it
-excludes no link.
+the two word sequences: similarity = aligned equal words / (n1 + n2 - aligned), and a link needs
+``MIN_SIMILARITY``.  Texts whose five-word shingles have a Jaccard similarity of 0.8 in the same order
+are links by this measure, and so are texts with one word in twenty replaced.  What the band
+leaves out cannot be aligned in a link, so it excludes none.
 
 Classes are the connected components of the links; copies (equal words) are one node.  Within
 a key, no pairs of all members are made at once: each member is compared with one leader, and
@@ -37,9 +37,10 @@ ship(__name__)
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
-#: Texts of similarity 0.8 share all KEPT shingles of a sample with probability 0.8**5 = 0.33, and so
-#: no key at all with 0.67**24 = 7e-5; texts that only share a passage rarely share a key.
-SAMPLES = 24
+#: With a share j of their shingles in common, two texts have a sample's key in common with probability
+#: j**5, and no key at all with (1 - j**5)**48: 5e-9 at 0.8, 2e-4 at 0.7, 2% at 0.6.  Texts that only share
+#: a passage rarely have a key in common.
+SAMPLES = 48
 KEPT = 5
 WORD = r"[^\W_]+"
 
@@ -48,7 +49,7 @@ TEXTS = T.StructType([
     T.StructField("row", T.LongType()),
     T.StructField("text_hash", T.LongType()),  # of the words; null without words
     T.StructField("keys", T.ArrayType(T.LongType())),
-    T.StructField("n", T.IntegerType()),
+    T.StructField("n", T.IntegerType()),  # words
 ])
 
 
@@ -95,7 +96,8 @@ def order_keys(labelled):
 
     n = len(labelled)
     salts = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    ranks = mix64(labelled[None, :] ^ salts[:, None])
+    # the shingles are mixed well; one product by an odd number for each sample orders them anew
+    ranks = (labelled[None, :] ^ salts[:, None]) * (mix64(salts) | np.uint64(1))[:, None]
     out = []
     for k in sorted({min(n, kept(m)) for m in (n, math.ceil(MIN_SIMILARITY * n), int(n / MIN_SIMILARITY))}):
         least = np.argpartition(ranks, k - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (SAMPLES, 1))
@@ -120,7 +122,7 @@ def keys_of_texts(batches: Iterator) -> Iterator:
         for text in batch.column(2).to_pylist():
             h = ids.array(find(text.lower()))
             s = shingles(h)
-            sizes.append(len(s))
+            sizes.append(len(h))
             if len(s):
                 texts.append(ids.hash(h.tobytes()) - (1 << 63))
                 keys.append(order_keys(occurrence_labelled(s)).tolist())
@@ -132,11 +134,11 @@ def keys_of_texts(batches: Iterator) -> Iterator:
             names=TEXTS.names)
 
 
-SEQUENCES = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("seq", T.BinaryType())])
+SEQUENCES = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("seq", T.BinaryType())])  # uint32 word hashes
 
 
 def sequences(batches: Iterator) -> Iterator:
-    """mapInArrow: text_hash, text -> the shingle sequence as uint32 hashes, of the rows whose words have that hash."""
+    """mapInArrow: text_hash, text -> the words as uint32 hashes, of the rows whose words have that hash."""
     import re
 
     import numpy as np
@@ -148,7 +150,7 @@ def sequences(batches: Iterator) -> Iterator:
         for want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             h = ids.array(find(text.lower()))
             if len(h) and ids.hash(h.tobytes()) - (1 << 63) == want:
-                rows.append((want, shingles(h).astype(np.uint32).tobytes()))
+                rows.append((want, h.astype(np.uint32).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                                          names=SEQUENCES.names)
 
@@ -176,12 +178,13 @@ def aligned(a, b, least: int) -> int:
     done = head + tail
     if not len(a) or not len(b):
         return done
-    common = np.isin(a, b)
-    if done + int(common.sum()) < least:
-        return done + int(common.sum())
-    a, b = a[common], b[np.isin(b, a)]  # what has no partner is never aligned
-    if done + len(b) < least:
-        return done + len(b)
+    # no more can be aligned than the words in common, repeats counted
+    (u, n_u), (v, n_v) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    both, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    bound = done + int(np.minimum(n_u[i], n_v[j]).sum())
+    if bound < least:
+        return bound
+    a, b = a[np.isin(a, both)], b[np.isin(b, both)]  # what has no partner is never aligned
     places: dict[int, int] = {}
     for j, v in enumerate(b.tolist()):
         places[v] = places.get(v, 0) | 1 << j
