@@ -33,7 +33,7 @@ TRAIN_TEXTS = 2000
 THRESHOLD = 0.3
 WORD = r"[^\W_]+"
 BUCKETS = 1 << 18
-EPOCHS = 40
+EPOCHS = 24
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("score", T.DoubleType()),
