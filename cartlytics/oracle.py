@@ -89,6 +89,7 @@ scores AS (
          WHEN monetary <= mq[4] THEN 4 ELSE 5 END AS m
   FROM base b CROSS JOIN th),
 segs AS (
+  -- fixed values: the segment patterns and labels, as in functions/columns.py
   SELECT *, CASE
       WHEN regexp_matches(code, '[4-5][4-5][3-5]') THEN 'the_best'
       WHEN regexp_matches(code, '[4-5][1-3][3-5]') THEN 'valuable'
