@@ -258,17 +258,15 @@ def links_of(texts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``texts``: text_hash, row, keys, n, one row for each text_hash."""
     keyed = texts.select("text_hash", "n", F.explode("keys").alias("key"))
     # a key's size, and its leader: the member of least hash, the same for all keys where possible
-    leads = materialise(
-        keyed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("text_hash").alias("h"), "text_hash", "n")).alias("l"))
-        .where("members > 1").select("key", "members", F.col("l.text_hash").alias("lead"), F.col("l.n").alias("lead_n")))
+    leads = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("text_hash").alias("lead")).where("members > 1"))
     shared = materialise(keyed.join(leads, "key"))
     wanted = materialise(shared.select("text_hash").distinct().join(texts.select("text_hash", "row"), "text_hash"))
     seqs = materialise(docs.select(row_key().alias("row"), text_or_empty().alias("text")).join(wanted, "row").select("text_hash", "text")
                        .mapInArrow(sequences, SEQUENCES).groupBy("text_hash").agg(F.first("seq").alias("seq")))
     close = F.least("n", "lead_n") >= MIN_SIMILARITY * F.greatest("n", "lead_n")
-    tried = shared.where((F.col("text_hash") != F.col("lead")) & close).select(
-        F.least("text_hash", "lead").alias("a"), F.greatest("text_hash", "lead").alias("b")).distinct()
+    tried = (shared.where(F.col("text_hash") != F.col("lead")).select("text_hash", "n", "lead").distinct()
+             .join(texts.select(F.col("text_hash").alias("lead"), F.col("n").alias("lead_n")), "lead").where(close)
+             .select(F.least("text_hash", "lead").alias("a"), F.greatest("text_hash", "lead").alias("b")).distinct())
     links = materialise(verified(tried, seqs))
     classes = components(links)
     members = shared.where("members > 2").select("key", "members", "text_hash", "n")
