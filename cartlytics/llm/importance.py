@@ -6,7 +6,8 @@ log ratio target : raw of its n-grams, times ``SHARPNESS``; adding independent G
 the log weights and taking the k largest draws k texts without replacement in proportion to the
 weights.  The noise is a seeded hash of the id, so that reruns agree.
 
-Counts cover all rows; a partition sends one vector of counts.  The k-th largest key is found by
+The target model is fitted on at most ``TARGET_TEXTS`` labelled texts, those of the lowest hash of the id;
+their ids are broadcast.  All other counts cover all rows; a partition sends one vector of counts.  The k-th largest key is found by
 counting keys in ever finer ranges, one aggregation a level, not by a global sort.
 
 Cases: a null or empty text has no n-grams and weight 0 in the log (neutral); ties at the last place
@@ -31,6 +32,8 @@ BUCKETS = 16_384
 #: Share of the raw texts that is drawn.
 KEEP = 0.8
 SHARPNESS = 25.0
+#: Labelled texts that the target model is counted over, at most.
+TARGET_TEXTS = 20_000
 SEED = 23
 WORD = r"[^\W_]+|[^\w\s]"
 
@@ -66,12 +69,19 @@ def count_ngrams(batches: Iterator) -> Iterator:
             [pa.array(np.full(len(at), bool(target))), pa.array(at.astype(np.int32)), pa.array(counts[target][at])], names=COUNTS.names)
 
 
+def sample_of(ids: DataFrame, most: int = TARGET_TEXTS) -> DataFrame:
+    """At most ``most`` of the distinct ids, those of the lowest hash; few more than these meet in one task."""
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = min(1.0, 2 * most / max(1, ids.count()))
+    return ids.where(order <= int(share * (1 << 40))).orderBy(order, "doc_id").limit(most)
+
+
 def log_ratios(docs: DataFrame, target_ids: DataFrame):
     """log(p_target / p_raw) of every bucket, as a numpy vector.  ``target_ids``: distinct doc_id."""
     import numpy as np
 
     flagged = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-               .join(target_ids.select("doc_id", F.lit(True).alias("is_target")), "doc_id", "left")
+               .join(F.broadcast(sample_of(target_ids).select("doc_id", F.lit(True).alias("is_target"))), "doc_id", "left")
                .select(F.coalesce("is_target", F.lit(False)).alias("target"), "text"))
     rows = flagged.mapInArrow(count_ngrams, COUNTS).groupBy("target", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * BUCKETS rows
     counts = np.zeros((2, BUCKETS))
