@@ -159,9 +159,9 @@ def aligned(a, b, least: int) -> int:
     """Length of the longest common subsequence of two sequences if it is at least ``least``,
     else any lower number.
 
-    Common ends are cut off first.  The rest is aligned within a band: with at least ``least``
-    pairs, positions shift by at most len(b) - least one way and len(a) - least the other.  The
-    band runs as bits of one integer per row (bit-parallel)."""
+    Common ends are cut off first.  The rest is aligned within a band: with ``need`` pairs still to
+    be aligned, positions shift by at most len(b) - need one way and len(a) - need the other.  A row
+    of the alignment is one integer, a bit for each word of b (bit-parallel)."""
     n, m = len(a), len(b)
     if min(n, m) < least:
         return 0
@@ -189,9 +189,11 @@ def aligned(a, b, least: int) -> int:
     for j, v in enumerate(b.tolist()):
         places[v] = places.get(v, 0) | 1 << j
     full = (1 << len(b)) - 1
-    row = full
-    for v in a.tolist():
-        u = row & places.get(v, 0)
+    row, need = full, least - done
+    left, right = max(0, len(a) - need), max(0, len(b) - need)
+    for i, v in enumerate(a.tolist()):
+        low = max(0, i - left)
+        u = row & places[v] & ((1 << (i + right + 1)) - 1 >> low << low)
         row = ((row + u) | (row - u)) & full
     return done + len(b) - row.bit_count()
 
