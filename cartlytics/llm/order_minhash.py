@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlytics.llm.common import WordIds, fresh, materialise, mix64, ship, small_batches, text_or_empty
+from cartlytics.llm.decontam import BITS, seed_bitmap
 
 ship(__name__)
 
@@ -134,25 +135,35 @@ def keys_of_texts(batches: Iterator) -> Iterator:
             names=TEXTS.names)
 
 
-SEQUENCES = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("seq", T.BinaryType())])  # uint32 word hashes
+SEQUENCES = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("row", T.LongType()),
+                          T.StructField("seq", T.BinaryType())])  # uint32 word hashes
 
 
-def sequences(batches: Iterator) -> Iterator:
-    """mapInArrow: text_hash, text -> the words as uint32 hashes, of the rows whose words have that hash."""
-    import re
+def sequences(wanted):
+    """mapInArrow: row, text -> SEQUENCES of the rows whose text may be wanted.  ``wanted``: broadcast bits of
+    the hashes of the wanted texts, of fixed size; a join decides."""
 
-    import numpy as np
-    import pyarrow as pa
+    def run(batches: Iterator) -> Iterator:
+        import re
 
-    find, ids = re.compile(WORD).findall, WordIds()
-    for batch in batches:
-        rows = []
-        for want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            h = ids.array(find(text.lower()))
-            if len(h) and ids.hash(h.tobytes()) - (1 << 63) == want:
-                rows.append((want, h.astype(np.uint32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                                         names=SEQUENCES.names)
+        import numpy as np
+        import pyarrow as pa
+
+        bits, mask = np.frombuffer(wanted.value, np.uint8), (1 << BITS) - 1
+        find, ids = re.compile(WORD).findall, WordIds()
+        for batch in batches:
+            out = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = ids.array(find(text.lower()))
+                whole = ids.hash(h.tobytes()) if len(h) else 0
+                own = whole - (1 << 63)
+                at = own & mask
+                if len(h) and bits[at >> 3] >> (at & 7) & 1:
+                    out.append((own, row, h.astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))],
+                                             names=SEQUENCES.names)
+
+    return run
 
 
 def aligned(a, b, least: int) -> int:
@@ -263,8 +274,9 @@ def links_of(texts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leads = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("text_hash").alias("lead")).where("members > 1"))
     shared = materialise(keyed.join(leads, "key"))
     wanted = materialise(shared.select("text_hash").distinct().join(texts.select("text_hash", "row"), "text_hash"))
-    seqs = materialise(docs.select(row_key().alias("row"), text_or_empty().alias("text")).join(wanted, "row").select("text_hash", "text")
-                       .mapInArrow(sequences, SEQUENCES).groupBy("text_hash").agg(F.first("seq").alias("seq")))
+    bits = docs.sparkSession.sparkContext.broadcast(seed_bitmap(wanted.select(F.col("text_hash").alias("seed"))))
+    seqs = materialise(docs.select(row_key().alias("row"), text_or_empty().alias("text")).mapInArrow(sequences(bits), SEQUENCES)
+                       .join(wanted, ["text_hash", "row"]).groupBy("text_hash").agg(F.first("seq").alias("seq")))
     close = F.least("n", "lead_n") >= MIN_SIMILARITY * F.greatest("n", "lead_n")
     tried = (shared.where(F.col("text_hash") != F.col("lead")).select("text_hash", "n", "lead").distinct()
              .join(texts.select(F.col("text_hash").alias("lead"), F.col("n").alias("lead_n")), "lead").where(close)
