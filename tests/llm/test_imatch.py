@@ -42,3 +42,26 @@ def test_odd_rows(spark, odd, empty):
     assert X.fingerprints(empty).count() == 0
     one = X.fingerprints(frame(spark, [(5, "single text here", "a")])).first()
     assert one["edited_sha256"] == edited(["single text here"])[0] and one["near_next"] == 1.0
+
+
+def test_copies_and_rare_words(spark):
+    """A text in a third of the rows, boilerplate in a sixth and long texts in words of their own keep their likeness to their edited form."""
+    rare = lambda i, n: " ".join(f"zq{i}w{k}" for k in range(n))
+    kinds, rows = {}, []
+    for i in range(600):
+        kinds[i] = "copy" if i % 3 == 0 else "boiler" if i % 6 == 1 else "rare" if i % 24 == 2 else "other"
+        text = {"copy": rare("copy", 120), "boiler": rare("boiler", 150) + f" only{i}", "rare": rare(i, 200)}.get(kinds[i]) or sentence(i, 20 + i % 200)
+        rows.append((i, text, "a"))
+    got = {r["doc_id"]: r for r in X.fingerprints(frame(spark, rows)).collect()}
+    for kind in ("copy", "boiler", "rare"):
+        near = [got[i]["near_edited"] for i in got if kinds[i] == kind]
+        assert sum(near) / len(near) > 0.3 and sum(x == 0 for x in near) <= len(near) / 20, (kind, near)
+    unlike = [got[i]["near_next"] for i in range(599) if kinds[i] != kinds[i + 1]]
+    assert sum(unlike) / len(unlike) < 0.05
+
+
+def test_document_frequency_counts_distinct_texts(spark):
+    """Copies of one text do not push its terms out of the band."""
+    rows = [(i, sentence(i, 50), "a") for i in range(300)]
+    lexicon = lambda rs: {r["term"] for r in X.lexicon(frame(spark, rs)).collect()}
+    assert lexicon(rows) == lexicon(rows + [(1000 + i, rows[0][1], "a") for i in range(150)])
