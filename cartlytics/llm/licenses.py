@@ -4,7 +4,7 @@ Each template (a phrase, or a notice with gaps) is indexed by its rarest words:
 template, position), the words being those of highest inverse document frequency in the corpus.
 A file is scanned in one pass: the positions of its indexed words meet the postings, and each
 (template, offset) they agree on is a candidate; all words of the phrase at that offset, or for a
-notice its mandatory key phrases near by, must then stand in the file.
+notice its mandatory key phrases at their own places in it (within ``SLACK`` words), must then stand in the file.
 
 Base labels are exact phrases: every place at which a phrase's words stand consecutively is found,
 as every place has the phrase's rarest word.  Notices add labels of their own: their mandatory
@@ -21,6 +21,8 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +99,14 @@ def _places(phrase: list[str], df: dict[str, int]) -> Column:
     return F.filter(_starts(*rarest(phrase, df, 1)[0]), _stands(phrase))
 
 
-def _agreement(postings: list[tuple[str, int]]) -> Column:
-    """The largest share of a notice's indexed words that stand at one start, within SLACK words."""
+def _offsets(ws: list[str], phrase: list[str]) -> list[int]:
+    """Where a phrase stands in a notice."""
+    return [i for i in range(len(ws) - len(phrase) + 1) if ws[i:i + len(phrase)] == phrase]
+
+
+def _agreement(postings: list[tuple[str, int]], must: list[tuple[str, list[int]]]) -> Column:
+    """The largest share of a notice's indexed words that stand at one start, within SLACK words, of the starts at
+    which all mandatory phrases stand as well.  ``must``: (column of a phrase's places, its offsets in the notice)."""
 
     def near(start, word, at):
         return F.exists("hits", lambda x: (x["word"] == word) & (F.abs(x["at"] - at - start) <= SLACK))
@@ -106,8 +114,15 @@ def _agreement(postings: list[tuple[str, int]]) -> Column:
     def share(start):
         return sum((F.when(near(start, w, p), 1).otherwise(0) for w, p in postings), F.lit(0)) / float(len(postings))
 
+    def whole(start):
+        stands = F.lit(True)
+        for places, offsets in must:
+            stands = stands & F.exists(places, lambda q: reduce(Column.__or__, [F.abs(q - i - start) <= SLACK for i in offsets]))  # noqa: B023
+        return stands
+
     # whichever of the indexed words the file lacks, another one gives the start
-    return F.coalesce(F.array_max(F.transform(F.flatten(F.array(*[_starts(w, p) for w, p in postings])), share)), F.lit(0.0))
+    starts = F.filter(F.flatten(F.array(*[_starts(w, p) for w, p in postings])), whole)
+    return F.coalesce(F.array_max(F.transform(starts, share)), F.lit(0.0))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -117,17 +132,15 @@ def scan(docs: DataFrame) -> DataFrame:
     indexed = {w for _, ws, must in templates() for part, n in ((ws, RARE), *((m, 1) for m in must)) for w, _ in rarest(part, df, n)}
     at = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(sorted(indexed)))
     found = docs.select("doc_id", words(lowered()).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), "w", at.alias("hits"))
+    phrases = {" ".join(m): f"places_{i}" for i, m in enumerate(m for _, _, must in templates() for m in must)}
+    found = found.select("*", *[_places(m.split(), df).alias(name) for m, name in phrases.items()])
     placed, noticed = [], []
     for label, ws, must in templates():
         if must == [ws]:
-            placed.append(_labelled(_places(ws, df), label))
+            placed.append(_labelled(F.col(phrases[" ".join(ws)]), label))
         else:
-            agree = _agreement(rarest(ws, df, RARE))
-            keys = [F.size(_places(m, df)) > 0 for m in must]
-            sure = agree >= LEAST_AGREEMENT
-            for k in keys:
-                sure = sure & k
-            noticed.append(F.when(sure, F.struct(agree.alias("score"), F.lit(label).alias("label"))))
+            agree = _agreement(rarest(ws, df, RARE), [(phrases[" ".join(m)], _offsets(ws, m)) for m in must])
+            noticed.append(F.when(agree >= LEAST_AGREEMENT, F.struct(agree.alias("score"), F.lit(label).alias("label"))))
     # texts without an indexed word are not looked at any further
     some = F.size("hits") > 0
     found = (found.withColumn("places", F.when(some, F.array_sort(F.concat(*placed))).otherwise(F.array().cast("array<struct<word:int,label:string>>")))

@@ -37,3 +37,13 @@ def test_table_and_empty(spark, docs, empty):
     got = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in X.scan(docs).collect()}
     assert got == {r["doc_id"]: expected(r["text"]) for r in docs.collect()}
     assert X.scan(empty).count() == 0
+
+
+def test_phrases_of_a_notice_stand_at_their_places(spark):
+    notice = next(ws for label, ws, must in X.NOTICES if label == "mit" and "free of charge" in must)
+    apart = notice.replace("free of charge", "one two three") + " " + sentence(5, 60) + " free of charge"
+    texts = [notice, notice.replace("hereby granted free", "hereby granted entirely free"), apart, "free of charge " + apart]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in X.scan(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("mit", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
+    for _, ws, must in X.templates():
+        assert all(X._offsets(ws, m) for m in must)
