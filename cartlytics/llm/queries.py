@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlytics.llm import (chat, decontam, imatch, importance, licenses, mixing, order_minhash,
-                            sharding, token_fst, toxicity)
+from cartlytics.llm import (chat, decontam, imatch, importance, licenses, mixing, oracles, order_minhash, prefix_trie,
+                            sharding, token_fst, toxicity, turn_repair, vector_cells)
 from cartlytics.llm.common import table
 
 
@@ -58,6 +58,19 @@ def _quality(spark: SparkSession, d: str) -> DataFrame:
     return importance.resample(table(spark, d, "documents"), importance.good_ids(table(spark, d, "labels")))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vector_cells.annotated(table(spark, d, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def _trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, d, "conversations"))
+
+
+def _repair(spark: SparkSession, d: str) -> DataFrame:
+    given = table(spark, d, "conversations")
+    return turn_repair.report(turn_repair.repair(turn_repair.damage(given)), given)
+
+
 def _pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,6 +88,9 @@ QUERIES = {
     "op8_sharding": _sharding,
     "op9_licenses": _licenses,
     "op10_importance": _quality,
+    "op11_vector_cells": _vectors,
+    "op12_prefix_trie": _trie,
+    "op13_turn_repair": _repair,
     "pipeline": _pipeline,
 }
 
@@ -97,4 +113,8 @@ o AS (SELECT conv_id, count(*) AS n_turns,
              coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
              CAST(sum(8 + {_escaped_chars('role')} + 8 + {_escaped_chars('text')} + 8) AS BIGINT) AS formatted_chars
       FROM t GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM o"""}
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM o""",
+    "op11_vector_cells": oracles.VECTOR_CELLS,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_turn_repair": oracles.TURN_REPAIR,
+}

@@ -1,6 +1,7 @@
 import sys
 
 import duckdb
+import pytest
 
 import __spark_entry__ as E
 from cartlytics.llm.queries import QUERIES, SQL
@@ -10,16 +11,19 @@ SF = "/root/testdata/sf0.01"
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([*(f"op{k}" for k in range(1, 11)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([*(f"op{k}" for k in range(1, 14)), "pipeline"])
 
 
-def test_chat_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
-    want = con.sql(SQL["op6_chat"])
-    got = QUERIES["op6_chat"](spark, SF)
-    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
+    for t in ("conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = con.sql(SQL[name])
+    got = QUERIES[name](spark, SF)
     assert sorted(want.columns) == sorted(got.columns)
+    assert sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    assert [str(t).replace("VARCHAR", "string").replace("INTEGER", "int").lower() for t in want.types] == [got.schema[c].dataType.simpleString() for c in want.columns]
 
 
 def test_entry_does_without_this_subpackage():
