@@ -10,8 +10,9 @@ and whether it is that representative; ``representatives`` keeps only those.
 3. A class is compared in its home cell, the one of its nearest centre, and visits the cells before its own whose border,
    the plane between the two centres, is within ``reach`` of it.  A pair is compared in the lower of its two home cells.
    The distance to that plane changes by at most sin(acos(threshold)) between linked vectors: ``exact_reach`` loses
-   no link whatever the data.  The default ``REACH`` is smaller: links at the threshold whose difference has
-   no preferred direction pass it by three standard deviations (measured recall in the README and the tests).
+   no link whatever the data.  The default is ``DEVIATIONS`` standard deviations of that distance for a link at the threshold
+   whose difference has no preferred direction, or the exact reach where that is less, as in few
+   dimensions (measured recall in the README and the tests).
 4. Classes within half the threshold's angle of their home centre, the cell's core, all link with one another: they
    are counted by one aggregate and never compared, so that a group with a third of all rows costs no
    products.  Only what lies within one and a half times that angle is compared with a core.
@@ -40,11 +41,11 @@ from cartlytics.llm.order_minhash import components
 ship(__name__)
 
 THRESHOLD = 0.93
-REACH = 0.16
+DEVIATIONS = 3.0
 MAX_CELLS = 2048
 SAMPLE_ROWS = 32768
 ROUNDS = 8
-BLOCK = 2048
+BLOCK = 4096
 BROADCAST_ROWS = 200_000
 SAFE = 1e-9  # far above the rounding of a cosine
 
@@ -54,6 +55,11 @@ def exact_reach(threshold: float = THRESHOLD) -> float:
     return math.sqrt(1.0 - threshold * threshold) + SAFE
 
 
+def reach_of(dim: int, threshold: float = THRESHOLD) -> float:
+    """The default reach for vectors of this length."""
+    return min(exact_reach(threshold), DEVIATIONS * math.sqrt((1.0 - threshold * threshold) / dim))
+
+
 def unit(v):
     """The vector of length 1 in this direction, or None."""
     import numpy as np
@@ -137,7 +143,7 @@ def fit_cells(classes: DataFrame, cells: int | None, threshold: float) -> dict:
     import numpy as np
 
     n = classes.count()
-    cells = cells or max(1, min(MAX_CELLS, round(math.sqrt(n))))
+    cells = cells or max(1, min(MAX_CELLS, round(2 * n ** (1 / 3))))
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
 
     def fit(table):
@@ -165,7 +171,7 @@ PLACED = T.StructType([
 ])
 
 
-def place(centres, threshold: float, reach: float):
+def place(centres, threshold: float, reach: float | None):
     """mapInArrow: node, label, dim, weight, vec -> PLACED, a row for the home cell and each visited cell."""
     angle = math.acos(threshold)
     core, ring = math.cos(angle / 2) + SAFE, math.cos(1.5 * angle) - SAFE
@@ -196,7 +202,7 @@ def place(centres, threshold: float, reach: float):
                 home = near.argmax(axis=1)
                 best = near[np.arange(len(rows)), home]
                 margin = (best[:, None] - near) / gap[home]
-                visit = (margin <= reach) & (np.arange(len(c))[None, :] < home[:, None])
+                visit = (margin <= (reach_of(int(d), threshold) if reach is None else reach)) & (np.arange(len(c))[None, :] < home[:, None])
                 v_row, v_cell = np.nonzero(visit)
                 is_core = best >= core
                 picked += [rows, rows[v_row]]
@@ -326,7 +332,7 @@ def block_pairs(placed: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     return rows.select(F.concat_ws("|", "type", "dim", "cell", "a", "b", "label").alias("task"), "node", "side", "weight", "vec")
 
 
-def linked_classes(classes: DataFrame, threshold: float, reach: float, cells: int | None, block: int) -> DataFrame:
+def linked_classes(classes: DataFrame, threshold: float, reach: float | None, cells: int | None, block: int) -> DataFrame:
     """node, links (weights of other classes that link with it), root: spanning edges; several rows a class."""
     spark = classes.sparkSession
     centres = spark.sparkContext.broadcast(fit_cells(classes, cells, threshold))
@@ -355,11 +361,11 @@ def class_table(df: DataFrame, vec_id: str, label: str, embedding: str) -> DataF
 
 def annotated(df: DataFrame, threshold: float = THRESHOLD, reach: float | None = None, cells: int | None = None, block: int = BLOCK,
               vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
-    """The rows of ``df`` with n_links, component_id and kept.  ``cells``: by default the root of the number of classes,
-    ``MAX_CELLS`` at most; ``reach``: ``REACH`` by default."""
+    """The rows of ``df`` with n_links, component_id and kept.  ``cells``: by default twice the cube root of the number
+    of classes, ``MAX_CELLS`` at most; ``reach``: ``reach_of`` the length by default."""
     small_batches(df.sparkSession, 2000)
     classes = class_table(df, vec_id, label, embedding)
-    found = materialise(linked_classes(classes, threshold, REACH if reach is None else reach, cells, block))
+    found = materialise(linked_classes(classes, threshold, reach, cells, block))
     edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     group = components(edges).select("node", F.col("class").alias("group"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

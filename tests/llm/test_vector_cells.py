@@ -78,7 +78,7 @@ def test_exact_reach_equals_all_pairs(spark, cells, block):
 def test_recall_of_the_default_reach(spark):
     """Pairs at the threshold, in random directions, among many others; what is found is never below the threshold."""
     rng = np.random.default_rng(2)
-    base = cloud(rng, 3000)
+    base = cloud(rng, 9000)
     near = beside(rng, base[:1500], 0.9301)
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, near]))]
     got = {r[0]: r[1] for r in said(X.annotated(frame(spark, rows)))}
@@ -107,6 +107,6 @@ def test_a_group_of_a_third_makes_no_products(spark):
     assert said(X.annotated(df)) == links_by_hand(rows)
     classes = X.class_table(df, "vec_id", "label", "embedding")
     centres = spark.sparkContext.broadcast(X.fit_cells(classes, None, X.THRESHOLD))
-    placed = classes.select("node", "label", "dim", "weight", "vec").mapInArrow(X.place(centres, X.THRESHOLD, X.REACH), X.PLACED)
+    placed = classes.select("node", "label", "dim", "weight", "vec").mapInArrow(X.place(centres, X.THRESHOLD, None), X.PLACED)
     kinds = {r["kind"]: r["count"] for r in placed.groupBy("kind").count().collect()}
     assert kinds["core"] >= 590 and kinds["visitor"] < 6 * len(rows)
