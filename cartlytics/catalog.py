@@ -8,6 +8,7 @@ decimals so results can be compared by value hash with the SQL oracle
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,10 @@ from cartlytics.functions.pvalues import tail_arguments, upper_tail
 from cartlytics.functions.columns import month_label
 from cartlytics.operators import abtests, bootstrap, cohort, commerce, display, experiment, histogram, profile, rfm
 from cartlytics.sources.readers import read_table
+from cartlytics.session import shared_folder
 from cartlytics.sources import testdata as td
+from cartlytics.sources.csv_files import load_csv_table
+from cartlytics.sources.schemas import TEST_TABLES, schema_report
 
 P = td.PARAMS
 BOOT_RESAMPLES = 2000
@@ -78,11 +82,45 @@ def _retention(spark, d, mode):
     return cohort.cohort_retention(_co(spark, d), P["excluded_statuses"], mode=mode)
 
 
+def _items_from_csv(spark, d):
+    """The items table as a user's export has it (an index without a name, columns in another order, one more column, none for
+    freight, NA and a text for some prices, one cell too many in some lines), read by its header."""
+    order = F.col("order_id") % 100
+    price = F.when(order == 7, F.lit("free")).when(order.isin(9, 13), F.lit("NA")).otherwise(F.col("price").cast("string"))
+    cells = {"": "order_item_id", "price": price, "note": F.when(order == 13, F.lit("a,b")).otherwise(F.lit("x")), "product_id": "product_id",
+             "order_item_id": "order_item_id", "shipping_limit_date": F.date_format("shipping_limit_date", "yyyy-MM-dd HH:mm:ss"), "seller_id": "seller_id", "order_id": "order_id"}
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}-csv"
+    # one column with whole lines, under the header as its name
+    (td.order_items(spark, d).select(F.concat_ws(",", *cells.values()).alias(",".join(cells)))
+     .write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(path))
+    return load_csv_table(spark, path, "order_items")
+
+
 # --- queries ---------------------------------------------------------------
 
 SOURCES = ("customer", "orders", "lineitem")
 
 
+def q_csv_items(spark, d):
+    """SRC1/SRC2: the good rows of an exported items file."""
+    return r6(_items_from_csv(spark, d).rows)
+
+
+def q_csv_quarantine(spark, d):
+    """SRC1/SRC2: the bad lines of that file, each once."""
+    return _items_from_csv(spark, d).quarantine.select("line", F.array_join("faults", ",").alias("faults"))
+
+
+def q_csv_counts(spark, d):
+    """SRC1/SRC2: bad cells by column, counted in the pass that reads the file."""
+    return _items_from_csv(spark, d).counts
+
+
+def q_schema_report(spark, d):
+    """PRF2: the tables' columns against the wanted ones."""
+    return schema_report({t: read_table(spark, d, t) for t in (*SOURCES, "part")}, TEST_TABLES)
+
+
 def q_null_profile(spark, d):
     """Missing values of every column of all three source tables."""
     return display.union_all([profile.null_profile(read_table(spark, d, t)).select(F.lit(t).alias("table"), "column", "null_count")

@@ -248,7 +248,39 @@ _ZA = _normal.inv_cdf((1.0 - 0.95) / 2.0)
 _ZB = _normal.inv_cdf(1.0 - (1.0 - 0.95) / 2.0)
 
 
+# the columns that the library wants of the given tables
+_WANTED = [("customer", "c_custkey", "bigint"), ("customer", "c_name", "string"), ("customer", "c_nationkey", "int"), ("customer", "c_acctbal", "double"),
+           ("customer", "c_mktsegment", "string"), ("orders", "o_orderkey", "bigint"), ("orders", "o_custkey", "bigint"), ("orders", "o_orderstatus", "string"),
+           ("orders", "o_totalprice", "double"), ("orders", "o_orderdate", "timestamp_ntz"), ("orders", "o_orderpriority", "string"), ("lineitem", "l_orderkey", "bigint"),
+           ("lineitem", "l_partkey", "bigint"), ("lineitem", "l_suppkey", "bigint"), ("lineitem", "l_linenumber", "int"), ("lineitem", "l_extendedprice", "double"),
+           ("lineitem", "l_shipdate", "timestamp_ntz"), ("part", "p_partkey", "bigint"), ("part", "p_retailprice", "double")]
+
 SQL: dict[str, str] = {
+    "csv_items": """
+SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_linenumber AS order_item_id, CAST(l_partkey AS VARCHAR) AS product_id, CAST(l_suppkey AS VARCHAR) AS seller_id,
+       l_shipdate AS shipping_limit_date, CASE WHEN l_orderkey % 100 <> 9 THEN round(l_extendedprice, 6) END AS price, CAST(NULL AS DOUBLE) AS freight_value
+FROM lineitem WHERE l_orderkey % 100 NOT IN (7, 13)""",
+
+    "csv_quarantine": """
+SELECT concat_ws(',', l_linenumber, CASE WHEN l_orderkey % 100 = 7 THEN 'free,x' ELSE 'NA,a,b' END, l_partkey, l_linenumber,
+                 strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'), l_suppkey, l_orderkey) AS line,
+       CASE WHEN l_orderkey % 100 = 7 THEN 'price' ELSE '_cells' END AS faults
+FROM lineitem WHERE l_orderkey % 100 IN (7, 13)""",
+
+    "csv_counts": """
+SELECT c AS "column", count(*) FILTER (WHERE c = '_rows' OR (c = 'price' AND l_orderkey % 100 = 7) OR (c = '_cells' AND l_orderkey % 100 = 13)
+                                       OR (c = '_bad_rows' AND l_orderkey % 100 IN (7, 13))) AS bad_cells
+FROM lineitem, unnest(['_rows', '_bad_rows', '_cells', 'order_id', 'order_item_id', 'product_id', 'seller_id', 'shipping_limit_date', 'price', 'freight_value']) u(c)
+GROUP BY c""",
+
+    "schema_report": f"""
+WITH wanted("table", "column", wanted) AS (VALUES {", ".join(map(str, _WANTED))}),
+found AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, column_name AS c, column_type AS d FROM (DESCRIBE SELECT * FROM {t})" for t in ("customer", "orders", "lineitem", "part"))}),
+named AS (SELECT t, c, CASE d WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(d) END AS found FROM found)
+SELECT coalesce("table", t) AS "table", coalesce("column", c) AS "column", wanted, found, 1::BIGINT AS files,
+       CASE WHEN wanted IS NULL THEN 'extra' WHEN found IS NULL THEN 'missing' WHEN wanted = found THEN 'ok' ELSE 'wrong type' END AS verdict
+FROM wanted FULL JOIN named ON t = "table" AND c = \"column\"""",
+
     "null_profile": "\nUNION ALL ".join(
         f"SELECT '{t}' AS \"table\", name AS \"column\", value AS null_count FROM "
         f"(UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME name VALUE value)"

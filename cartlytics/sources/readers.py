@@ -1,4 +1,4 @@
-"""Scans (SRC1-SRC3).  Sinks are the caller's ``df.write``: the reference only
+"""Parquet scans (SRC3); CSV files are read by ``csv_files``.  Sinks are the caller's ``df.write``: the reference only
 displays results, so there is no sink operator."""
 
 from __future__ import annotations
@@ -7,31 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlytics.sources.schemas import SCHEMAS
-
-
-def read_csv_table(spark: SparkSession, path: str, name: str,
-                   timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
-                   keep_corrupt: bool = False) -> DataFrame:
-    """SRC1/SRC2: header CSV with the fixed schema of relation ``name``.
-
-    Malformed rows are kept with NULL fields (PERMISSIVE); with
-    ``keep_corrupt`` the raw line is kept in ``_corrupt_record``.
-    Spark NaN tokens are read as NULL (D: NaN -> NULL at ingest).
-    """
-    schema = SCHEMAS[name]
-    if keep_corrupt:
-        schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    reader = (spark.read.schema(schema)
-              .option("header", True)
-              .option("mode", "PERMISSIVE")
-              .option("timestampNTZFormat", timestamp_format)
-              .option("timestampFormat", timestamp_format)
-              .option("nanValue", "NaN"))
-    if keep_corrupt:
-        reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
-    df = reader.csv(path)
-    return _nan_to_null(df)
 
 
 def _nan_to_null(df: DataFrame) -> DataFrame:
