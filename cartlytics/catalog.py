@@ -19,7 +19,7 @@ from cartlytics.functions.pvalues import tail_arguments, upper_tail
 from cartlytics.functions.columns import month_label
 from cartlytics.operators import abtests, bootstrap, cohort, commerce, display, experiment, histogram, profile, rfm
 from cartlytics.sources.readers import read_table
-from cartlytics.session import shared_folder
+from cartlytics.session import materialise, shared_folder
 from cartlytics.sources import testdata as td
 from cartlytics.sources.csv_files import load_csv_table
 from cartlytics.sources.schemas import TEST_TABLES, schema_report
@@ -155,7 +155,7 @@ def q_cohort_retention_range(spark, d):
 def q_histogram_cumulative_orders(spark, d):
     """H1 on integers: the running number of orders by day."""
     return r6(histogram.histogram_auto(experiment.cumulative_orders(_order_metrics(spark, d)), "cumulative_orders",
-                                       keys=["group"], few_keys=True))
+                                       keys=["group"]))
 
 
 def q_contingency(spark, d):
@@ -164,7 +164,7 @@ def q_contingency(spark, d):
 
 def q_log_metric_checks(spark, d):
     """Equality of variances and normality of the logs of the metrics, with verdicts."""
-    logs = experiment.log_metric(_metrics_long(spark, d), keep_original=False)
+    logs = materialise(experiment.log_metric(_metrics_long(spark, d), keep_original=False))  # read by both tests
     even = abtests.levene(logs).select(F.lit("levene").alias("test"), "metric", F.lit(None).cast("int").alias("group"),
                                        F.col("w").alias("statistic"), "p_value", F.col("equal_var").alias("holds"))
     normal = abtests.normality(logs).select(F.lit("normality").alias("test"), "metric", "group",
@@ -274,7 +274,7 @@ def q_histogram_order_value_auto(spark, d):
 
 def q_histogram_user_totals(spark, d):
     totals = experiment.user_metric_totals(experiment.log_metric(_metrics_long(spark, d)))
-    return r6(histogram.histogram_fixed(totals, "value", keys=["metric", "group"], bins=10, few_keys=True))
+    return r6(histogram.histogram_fixed(totals, "value", keys=["metric", "group"], bins=10))
 
 
 def q_ab_order_lines(spark, d):
@@ -357,7 +357,7 @@ def q_bootstrap_mean_ci(spark, d):
 def q_ab_test_pvalues(spark, d):
     """Every test with its p-value: the statistics of all tests are unioned with the arguments of
     their tail (``pvalues.tail_arguments``), and the tail is evaluated once over these few rows."""
-    long = experiment.log_metric(_metrics_long(spark, d))
+    long = materialise(experiment.log_metric(_metrics_long(spark, d)))  # read by all tests
 
     def rows(df, test, stat, kind, df1=None, df2=None, group=None, tail=None):
         v, k, c = tail_arguments(kind, tail or stat, df1, df2)

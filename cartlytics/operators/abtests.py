@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cartlytics.functions.pvalues import p_value_col
 from cartlytics.plans.ordered import attach, exact_quantiles, ranked_values
+from cartlytics.session import materialise
 
 
 def _c(x) -> Column:
@@ -103,7 +104,7 @@ def levene(long: DataFrame, alpha: float = 0.05, with_p: bool = True, value: str
     task); |x - median| moments per group are one more aggregation.
     """
     data = long.where(F.col(value).isNotNull())
-    med = exact_quantiles(data, value, [0.5], keys=["metric", "group"], n_buckets=n_buckets, few_keys=True) \
+    med = exact_quantiles(data, value, [0.5], keys=["metric", "group"], n_buckets=n_buckets) \
         .select("metric", "group", F.col("quantile").alias("_med"))
     z = attach(data, med, ["metric", "group"]).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
     g = z.groupBy("metric", "group").agg(
@@ -157,24 +158,21 @@ def mann_whitney(long: DataFrame, a=0, b=1, with_p: bool = True, value: str = "v
 def contingency(df: DataFrame, row: str, col: str) -> DataFrame:
     """AGG11: dense (row, col, observed, expected) table including zero cells.
 
-    One scan: the observed counts are a partial+final aggregate, and all else is made of these few
-    rows (categories times categories), gathered as one list: each row category is given every
-    column category.
+    One scan: the observed counts are a partial+final aggregate, written once; margins and total are sums of
+    these few rows.  The zero cells come from giving each category of the longer list every category of the shorter
+    one; a cell's observed count is then found by a join on both categories (NULL is a category).
     """
-    obs = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("observed"))
-    every = obs.agg(F.collect_list(F.struct(F.col(row).alias("r"), F.col(col).alias("c"), F.col("observed").alias("n"))).alias("cells"))
-
-    def total(cells: Column) -> Column:
-        return F.aggregate(cells, F.lit(0).cast("long"), lambda s, x: s + x["n"])
-
-    def of(r: Column | None, c: Column | None) -> Column:
-        return total(F.filter("cells", lambda x: (x["r"].eqNullSafe(r) if r is not None else F.lit(True))
-                              & (x["c"].eqNullSafe(c) if c is not None else F.lit(True))))
-
-    grid = (every.withColumn("_r", F.explode(F.array_distinct(F.col("cells.r"))))
-            .withColumn("_c", F.explode(F.array_distinct(F.col("cells.c")))))
-    expected = of(F.col("_r"), None) * of(None, F.col("_c")).cast("double") / total(F.col("cells"))
-    return grid.select(F.col("_r").alias(row), F.col("_c").alias(col), of(F.col("_r"), F.col("_c")).alias("observed"), expected.alias("expected"))
+    observed = materialise(df.groupBy(F.col(row).alias("_r"), F.col(col).alias("_c")).agg(F.count(F.lit(1)).alias("observed")))
+    rows = observed.groupBy("_r").agg(F.sum("observed").alias("_nr"))
+    cols = observed.groupBy("_c").agg(F.sum("observed").alias("_nc"))
+    long, short = (rows, cols) if rows.count() >= cols.count() else (cols, rows)
+    every = short.agg(F.collect_list(F.struct(*short.columns)).alias("list")).select("list").scalar()
+    grid = long.withColumn("_x", F.explode(every)).select(*long.columns, "_x.*")
+    seen = observed.select(F.col("_r").alias("_or"), F.col("_c").alias("_oc"), "observed")
+    total = observed.agg(F.sum("observed").alias("n")).select("n").scalar()
+    dense = grid.join(seen, F.col("_r").eqNullSafe(F.col("_or")) & F.col("_c").eqNullSafe(F.col("_oc")), "left")
+    return dense.select(F.col("_r").alias(row), F.col("_c").alias(col), F.coalesce("observed", F.lit(0)).alias("observed"),
+                        (F.col("_nr") * F.col("_nc").cast("double") / total).alias("expected"))
 
 
 def chi2_independence(df: DataFrame, row: str, col: str, correction: bool = True,

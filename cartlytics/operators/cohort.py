@@ -96,7 +96,8 @@ def best_cohort(retention: DataFrame, month_number: int = 3, position: str = "of
     ``position="offset"``: the month at offset month_number - 1 from the cohort
     month (proper retention).  ``position="row"``: the month_number-th observed
     month of the cohort in calendar order, as read off the compat tables.  The
-    per-cohort window runs on aggregated (cohort, month) rows.
+    windows run on aggregated (cohort, month) rows, of which there are as many as pairs of calendar
+    months at most; retention is evaluated once.
     """
     if position == "offset":
         at = retention.where(F.col("month_offset") == month_number - 1)
@@ -105,6 +106,6 @@ def best_cohort(retention: DataFrame, month_number: int = 3, position: str = "of
         at = retention.withColumn("_rn", rn).where(F.col("_rn") == month_number)
     else:
         raise ValueError("position must be 'offset' or 'row'")
-    at = at.select("cohort", "percentage", "customers_quantity")
-    top = at.agg(F.max("percentage").alias("m")).select("m").scalar()
-    return at.where(F.col("percentage") == top)
+    at = at.where("percentage IS NOT NULL").select("cohort", "percentage", "customers_quantity")
+    place = F.rank().over(Window.partitionBy().orderBy(F.desc("percentage")))
+    return at.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")

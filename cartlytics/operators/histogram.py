@@ -51,18 +51,18 @@ def _edges(stats: DataFrame) -> DataFrame:
                  .withColumn("_hi", F.when(same, F.col("_max") + 0.5).otherwise(F.col("_max"))))
 
 
-def histogram_fixed(df: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 10, few_keys: bool = False) -> DataFrame:
+def histogram_fixed(df: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """H2: ``bins`` equal-width bins between min and max (per key)."""
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
     stats = data.groupBy(*keys).agg(F.min(F.col(value).cast("double")).alias("_min"),
                                     F.max(F.col(value).cast("double")).alias("_max"))
     stats = _edges(stats).withColumn("_nb", F.lit(bins).cast("long")).drop("_min", "_max")
-    return _assign(attach(data, stats, keys, few_keys), value, keys)
+    return _assign(attach(data, stats, keys), value, keys)
 
 
 def histogram_auto(df: DataFrame, value: str, keys: Sequence[str] = (),
-                   integer_width: bool | None = None, n_buckets: int | None = None, few_keys: bool = False) -> DataFrame:
+                   integer_width: bool | None = None, n_buckets: int | None = None) -> DataFrame:
     """H1: numpy ``bins='auto'`` (what seaborn ``histplot`` uses).
 
     width = min(Freedman-Diaconis 2*IQR*n^(-1/3), Sturges range/(log2 n + 1)),
@@ -74,7 +74,7 @@ def histogram_auto(df: DataFrame, value: str, keys: Sequence[str] = (),
         integer_width = isinstance(df.schema[value].dataType, T.IntegralType)
     data = df.where(F.col(value).isNotNull())
     v = data.select(*keys, F.col(value).cast("double").alias("_v"))
-    stats = ordered_summary(v, "_v", [0.25, 0.75], keys, n_buckets, few_keys).select(
+    stats = ordered_summary(v, "_v", [0.25, 0.75], keys, n_buckets).select(
         *keys, F.col("count").alias("_n"), F.col("min").alias("_min"), F.col("max").alias("_max"), F.col("q0").alias("_q25"), F.col("q1").alias("_q75"))
     ptp = F.col("_max") - F.col("_min")
     fd = 2.0 * (F.col("_q75") - F.col("_q25")) * F.pow(F.col("_n").cast("double"), F.lit(-1.0 / 3.0))
@@ -85,4 +85,4 @@ def histogram_auto(df: DataFrame, value: str, keys: Sequence[str] = (),
     stats = _edges(stats.withColumn("_w", width))
     nb = F.when(F.col("_w") > 0, F.ceil((F.col("_hi") - F.col("_lo")) / F.col("_w"))).otherwise(F.lit(1))
     stats = stats.withColumn("_nb", nb.cast("long")).select(*keys, "_lo", "_hi", "_nb")
-    return _assign(attach(data, stats, keys, few_keys), value, keys)
+    return _assign(attach(data, stats, keys), value, keys)

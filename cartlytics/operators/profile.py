@@ -39,15 +39,15 @@ def describe(df: DataFrame, columns: Sequence[str], n_buckets: int | None = None
     Rows (column, count, mean, std, min, q25, q50, q75, max).
     """
     long = _long(df, columns)
-    return describe_long(long, ["column"], n_buckets, few_keys=True)
+    return describe_long(long, ["column"], n_buckets)
 
 
 def describe_long(long: DataFrame, keys: Sequence[str], n_buckets: int | None = None,
-                  value: str = "value", extra: Sequence[tuple[float, str]] = (), few_keys: bool = False) -> DataFrame:
+                  value: str = "value", extra: Sequence[tuple[float, str]] = ()) -> DataFrame:
     """Describe per key of a long frame: moments and exact quantiles from the same first scan; ``extra``
     adds more quantiles (q, column name).  A key without values has no row."""
     probs = [0.25, 0.5, 0.75] + [q for q, _ in extra]
-    s = ordered_summary(long, value, probs, list(keys), n_buckets, few_keys)
+    s = ordered_summary(long, value, probs, list(keys), n_buckets)
     names = ["q25", "q50", "q75"] + [n for _, n in extra]
     q = [F.col(f"q{i}").alias(n) for i, n in enumerate(names)]
     return s.select(*keys, "count", "mean", "std", "min", *q[:3], "max", *q[3:])
@@ -95,4 +95,4 @@ def price_profile(order_items: DataFrame, n_buckets: int | None = None) -> DataF
                                F.col("price").cast("double").alias("value"))
     orders = order_totals(order_items).select(F.lit("order_value").alias("column"),
                                               F.col("price").alias("value"))
-    return describe_long(items.unionByName(orders), ["column"], n_buckets, extra=[(0.95, "p95")], few_keys=True)
+    return describe_long(items.unionByName(orders), ["column"], n_buckets, extra=[(0.95, "p95")])

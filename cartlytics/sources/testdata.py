@@ -7,7 +7,7 @@ Mapping (fixed by FIXTURES.md):
                  l_shipdate, l_extendedprice as price
   ab_users_data <- orders: create_order for every order, plus cancel_order when
                  status = P; group = o_custkey % 2
-  ab_orders   <- lineitem: '{' + sorted l_partkey joined by ', ' + '}' per order
+  ab_orders   <- lineitem: '{' + sorted l_partkey joined by ', ' + '}' per order (a set for 64 lines)
   ab_order_products <- lineitem: the same as rows (order, product)
   ab_products <- part: p_partkey, p_retailprice
 All adapters are projections of one scan (the A/B order sets add one
@@ -75,10 +75,15 @@ def ab_users_from_orders(o: DataFrame) -> DataFrame:
 
 
 def ab_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
+    return product_sets(read_table(spark, sf_dir, "lineitem"))
+
+
+def product_sets(li: DataFrame, lines_a_set: int = 64) -> DataFrame:
+    """One set in braces for every ``lines_a_set`` line numbers of an order: an order of any length is never gathered
+    whole, and its sets explode to its lines."""
     ids = F.array_join(F.sort_array(F.collect_list("l_partkey")), ", ")
-    return (li.groupBy(F.col("l_orderkey").alias("order_id"))
-              .agg(F.concat(F.lit("{"), ids, F.lit("}")).alias("product_ids")))
+    return (li.groupBy(F.col("l_orderkey").alias("order_id"), F.floor((F.col("l_linenumber") - 1) / lines_a_set).alias("_part"))
+              .agg(F.concat(F.lit("{"), ids, F.lit("}")).alias("product_ids")).drop("_part"))
 
 
 def ab_order_products(spark: SparkSession, sf_dir: str) -> DataFrame:
