@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from cartlytics.functions.pvalues import tail_arguments, upper_tail
 from cartlytics.functions.columns import month_label
 from cartlytics.operators import abtests, bootstrap, cohort, commerce, display, experiment, histogram, profile, rfm
-from cartlytics.sources.readers import read_table
+from cartlytics.sources.layout import colocated, layout_name
+from cartlytics.sources.readers import read_table, table_path
 from cartlytics.session import materialise, shared_folder
 from cartlytics.sources import testdata as td
 from cartlytics.sources.csv_files import load_csv_table
@@ -29,6 +30,8 @@ BOOT_RESAMPLES = 2000
 BOOT_BLOCKS = 1024
 BOOT_SEED = 42
 TOP = 20
+ROWS_A_TASK = 1_000_000  # of one key in a join
+BUCKETS = 16
 COHORT_RANGE = ("1995-02-01", "1995-09-30")
 COHORT_PERIODS = {"1995-02": 3, "1995-03": 5, "1995-04": 4}  # the other cohorts are shown whole
 
@@ -82,6 +85,15 @@ def _retention(spark, d, mode):
     return cohort.cohort_retention(_co(spark, d), P["excluded_statuses"], mode=mode)
 
 
+def _by_order(spark, d, table, df):
+    """A table laid out by order_id, once for all queries over ``d``."""
+    return colocated(df, layout_name(table, d, ["order_id"], BUCKETS), ["order_id"], BUCKETS)
+
+
+def _orders_laid_out(spark, d):
+    return _by_order(spark, d, "orders", _co(spark, d)), _by_order(spark, d, "items", td.order_items(spark, d))
+
+
 def _items_from_csv(spark, d):
     """The items table as a user's export has it (an index without a name, columns in another order, one more column, none for
     freight, NA and a text for some prices, one cell too many in some lines), read by its header."""
@@ -123,10 +135,15 @@ def q_schema_report(spark, d):
 
 def q_null_profile(spark, d):
     """Missing values of every column of all three source tables."""
-    return display.union_all([profile.null_profile(read_table(spark, d, t)).select(F.lit(t).alias("table"), "column", "null_count")
+    return display.union_all([profile.null_profile_of_files(spark, table_path(d, t)).select(F.lit(t).alias("table"), "column", "null_count")
                               for t in SOURCES])
 
 
+def q_null_profile_of_frame(spark, d):
+    """The same of a frame that is no file: the order lines of the A/B data."""
+    return profile.null_profile(_lines(spark, d))
+
+
 def q_describe_lineitem(spark, d):
     """describe() of every numeric column of the items table."""
     li = read_table(spark, d, "lineitem")
@@ -193,7 +210,12 @@ def q_value_counts_status(spark, d):
 
 
 def q_orders_shape(spark, d):
-    return profile.shape(read_table(spark, d, "orders"))
+    return profile.shape_of_files(spark, table_path(d, "orders"))
+
+
+def q_lines_shape(spark, d):
+    """PRF3 of a frame that is no file."""
+    return profile.shape(_lines(spark, d))
 
 
 def q_status_shares(spark, d):
@@ -205,9 +227,40 @@ def q_inner_join_customer_orders(spark, d):
 
 
 def q_items_join(spark, d):
-    o = td.orders(spark, d).select("order_id", "order_status", "order_purchase_timestamp")
-    return o.join(td.order_items(spark, d).select("order_id", "order_item_id", "product_id", "price"),
-                  "order_id")
+    return commerce.order_lines(td.orders(spark, d), td.order_items(spark, d))
+
+
+def q_items_join_hot_keys(spark, d):
+    """JN1 with hot orders looked for and cut into fragments."""
+    return commerce.order_lines(td.orders(spark, d), td.order_items(spark, d), rows_a_task=ROWS_A_TASK)
+
+
+def q_customer_orders_hot_keys(spark, d):
+    return commerce.customer_orders(td.customers(spark, d), td.orders(spark, d), rows_a_task=ROWS_A_TASK)
+
+
+def q_ab_order_lines_hot_keys(spark, d):
+    """X1 with hot orders and products looked for and cut into fragments."""
+    return r6(experiment.ab_order_lines(td.ab_users_data(spark, d), td.ab_orders(spark, d), td.ab_products(spark, d), rows_a_task=ROWS_A_TASK))
+
+
+def q_items_join_colocated(spark, d):
+    """JN1 from tables laid out by order: no exchange."""
+    o, items = _orders_laid_out(spark, d)
+    return commerce.order_lines(o, items)
+
+
+def q_rfm_base_colocated(spark, d):
+    """R7 from tables laid out by order: the only exchange is by person."""
+    o, items = _orders_laid_out(spark, d)
+    return r6(rfm.rfm_base(o, items, P["as_of"], P["period_days"], P["excluded_statuses"]))
+
+
+def q_ab_order_metrics_colocated(spark, d):
+    """X2 from tables laid out by order."""
+    users = _by_order(spark, d, "ab_users", td.ab_users_data(spark, d))
+    lines = _by_order(spark, d, "ab_lines", td.ab_order_products(spark, d))
+    return r6(experiment.ab_order_metrics_preagg(users, lines, td.ab_products(spark, d)))
 
 
 def q_explode_product_sets(spark, d):

@@ -10,18 +10,31 @@ from pyspark.sql import functions as F
 from cartlytics.functions.columns import (
     REFERENCE_EXCLUDED_STATUSES, REFERENCE_UNDELIVERED_STATUSES, half_even, month_start,
     not_in_null_safe, weekday_name, weeks_in_month)
+from cartlytics.plans.skew import skew_join
 
 
-def customer_orders(customers: DataFrame, orders: DataFrame) -> DataFrame:
+def customer_orders(customers: DataFrame, orders: DataFrame, rows_a_task: int | None = None) -> DataFrame:
     """JN1: orders with the person id (customer_unique_id) attached.
 
     Inner equi-join on customer_id.  The customers side is one row per
     customer_id; Spark broadcasts it when its statistics are below the
     broadcast threshold and otherwise sort-merge joins, with AQE splitting a
-    skewed customer_id partition of the orders side.
+    skewed customer_id partition of the orders side.  With ``rows_a_task`` the ids that hold many orders are
+    looked for first and cut into fragments of so many rows (``plans.skew``).
     """
-    c = customers.select("customer_id", "customer_unique_id")
-    return orders.join(c, "customer_id", "inner")
+    return _joined(orders, customers.select("customer_id", "customer_unique_id"), "customer_id", rows_a_task)
+
+
+def order_lines(orders: DataFrame, order_items: DataFrame, rows_a_task: int | None = None) -> DataFrame:
+    """JN1: items with their order's status and time; ``rows_a_task`` as in ``customer_orders``."""
+    o = orders.select("order_id", "order_status", "order_purchase_timestamp")
+    return _joined(o, order_items.select("order_id", "order_item_id", "product_id", "price"), "order_id", rows_a_task)
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str, rows_a_task: int | None) -> DataFrame:
+    if rows_a_task is None:
+        return left.join(right, key, "inner")
+    return skew_join(left, right, [key], rows_a_task=rows_a_task)
 
 
 def paid(df: DataFrame, excluded_statuses: Sequence[str] = REFERENCE_EXCLUDED_STATUSES,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlytics.functions.columns import half_even, parse_id_set
+from cartlytics.plans.skew import skew_join
 
 CREATE, CANCEL = "create_order", "cancel_order"
 
@@ -35,11 +36,16 @@ def order_products(ab_orders: DataFrame) -> DataFrame:
 
 
 def ab_order_lines(users: DataFrame, ab_orders: DataFrame, products: DataFrame,
-                   exclude_cancelled: bool = False) -> DataFrame:
-    """Created orders x their products x product prices (two inner joins)."""
+                   exclude_cancelled: bool = False, rows_a_task: int | None = None) -> DataFrame:
+    """Created orders x their products x product prices (two inner joins).  With ``rows_a_task``, orders and
+    products that hold many rows are looked for and cut into fragments of so many (``plans.skew``)."""
     u = created_orders(users, exclude_cancelled).select("user_id", "order_id", "action", "date", "group")
     p = products.select("product_id", "price")
-    return u.join(order_products(ab_orders), "order_id").join(p, "product_id")
+    lines = order_products(ab_orders)
+    if rows_a_task is None:
+        return u.join(lines, "order_id").join(p, "product_id")
+    lines = skew_join(u, lines, ["order_id"], rows_a_task=rows_a_task)
+    return skew_join(lines, p, ["product_id"], rows_a_task=rows_a_task)
 
 
 def ab_order_metrics(lines: DataFrame, money_decimals: int | None = 6) -> DataFrame:

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartlytics.plans.ordered import ordered_summary, quantiles_wide
 from cartlytics.sources.schemas import check_schema  # noqa: F401  (PRF2)
@@ -23,6 +26,54 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return wide.unpivot([], cols, "column", "null_count")
 
 
+def _footers(spark: SparkSession, path: str) -> DataFrame:
+    """The files as a source that answers count(*) and count(column) from the Parquet footers.  Spark picks that source when the
+    frame is made; whether aggregates are pushed to it is a session default of this library."""
+    name = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "")
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _from_footers(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
+    """One row: rows, and the number of values of each column; None where a file lacks the statistics for it."""
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)])
+    try:
+        counts.first()  # reads footers only
+    except (Py4JError, PySparkException):
+        return None
+    return counts
+
+
+def null_profile_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """PRF1 of Parquet files: (column, null_count).  A column's nulls are rows less values, both from the footers; only
+    floating columns are read, since NaN counts as missing and footers do not know it; so are columns of files without statistics."""
+    df = _footers(spark, path)
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    plain = [c for c in df.columns if c not in floating]
+    counts = _from_footers(df, plain) if plain else None
+    if counts is None:
+        plain, floating = [], list(df.columns)
+    parts = []
+    if plain:
+        wide = counts.select(*[(F.col("rows") - F.col(f"n{i}")).alias(c) for i, c in enumerate(plain)])
+        parts.append(wide.unpivot([], plain, "column", "null_count"))
+    if floating:
+        given = spark.read.parquet(path)
+        missing = lambda f: F.col(f"`{f.name}`").isNull() | F.isnan(f"`{f.name}`") if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`").isNull()
+        wide = given.agg(*[F.count_if(missing(f)).alias(f.name) for f in given.schema.fields if f.name in floating])
+        parts.append(wide.unpivot([], floating, "column", "null_count"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def shape_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """PRF3 of Parquet files: one row (rows, columns), from the footers."""
+    return shape(_footers(spark, path))
+
+
 def shape(df: DataFrame) -> DataFrame:
     """PRF3: one row (rows, columns)."""
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))

@@ -636,6 +636,14 @@ def _on_all_metrics(name: str, test: str, statistic: str, group: str = "NULL", m
             f"FROM (WITH long AS (SELECT * FROM both_kinds), {inner})")
 
 
+for _same, _as in (("items_join_hot_keys", "items_join"), ("items_join_colocated", "items_join"), ("customer_orders_hot_keys", "inner_join_customer_orders"),
+                   ("ab_order_lines_hot_keys", "ab_order_lines"), ("rfm_base_colocated", "rfm_base"), ("ab_order_metrics_colocated", "ab_order_metrics")):
+    SQL[_same] = SQL[_as]
+SQL["null_profile_of_frame"] = f"""
+WITH {AB} SELECT name AS "column", value AS null_count
+FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM (SELECT user_id, order_id, 'create_order' AS action, date, grp AS "group", product_id, price FROM lines))
+      ON COLUMNS(*) INTO NAME name VALUE value)"""
+SQL["lines_shape"] = f'WITH {AB} SELECT count(*) AS "rows", 7 AS "columns" FROM lines'
 SQL["top_products"] = f"SELECT * FROM ({SQL['top_weekday_per_product']}) ORDER BY quantity DESC, product_id LIMIT 20"
 SQL["top_buyers_per_week"] = f"SELECT * FROM ({SQL['purchases_per_week']}) ORDER BY avg_purchases_per_week DESC, year_month, customer_unique_id LIMIT 20"
 SQL["log_metric_checks"] = f"""

@@ -20,6 +20,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.timestampType": "TIMESTAMP_NTZ",
+    # counts come from the footers where a frame is made for it (operators.profile)
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 

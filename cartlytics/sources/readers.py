@@ -17,4 +17,8 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """SRC3: one parquet table of the driver's test data, NaN read as NULL."""
-    return _nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
+    return _nan_to_null(spark.read.parquet(table_path(sf_dir, table)))
+
+
+def table_path(sf_dir: str, table: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{table}.parquet"
