@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from cartlytics.functions.pvalues import tail_arguments, upper_tail
 from cartlytics.functions.columns import month_label
-from cartlytics.operators import abtests, bootstrap, cohort, commerce, display, experiment, histogram, profile, rfm
+from cartlytics.operators import abtests, bootstrap, cohort, commerce, display, experiment, histogram, little_bootstrap, profile, rfm
 from cartlytics.sources.layout import colocated, layout_name
 from cartlytics.sources.readers import read_table, table_path
 from cartlytics.session import materialise, shared_folder
@@ -407,6 +407,11 @@ def q_bootstrap_mean_ci(spark, d):
                                           seed=BOOT_SEED, n_blocks=BOOT_BLOCKS))
 
 
+def q_bootstrap_full_size(spark, d):
+    """X13 with resamples of each group's whole size; random by seed, so without SQL."""
+    return r6(little_bootstrap.little_bootstrap_ci(_metrics_long(spark, d), n_resamples=BOOT_RESAMPLES, seed=BOOT_SEED))
+
+
 def q_ab_test_pvalues(spark, d):
     """Every test with its p-value: the statistics of all tests are unioned with the arguments of
     their tail (``pvalues.tail_arguments``), and the tail is evaluated once over these few rows."""

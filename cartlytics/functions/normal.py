@@ -1,8 +1,6 @@
 """Standard normal CDF and quantile as plain arithmetic expressions.
 
-Both are published rational approximations, written once as a template so that
-Spark (Column expressions, whole-stage codegen, no Python) and the SQL oracle
-evaluate the very same arithmetic:
+Both are published rational approximations, as Column expressions (no Python):
 
 * CDF: Hart's double-precision algorithm 5666 (as popularised by G. West),
   absolute error about 1e-14;
@@ -36,115 +34,39 @@ ACK_LOW = 0.02425
 # ----------------------------------------------------------------------------
 
 
-class _Col:
-    """Builds Column expressions."""
-    @staticmethod
-    def lit(v):
-        return F.lit(float(v))
-
-    abs = staticmethod(F.abs)
-    exp = staticmethod(F.exp)
-    sqrt = staticmethod(F.sqrt)
-    ln = staticmethod(F.ln)
-
-    @staticmethod
-    def when(cond, a, b):
-        return F.when(cond, a).otherwise(b)
-
-
-class _Sql:
-    """Builds SQL text (DuckDB / Spark SQL)."""
-    @staticmethod
-    def lit(v):
-        return f"CAST('{float(v)!r}' AS DOUBLE)"
-
-    @staticmethod
-    def abs(x):
-        return f"abs({x})"
-
-    @staticmethod
-    def exp(x):
-        return f"exp({x})"
-
-    @staticmethod
-    def sqrt(x):
-        return f"sqrt({x})"
-
-    @staticmethod
-    def ln(x):
-        return f"ln({x})"
-
-    @staticmethod
-    def when(cond, a, b):
-        return f"(CASE WHEN {cond} THEN {a} ELSE {b} END)"
-
-
-def _horner(b, coeffs, x):
-    acc = b.lit(coeffs[0])
-    for c in coeffs[1:]:
-        acc = _op(b, _op(b, acc, "*", x), "+", b.lit(c))
-    return acc
-
-
-def _op(b, x, op, y):
-    if b is _Col:
-        return {"*": x * y, "+": x + y, "-": x - y, "/": x / y}[op]
-    return f"({x} {op} {y})"
-
-
-def _cmp(b, x, op, y):
-    if b is _Col:
-        return {"<": x < y, ">": x > y, "<=": x <= y}[op]
-    return f"({x} {op} {y})"
-
-
-def _cdf(b, x):
-    ax = b.abs(x)
-    e = b.exp(_op(b, _op(b, b.lit(0.0), "-", _op(b, ax, "*", ax)), "/", b.lit(2.0)))
-    inner = _op(b, _op(b, e, "*", _horner(b, HART_NUM, ax)), "/", _horner(b, HART_DEN, ax))
-    t = _op(b, ax, "+", b.lit(0.65))
-    for k in (4.0, 3.0, 2.0, 1.0):
-        t = _op(b, ax, "+", _op(b, b.lit(k), "/", t))
-    outer = _op(b, _op(b, e, "/", t), "/", b.lit(SQRT_2PI))
-    tail = b.when(_cmp(b, ax, "<", b.lit(HART_SPLIT)), inner, outer)
-    tail = b.when(_cmp(b, ax, ">", b.lit(37.0)), b.lit(0.0), tail)
-    return b.when(_cmp(b, x, ">", b.lit(0.0)), _op(b, b.lit(1.0), "-", tail), tail)
-
-
-def _ppf(b, p):
-    def tail(q):
-        num = _horner(b, ACK_C, q)
-        den = _op(b, _op(b, _horner(b, ACK_D, q), "*", q), "+", b.lit(1.0))
-        return _op(b, num, "/", den)
-
-    q_low = b.sqrt(_op(b, b.lit(-2.0), "*", b.ln(p)))
-    q_high = b.sqrt(_op(b, b.lit(-2.0), "*", b.ln(_op(b, b.lit(1.0), "-", p))))
-    q = _op(b, p, "-", b.lit(0.5))
-    r = _op(b, q, "*", q)
-    central = _op(b, _op(b, _horner(b, ACK_A, r), "*", q), "/",
-                  _op(b, _op(b, _horner(b, ACK_B, r), "*", r), "+", b.lit(1.0)))
-    upper = _op(b, b.lit(0.0), "-", tail(q_high))
-    out = b.when(_cmp(b, p, "<", b.lit(ACK_LOW)), tail(q_low),
-                 b.when(_cmp(b, p, "<=", b.lit(1.0 - ACK_LOW)), central, upper))
+def _horner(coefficients, x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
     return out
 
 
 def norm_cdf(x) -> Column:
     """Phi(x) as a Column expression."""
-    return _cdf(_Col, F.col(x) if isinstance(x, str) else x)
+    x = F.col(x) if isinstance(x, str) else x
+    size = F.abs(x)
+    e = F.exp(-(size * size) / 2.0)
+    inner = e * _horner(HART_NUM, size) / _horner(HART_DEN, size)
+    t = size + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        t = size + k / t
+    outer = e / t / SQRT_2PI
+    tail = F.when(size > 37.0, 0.0).when(size < HART_SPLIT, inner).otherwise(outer)
+    return F.when(x > 0.0, 1.0 - tail).otherwise(tail)
 
 
 def norm_ppf(p) -> Column:
     """Phi^-1(p) for 0 < p < 1 as a Column expression (NULL outside)."""
     p = F.col(p) if isinstance(p, str) else p
     ok = (p > 0) & (p < 1)
-    return F.when(ok, _ppf(_Col, F.when(ok, p).otherwise(F.lit(0.5))))
-
-
-def sql_norm_cdf(x: str) -> str:
-    return _cdf(_Sql, x)
+    p = F.when(ok, p).otherwise(0.5)
 
+    def tail(q: Column) -> Column:
+        return _horner(ACK_C, q) / (_horner(ACK_D, q) * q + 1.0)
 
-def sql_norm_ppf(p: str) -> str:
-    inner = _ppf(_Sql, f"(CASE WHEN {p} > 0 AND {p} < 1 THEN {p} ELSE 0.5 END)")
-    return f"(CASE WHEN {p} > 0 AND {p} < 1 THEN {inner} END)"
+    q = p - 0.5
+    r = q * q
+    central = _horner(ACK_A, r) * q / (_horner(ACK_B, r) * r + 1.0)
+    out = (F.when(p < ACK_LOW, tail(F.sqrt(-2.0 * F.ln(p)))).when(p <= 1.0 - ACK_LOW, central)
+           .otherwise(-tail(F.sqrt(-2.0 * F.ln(1.0 - p)))))
+    return F.when(ok, out)

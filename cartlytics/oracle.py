@@ -8,11 +8,10 @@ Doubles are rounded to 6 decimals like ``catalog.r6``.
 
 from __future__ import annotations
 
-from cartlytics.catalog import BOOT_BLOCKS, BOOT_RESAMPLES, BOOT_SEED
+import math
 from statistics import NormalDist
 
-from cartlytics.functions.normal import sql_norm_cdf, sql_norm_ppf
-from cartlytics.operators.bootstrap import POISSON1_CDF
+from cartlytics.catalog import BOOT_BLOCKS, BOOT_RESAMPLES, BOOT_SEED
 
 _normal = NormalDist()
 
@@ -225,8 +224,23 @@ SELECT metric, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
 
 
 def _poisson_case(u: str) -> str:
-    parts = [f"WHEN {u} < CAST('{c!r}' AS DOUBLE) THEN {k}" for k, c in enumerate(POISSON1_CDF)]
-    return "CASE " + " ".join(parts) + f" ELSE {len(POISSON1_CDF)} END"
+    """How many of the probabilities P(X <= k), X ~ Poisson(1), are at most u."""
+    upto = [math.fsum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(20)]
+    return "CASE " + " ".join(f"WHEN {u} < CAST('{c!r}' AS DOUBLE) THEN {k}" for k, c in enumerate(upto)) + f" ELSE {len(upto)} END"
+
+
+def _normal_cdf(x: str) -> str:
+    """Phi(x) by its series 1/2 + phi(x) (x + x^3 / 3 + x^5 / 15 + ...), the denominators being odd factorials."""
+    series = f"list_sum(list_transform(range(0, 120), lambda n: {x} * pow({x} * {x}, n) / exp(lgamma(n + 1.5) - lgamma(1.5) + n * ln(2))))"
+    return f"(CASE WHEN {x} > 8 THEN 1.0::DOUBLE WHEN {x} < -8 THEN 0.0::DOUBLE ELSE 0.5 + exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {series} END)"
+
+
+def _normal_quantile(p: str) -> str:
+    """The x with Phi(x) = p, by 64 halvings of [-9, 9]; NULL outside (0, 1)."""
+    middle = "((a.lo + a.hi) / 2)"
+    half = f"CASE WHEN {_normal_cdf(middle)} < {p} THEN {{'lo': {middle}, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': {middle}}} END"
+    halved = f"list_reduce(list_transform(range(0, 65), lambda i: {{'lo': -9.0::DOUBLE, 'hi': 9.0::DOUBLE}}), lambda a, b: {half})"
+    return f"(CASE WHEN {p} > 0 AND {p} < 1 THEN ({halved}).lo END)"
 
 
 def _md5_int(expr: str) -> str:
@@ -603,11 +617,11 @@ sh AS (
            + avg(CASE WHEN r.mean = e.est THEN 1.0 ELSE 0.0 END) / 2 AS share,
          count(*) AS nr
   FROM reps r JOIN est e USING (metric, grp) WHERE r.mean IS NOT NULL GROUP BY r.metric, r.grp),
-z AS (SELECT *, {sql_norm_ppf('CAST(share AS DOUBLE)')} AS z0 FROM sh),
+z AS (SELECT *, {_normal_quantile('CAST(share AS DOUBLE)')} AS z0 FROM sh),
 lim AS (
   SELECT metric, grp, nr,
-         {sql_norm_cdf(f"(2.0 * z0 + CAST('{_ZA!r}' AS DOUBLE))")} AS a1,
-         {sql_norm_cdf(f"(2.0 * z0 + CAST('{_ZB!r}' AS DOUBLE))")} AS a2 FROM z),
+         {_normal_cdf(f"(2.0 * z0 + CAST('{_ZA!r}' AS DOUBLE))")} AS a1,
+         {_normal_cdf(f"(2.0 * z0 + CAST('{_ZB!r}' AS DOUBLE))")} AS a2 FROM z),
 pos AS (SELECT metric, grp, 'lo' AS side, (nr - 1) * a1 AS p FROM lim
         UNION ALL SELECT metric, grp, 'hi', (nr - 1) * a2 FROM lim),
 ranked AS (SELECT metric, grp, mean, row_number() OVER (PARTITION BY metric, grp ORDER BY mean) - 1 AS i

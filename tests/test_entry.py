@@ -23,7 +23,8 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_documented():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(QUERIES) == set(SQL) and set(QUERIES) <= set(qs)
+    # random by seed: tested against analytic widths and a plain bootstrap
+    assert set(QUERIES) - set(SQL) == {"bootstrap_full_size"} and set(SQL) <= set(QUERIES) <= set(qs)
 
 
 def _canon(rows):
