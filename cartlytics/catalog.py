@@ -11,13 +11,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlytics.functions.pvalues import tail_arguments, upper_tail
 from cartlytics.functions.columns import month_label
-from cartlytics.operators import abtests, bootstrap, cohort, commerce, display, experiment, histogram, little_bootstrap, profile, rfm
+from cartlytics.operators import abtests, bootstrap, cohort, commerce, display, experiment, histogram, little_bootstrap, person_state, profile, rfm, sketches
 from cartlytics.sources.layout import colocated, layout_name
 from cartlytics.sources.readers import read_table, table_path
 from cartlytics.session import materialise, shared_folder
@@ -364,6 +364,48 @@ def q_log_dropped(spark, d):
     return experiment.log_dropped(_metrics_long(spark, d))
 
 
+def q_sketched_users_by_day(spark, d):
+    """AGG6/X4 from day sketches: the running number of users, and whether the sketches are within three standard errors of it."""
+    om = materialise(_order_metrics(spark, d))
+    first = om.groupBy("group", "user_id").agg(F.min("date").alias("date")).groupBy("group", "date").agg(F.count(F.lit(1)).alias("new"))
+    days = om.select("group", "date").distinct().join(first, ["group", "date"], "left")
+    so_far = Window.partitionBy("group").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    exact = days.select("group", "date", F.sum(F.coalesce("new", F.lit(0))).over(so_far).alias("users"))
+    got = exact.join(sketches.running_users(materialise(sketches.sketch_table(om))), ["group", "date"])
+    return got.select("group", "date", "users", (F.abs(F.col("n_users") / F.col("users") - 1) <= 3 * sketches.users_error()).alias("within"))
+
+
+def q_sketched_quantiles(spark, d):
+    """D6 from day sketches: per group the rows, and whether the merged quantiles are within the sketches' rank error."""
+    om = materialise(_order_metrics(spark, d))
+    got = sketches.estimates(sketches.merge_sketches(sketches.sketch_table(om), ["group"]), (0.5, 0.95))
+    both = om.join(materialise(got), "group").groupBy("group").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(cond).alias(n) for q in (50, 95) for n, cond in (
+            (f"below{q}", F.col("sum_price") < F.col(f"q{q}")), (f"upto{q}", F.col("sum_price") <= F.col(f"q{q}")))])
+    slack = F.col("rows") * sketches.rank_error()
+    ok = [((F.col(f"below{q}") - slack <= F.col("rows") * q / 100) & (F.col("rows") * q / 100 <= F.col(f"upto{q}") + slack)).alias(f"within{q}") for q in (50, 95)]
+    return both.select("group", "rows", *ok)
+
+
+def _state(spark, d):
+    """The person state of all orders in three batches that overlap in time."""
+    co, items, paid = _co(spark, d), td.order_items(spark, d), P["excluded_statuses"]
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}-state"
+    for k in range(3):
+        person_state.append_batch(person_state.person_days(co.where(F.pmod(F.xxhash64("order_id"), F.lit(3)) == k), items, paid), path, f"b{k}")
+    return person_state.read_state(spark, path)
+
+
+def q_retention_from_state(spark, d):
+    """R5 from merged batches of partial aggregates."""
+    return r6(person_state.retention_from_state(_state(spark, d)))
+
+
+def q_rfm_base_from_state(spark, d):
+    """R7 from merged batches of partial aggregates."""
+    return r6(person_state.rfm_base_from_state(_state(spark, d), P["as_of"], P["period_days"]))
+
+
 def q_cancel_rate(spark, d):
     return r6(experiment.cancel_rate(td.ab_users_data(spark, d)))
 

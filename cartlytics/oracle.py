@@ -653,6 +653,12 @@ def _on_all_metrics(name: str, test: str, statistic: str, group: str = "NULL", m
 for _same, _as in (("items_join_hot_keys", "items_join"), ("items_join_colocated", "items_join"), ("customer_orders_hot_keys", "inner_join_customer_orders"),
                    ("ab_order_lines_hot_keys", "ab_order_lines"), ("rfm_base_colocated", "rfm_base"), ("ab_order_metrics_colocated", "ab_order_metrics")):
     SQL[_same] = SQL[_as]
+SQL["retention_from_state"], SQL["rfm_base_from_state"] = SQL["cohort_retention"], SQL["rfm_base"]
+SQL["sketched_users_by_day"] = f"""
+WITH {AB}, first AS (SELECT grp, user_id, min(date) AS date FROM om GROUP BY grp, user_id),
+days AS (SELECT DISTINCT grp, date FROM om)
+SELECT d.grp AS "group", d.date, count(f.user_id) AS users, true AS within FROM days d JOIN first f ON f.grp = d.grp AND f.date <= d.date GROUP BY d.grp, d.date"""
+SQL["sketched_quantiles"] = f'WITH {AB} SELECT grp AS "group", count(*) AS "rows", true AS within50, true AS within95 FROM om GROUP BY grp'
 SQL["null_profile_of_frame"] = f"""
 WITH {AB} SELECT name AS "column", value AS null_count
 FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM (SELECT user_id, order_id, 'create_order' AS action, date, grp AS "group", product_id, price FROM lines))
