@@ -12,15 +12,16 @@ are links by this measure, and so are texts with one word in twenty replaced.  W
 leaves out cannot be aligned in a link, so it excludes none.
 
 Classes are the connected components of the links; copies (equal words) are one node.  Within
-a key, no pairs of all members are made at once: each member is compared with one leader, and
-only members that are still in another class than some member of their key go on, to
-2, 8, 32 ... leaders, until a key's members are of one class or have been compared
-with each other.
-
-Cases: null texts are empty; texts without words are never near another one; a text of fewer
-than five words is a single shingle; repeated rows are copies; extra columns are ignored; null
-doc_ids take part, and the class id is null only if the whole class has none.  Of rows that share
-a doc_id but not a text, all go with one that goes.
+a key, every member is first compared with one leader.  Where a key's members are then of several classes, they are compared in
+blocks of about ``BLOCK``: a task has two blocks of one key, rules out pairs by their lengths and by a lower bound of their distance
+(``far_apart``), verifies the others unless they are of one class by then, and hands on links that
+join classes.  No pair is ever a row, no key is capped and no link is lost: n1 + n2 - 2 x aligned is at least the
+distance of the two texts' counts of words by any hash.
+
+Cases: null texts are empty; texts without a letter or digit are near their exact copies only, and blank ones are
+alone; a text of fewer than five words is a single shingle; repeated rows are copies; extra columns are ignored; null
+doc_ids take part, and the class id is null only if the whole class has none.  Rows that share a doc_id but not a text are
+judged one by one.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlytics.llm.common import WordIds, fresh, materialise, mix64, ship, small_batches, text_or_empty
+from cartlytics.llm.common import WordIds, fresh, materialise, mix64, partitions, ship, small_batches, text_or_empty
 from cartlytics.llm.decontam import BITS, seed_bitmap
 
 ship(__name__)
@@ -39,15 +40,17 @@ ship(__name__)
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
 #: With a share j of their shingles in common, two texts have a sample's key in common with probability
-#: j**5, and no key at all with (1 - j**5)**48: 5e-9 at 0.8, 2e-4 at 0.7, 2% at 0.6.  Texts that only share
-#: a passage rarely have a key in common.
+#: j**3, and no key at all with (1 - j**3)**48: 1e-15 at 0.8, 7e-6 at 0.6, 0.2% at 0.5, 4% at 0.4 (about one word in
+#: twelve replaced).
 SAMPLES = 48
-KEPT = 5
+KEPT = 3
+BLOCK = 1024
 WORD = r"[^\W_]+"
 
 TEXTS = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("row", T.LongType()),
+    T.StructField("raw", T.LongType()),  # of the text; null for a blank one
     T.StructField("text_hash", T.LongType()),  # of the words; null without words
     T.StructField("keys", T.ArrayType(T.LongType())),
     T.StructField("n", T.IntegerType()),  # words
@@ -111,7 +114,7 @@ def order_keys(labelled):
 
 
 def keys_of_texts(batches: Iterator) -> Iterator:
-    """mapInArrow: doc_id, row, text -> TEXTS."""
+    """mapInArrow: doc_id, row, raw, text -> TEXTS."""
     import re
 
     import numpy as np
@@ -120,7 +123,7 @@ def keys_of_texts(batches: Iterator) -> Iterator:
     find, ids = re.compile(WORD).findall, WordIds()
     for batch in batches:
         texts, keys, sizes = [], [], []
-        for text in batch.column(2).to_pylist():
+        for text in batch.column(3).to_pylist():
             h = ids.array(find(text.lower()))
             s = shingles(h)
             sizes.append(len(h))
@@ -131,7 +134,7 @@ def keys_of_texts(batches: Iterator) -> Iterator:
                 texts.append(None)
                 keys.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())],
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())],
             names=TEXTS.names)
 
 
@@ -212,24 +215,93 @@ def aligned(a, b, least: int) -> int:
 VERIFIED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
 
 
-def verify(batches: Iterator) -> Iterator:
-    """mapInArrow: a, b, seq_a, seq_b -> the pairs that are links."""
+def similarity_of(x, y) -> float:
+    """Of two word sequences, 0 if it is below ``MIN_SIMILARITY``."""
     import math
 
+    total = len(x) + len(y)
+    found = aligned(x, y, math.ceil(MIN_SIMILARITY / (1 + MIN_SIMILARITY) * total - 1e-9))
+    return found / (total - found) if found >= MIN_SIMILARITY * (total - found) - 1e-9 else 0.0
+
+
+def far_apart(counts, sizes, i: int):
+    """Which of the texts from i + 1 on cannot be linked with text i.
+
+    ``counts``: words by bucket of a hash.  Words that are not aligned are n1 + n2 - 2 x aligned, at least the sum of the
+    differences of the counts; a link leaves (1 - s) / (1 + s) of n1 + n2 at most unaligned."""
+    import numpy as np
+
+    most = (1 - MIN_SIMILARITY) / (1 + MIN_SIMILARITY) * (sizes[i + 1:] + sizes[i]) + 1e-6
+    out = np.abs(sizes[i + 1:] - sizes[i]) > most
+    near = np.flatnonzero(~out)
+    out[near] = np.abs(counts[i + 1 + near] - counts[i]).sum(axis=1) > most[near]
+    return out
+
+
+def compare_blocks(batches: Iterator) -> Iterator:
+    """mapInArrow over rows sorted by task: task, block, text_hash, class, seq -> VERIFIED: links that join the classes of a
+    task.  A task of one block compares it with itself, one of two blocks the one with the other."""
+    import pyarrow as pa
+
+    def links_in(rows):
+        import numpy as np
+
+        rows.sort(key=lambda r: (len(r[4]), r[2]))
+        texts = [np.frombuffer(r[4], np.uint32) for r in rows]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        buckets = 64
+        while buckets * 3 < sizes[-1] and buckets < 4096:
+            buckets *= 2
+        counts = np.array([np.bincount(t % buckets, minlength=buckets) for t in texts]).astype(np.int32)
+        block, classes = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+        two, found = len(set(block.tolist())) > 1, []
+        for i in range(len(rows) - 1):
+            end = int(np.searchsorted(sizes, sizes[i] / MIN_SIMILARITY + 1, side="right"))  # longer ones are no links
+            open_ = classes[i + 1:end] != classes[i]
+            if two:
+                open_ &= block[i + 1:end] != block[i]
+            if not open_.any():
+                continue
+            for j in np.flatnonzero(open_ & ~far_apart(counts[:end], sizes[:end], i)) + i + 1:
+                if classes[j] == classes[i]:
+                    continue
+                similarity = similarity_of(texts[i], texts[j])
+                if similarity:
+                    found.append((rows[i][2], rows[j][2], similarity))
+                    classes[classes == classes[j]] = classes[i]
+        return found
+
+    now: list[tuple] = []
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now and now[0][0] != row[0]:
+                out += links_in(now)
+                now = []
+            now.append(row)
+        if out:
+            yield _links(pa, out)
+    if now and (out := links_in(now)):
+        yield _links(pa, out)
+
+
+def _links(pa, rows):
+    return pa.RecordBatch.from_arrays([pa.array([min(r[:2]) for r in rows], pa.int64()), pa.array([max(r[:2]) for r in rows], pa.int64()),
+                                       pa.array([r[2] for r in rows], pa.float64())], names=VERIFIED.names)
+
+
+def verify(batches: Iterator) -> Iterator:
+    """mapInArrow: a, b, seq_a, seq_b -> the pairs that are links."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         rows = []
         for a, b, sa, sb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
-            total = len(x) + len(y)
-            found = aligned(x, y, math.ceil(MIN_SIMILARITY / (1 + MIN_SIMILARITY) * total - 1e-9))
-            if found >= MIN_SIMILARITY * (total - found) - 1e-9:
-                rows.append((a, b, found / (total - found)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())],
-            names=VERIFIED.names)
+            similarity = similarity_of(np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32))
+            if similarity:
+                rows.append((a, b, similarity))
+        yield _links(pa, rows)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -254,14 +326,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def row_key():
-    """The document's id; for a null id, a hash of the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()))
+    """A hash of the document's id and text: only rows that are equal in both share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())
 
 
 def key_table(docs: DataFrame) -> DataFrame:
-    """doc_id, row (row_key), text_hash, keys, n of every row, written once."""
+    """doc_id, row (row_key), raw, text_hash, keys, n of every row, written once."""
     small_batches(docs.sparkSession)
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), text_or_empty().alias("text"))
+    raw = F.when(text_or_empty().rlike(r"\S"), F.xxhash64(text_or_empty(), F.lit("no words")))
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), raw.alias("raw"), text_or_empty().alias("text"))
                        .mapInArrow(keys_of_texts, TEXTS))
 
 
@@ -283,29 +356,25 @@ def links_of(texts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
              .select(F.least("text_hash", "lead").alias("a"), F.greatest("text_hash", "lead").alias("b")).distinct())
     links = materialise(verified(tried, seqs))
     classes = components(links)
-    members = shared.where("members > 2").select("key", "members", "text_hash", "n")
-    leaders = 2
-    while True:
-        # keys whose members are not of one class yet, and have not all been leaders
-        now = members.join(classes.withColumnRenamed("node", "text_hash"), "text_hash", "left").withColumn("class", F.coalesce("class", "text_hash"))
-        spread = materialise(now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-                             .where("lo < hi").select("key"))
-        members = materialise(now.join(spread, "key"))
-        if members.isEmpty():
-            return links, classes
-        # about so many leaders of each key, by the share of their hash; at the end all of a key's members
-        share = F.pmod(F.xxhash64("text_hash", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-        chosen = (members.where(share * F.col("members") < leaders)
-                  .select("key", F.col("text_hash").alias("lead"), F.col("n").alias("lead_n"), F.col("class").alias("lead_class")))
-        pairs = (members.join(chosen, "key")
-                 .where((F.col("class") != F.col("lead_class")) & close)
-                 .select(F.least("text_hash", "lead").alias("a"), F.greatest("text_hash", "lead").alias("b")).distinct())
-        fresh = materialise(verified(pairs, seqs))
-        if not fresh.isEmpty():
-            links = materialise(links.unionByName(fresh).distinct())
-            classes = joined(classes, fresh)
-        members = members.where(F.col("members") > leaders).drop("class")
-        leaders *= 4
+    # keys whose members are of several classes still
+    now = (shared.where("members > 2").select("key", "members", "text_hash")
+           .join(classes.withColumnRenamed("node", "text_hash"), "text_hash", "left").withColumn("class", F.coalesce("class", "text_hash")))
+    spread = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+    now = materialise(now.join(spread, "key").join(seqs, "text_hash"))
+    fresh = materialise(_block_pairs(now).mapInArrow(compare_blocks, VERIFIED)).dropDuplicates(["a", "b"])
+    if fresh.isEmpty():
+        return links, classes
+    return materialise(links.unionByName(fresh).distinct()), joined(classes, fresh)
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """task, block, text_hash, class, seq: each member in the pairs of blocks of its key that it takes part in."""
+    blocks = F.ceil(F.col("members") / BLOCK)
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("text_hash"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    task = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return (dealt.select(task.alias("task"), "block", "text_hash", "class", "seq").repartition(partitions(members.sparkSession), "task")
+            .sortWithinPartitions("task"))
 
 
 def joined(classes: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -324,39 +393,35 @@ def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
             .select("a", "b", "seq_a", "seq_b").mapInArrow(verify, VERIFIED))
 
 
-def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The key table, and text_hash, class_id, keeper (row key of the document that stays) of every text."""
+def _classified(docs: DataFrame) -> DataFrame:
+    """doc_id, row, class and class_id (the least doc_id of the class) of every row; written once.  The class of a row without
+    words is its text; blank rows have none."""
     rows = key_table(docs)
-    texts = materialise(rows.where("text_hash IS NOT NULL").groupBy("text_hash")
-                        .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "keys", "n")).alias("t"))
-                        .select("text_hash", "doc_id", "t.row", "t.keys", "t.n"))
+    texts = materialise(rows.where("text_hash IS NOT NULL").groupBy("text_hash").agg(F.min(F.struct("row", "keys", "n")).alias("t"))
+                        .select("text_hash", "t.row", "t.keys", "t.n"))
     _, classes = links_of(texts, docs)
-    named = (texts.select("text_hash", "doc_id", "row")
-             .join(classes.withColumnRenamed("node", "text_hash"), "text_hash", "left")
-             .withColumn("class", F.coalesce("class", "text_hash")))
+    named = (rows.select("doc_id", "row", "raw", "text_hash").join(classes.withColumnRenamed("node", "text_hash"), "text_hash", "left")
+             .select("doc_id", "row", F.coalesce("class", "text_hash", "raw").alias("class")))
     named = materialise(named)
-    first = materialise(named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("row").alias("least_row"))
-                        .select("class", "class_id", F.coalesce("class_id", "least_row").alias("keeper")))
-    return rows, named.join(first, "class").select("text_hash", "class_id", "keeper")
+    first = named.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"),
+                                                                 F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("k"))
+    return materialise(named.join(first.select("class", "class_id", F.col("k.row").alias("keeper")), "class", "left"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every document."""
-    rows, of_text = _classified(docs)
-    return (rows.select("doc_id", "text_hash").join(materialise(of_text), "text_hash", "left")
-            .select("doc_id", F.when(F.col("text_hash").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")))
+    return _classified(docs).select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document of least id, once; all columns kept."""
-    rows, of_text = _classified(docs)
+    """The rows of ``docs`` that stay: of each class the row of least id (ties: one of them), once; all columns kept."""
+    rows = _classified(docs)
     name, = fresh(docs, "row")
-    judged = rows.select("row", "text_hash").join(materialise(of_text), "text_hash", "left")
-    gone = materialise(judged.where("row <> keeper").select(F.col("row").alias(name)).distinct())
-    twice = materialise(rows.groupBy(F.col("row").alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name))
+    gone = materialise(rows.where("row <> keeper").select(F.col("row").alias(name)).distinct())
+    twice = materialise(rows.where("class IS NOT NULL").groupBy(F.col("row").alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name))
     stay = docs.join(gone, row_key() == F.col(name), "left_anti")
     if twice.isEmpty():
         return stay
-    # ids that several rows have: of equal rows, one stays
+    # of rows with equal id and text, one stays
     return (stay.join(twice, row_key() == F.col(name), "left_anti")
             .unionByName(stay.join(twice, row_key() == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])))
