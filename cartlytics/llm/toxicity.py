@@ -33,7 +33,10 @@ TRAIN_TEXTS = 2000
 THRESHOLD = 0.3
 WORD = r"[^\W_]+"
 BUCKETS = 1 << 18
-EPOCHS = 24
+EPOCHS = 40
+#: Words that are scored at a time, and code points of the longest text that is learnt from.
+WORDS_AT_ONCE = 500_000
+LONGEST_TRAINED = 50_000
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("score", T.DoubleType()),
@@ -251,7 +254,7 @@ def calibrate(x, toxic, prior: float) -> dict:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_TEXTS) -> dict:
     """Learn from the rows of ``labels`` outside the held-out fold.  At most ``per_class``
-    distinct texts of each class are read, those of the lowest hash of the id; the share of
+    distinct texts of each class are read, those of the lowest hash of the id, and of these the ones of at most ``LONGEST_TRAINED`` code points; the share of
     toxic rows is counted over all of them."""
     import numpy as np
 
@@ -266,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_TEXTS) -> dic
     prior = min(max(counts.get(1, 0) / total if total else 0.0, 1e-4), 1 - 1e-4)
     # at most 2 * per_class ids are broadcast, and as many texts meet in the one task that learns
     small_batches(docs.sparkSession)
-    sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= LONGEST_TRAINED)
               .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").repartition(1))
     rows = sample.mapInArrow(learn(prior), MODEL).collect()
     if not rows:
@@ -318,19 +321,23 @@ def score_batches(model: dict, threshold: float):
                 got = known[word] = float(weights[word_features(word)].sum()) + bias
             return got
 
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            values, bounds = [], [0]
-            for text in texts:
-                words = pattern.findall(text.lower()) if text else []
-                values.append(np.fromiter(map(strength, words), np.float64, len(words)))
-                bounds.append(bounds[-1] + len(words))
-            e, bounds = np.concatenate([*values, np.zeros(0)]), np.array(bounds)
+        def strengths(text):
+            if not text:
+                return np.zeros(0)
+            low = text.lower()
+            if len(low) < 1_000_000:
+                words = pattern.findall(low)
+                return np.fromiter(map(strength, words), np.float64, len(words))
+            return np.fromiter((strength(m.group()) for m in pattern.finditer(low)), np.float64)  # no list of a very long text's words
+
+        def judge(texts, values):
+            """Scores and spans of some texts, given their words' strengths."""
+            bounds = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
+            e = np.concatenate([*values, np.zeros(0)])
             first = np.zeros(len(e), bool)
             first[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
             p = marginals(e, first, model) if len(e) else e
             x = model["scale"] * evidence(p, bounds) + model["shift"]
-            scores = 1 / (1 + np.exp(-np.clip(x, -35, 35)))
             spans = []
             for d, text in enumerate(texts):
                 own = p[bounds[d]:bounds[d + 1]] >= 0.5
@@ -348,6 +355,25 @@ def score_batches(model: dict, threshold: float):
                         else:
                             found.append([at[t][0], at[t][1], t])
                 spans.append([{"start": a, "end": b} for a, b, _ in found])
+            return 1 / (1 + np.exp(-np.clip(x, -35, 35))), spans
+
+        for batch in batches:
+            ids = batch.column(0)
+            scores, spans, texts, values, words = [np.zeros(0)], [], [], [], 0
+            for text in batch.column(1).to_pylist():
+                texts.append(text)
+                values.append(strengths(text))
+                words += len(values[-1])
+                if words >= WORDS_AT_ONCE:
+                    some, found = judge(texts, values)
+                    scores.append(some)
+                    spans += found
+                    texts, values, words = [], [], 0
+            if texts:
+                some, found = judge(texts, values)
+                scores.append(some)
+                spans += found
+            scores = np.concatenate(scores)
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
