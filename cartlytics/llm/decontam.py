@@ -12,8 +12,9 @@ size (2**BITS bits, whatever the benchmark's size) drops the others, and the joi
 exactly.  With a seed go no texts; the words around the seeds of a document travel once
 per region of seeds, as 32-bit hashes.
 
-Words are lower-cased runs of letters and digits.  Cases: null texts are empty; items of
-fewer than 5 words have too little evidence and are never found; equal items are all
+Words are lower-cased runs of letters and digits.  Items of one to four words are sought as exact phrases, by seeds of their
+whole length; they are reported by ``overlaps``, but too little evidence for ``clean_documents`` to reject a document.
+Cases: null texts are empty; items without words are never found; equal items are all
 reported; repeated documents (equal doc_id and text) give the same row once; extra columns
 are ignored; empty tables give no rows.  Texts are told apart by a 64-bit hash.
 """
@@ -35,6 +36,7 @@ MASKS = ("11111", "110111", "1101011", "10110011")
 MIN_WORDS = 12
 MIN_SHARE = 0.8
 BITS = 25
+BROADCAST_ITEMS = 200_000
 #: Words of context on both sides of a region's seeds: an overlap of MIN_WORDS words around a seed lies within.
 CONTEXT = 64
 WORD = r"[^\W_]+"
@@ -97,17 +99,17 @@ def benchmark_seeds(batches: Iterator) -> Iterator:
         rows = []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             h = ids.array(find((text or "").lower()))
-            if len(h) < 5:
+            if not len(h):
                 continue
             rows.append((1, item, None, None, h.astype(np.uint32).tobytes()))
-            for mask in MASKS:
+            for mask in MASKS if len(h) >= 5 else ("1" * len(h),):
                 rows += [(0, item, s, p, None) for p, s in enumerate(seed_hashes(h, mask).view(np.int64).tolist())]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
             names=SEEDS.names)
 
 
-def document_hits(bitmap):
+def document_hits(bitmap, masks=MASKS):
     """mapInArrow: doc_id, text_hash, text -> HITS; ``bitmap``: broadcast bytes of 2**BITS bits."""
 
     def run(batches: Iterator) -> Iterator:
@@ -127,7 +129,7 @@ def document_hits(bitmap):
             for doc, whole, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = ids.array(find(text.lower()))
                 seeds, places = [], []
-                for mask in MASKS:
+                for mask in masks:
                     s = seed_hashes(h, mask)
                     a, b = bits_of(s)
                     at = np.flatnonzero(inside(a))
@@ -205,16 +207,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             .select("doc_id", "item_id", "doc_word", "n_words", "n_equal"))
 
 
-def _overlaps_of_texts(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The hits of the documents, and the overlaps by 64-bit hash of the text: copies are verified once."""
+def _overlaps_of_texts(docs: DataFrame, benchmark: DataFrame, phrases: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The hits of the documents, and the overlaps by 64-bit hash of the text: copies are verified once.  ``phrases``: items of
+    under five words, too."""
     spark = docs.sparkSession
     small_batches(spark)
     seeds = materialise(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
                         .mapInArrow(benchmark_seeds, SEEDS))
+    lengths = F.length("item_words") / 4
+    if not phrases:
+        long = seeds.where("kind = 1").where(lengths >= 5).select("item_id").distinct()
+        seeds = materialise(seeds.join(F.broadcast(long) if long.count() <= BROADCAST_ITEMS else long, "item_id", "left_semi"))
+    short = [int(r["n"]) for r in seeds.where("kind = 1").select(lengths.alias("n")).where("n < 5").distinct().collect()]  # at most 4
+    masks = (*MASKS, *("1" * n for n in sorted(short)))
     bitmap = spark.sparkContext.broadcast(seed_bitmap(seeds.where("kind = 0")))
     hits = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
                        .select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-                       .mapInArrow(document_hits(bitmap), HITS))
+                       .mapInArrow(document_hits(bitmap, masks), HITS))
     met = (hits.where("kind = 0").select("text_hash", "region", "seed", "pos").distinct()
            .join(seeds.where("kind = 0").select("seed", "item_id", "item_pos"), "seed")
            .select("text_hash", "region", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
@@ -245,8 +254,8 @@ def seed_bitmap(seeds: DataFrame) -> bytes:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has no overlap with any item, all columns kept.  Spark
+    """The rows of ``docs`` whose text has no overlap with any item of five words or more, all columns kept.  Spark
     broadcasts the hashes of the rejected texts only if the written table is small enough."""
     name, = fresh(docs, "rejected")
-    bad = materialise(_overlaps_of_texts(docs, benchmark)[1].select(F.col("text_hash").alias(name)).distinct())
+    bad = materialise(_overlaps_of_texts(docs, benchmark, phrases=False)[1].select(F.col("text_hash").alias(name)).distinct())
     return docs.join(bad, F.xxhash64(text_or_empty()) == F.col(name), "left_anti")

@@ -66,3 +66,11 @@ def test_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 4
     assert X.overlaps(empty, bench).count() == 0 and X.overlaps(odd, bench.limit(0)).count() == 0
     assert X.clean_documents(odd, bench.limit(0)).count() == len(ODD)
+
+
+def test_short_items_are_exact_phrases(spark):
+    rows = [(1, "Alpha beta, gamma delta epsilon", "a"), (2, "beta alpha gamma", "a"), (3, sentence(5, 40) + " zeta", "a"), (4, "alpha beta gamma changed", "a")]
+    bench = benchmark(spark, [(1, "alpha beta"), (2, "alpha beta gamma delta"), (3, "zeta"), (4, "delta gamma"), (5, "!!")])
+    got = {(r["doc_id"], r["item_id"]): (r["doc_word"], r["n_words"], r["n_equal"]) for r in X.overlaps(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1): (0, 2, 2), (4, 1): (0, 2, 2), (1, 2): (0, 4, 4), (3, 3): (40, 1, 1)}
+    assert X.clean_documents(frame(spark, rows), bench).count() == len(rows)
