@@ -14,8 +14,8 @@ level for still longer ones).
 A text with few lexicon terms (words mostly too rare, or too common as in boilerplate) has a second part of
 the fingerprint: the same subsets, applied to all its distinct terms.  Where either of two texts has few, the
 second parts are compared.  Texts that have not many more lexicon terms than that (``scarce``) carry
-it too, so that two similar texts have it or lack it together; a text and its edited form are compared with
-both second parts whenever either is scarce.
+it too, so that two similar texts mostly have it or lack it together.  A fingerprint depends on the text and the corpus's lexicon
+alone, and every likeness is computed from two fingerprints as they are returned.
 
 The lexicon has at most (mean distinct terms of a document) / MIN_SHARE terms, whatever the corpus's
 size.  It is broadcast while it is counted to have at most ``BROADCAST_TERMS`` terms, else joined by
@@ -203,16 +203,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     hits = rows.join(known, "term", "left").where("side = 2 OR mask_a IS NOT NULL")
     own = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("term", "mask_a", "mask_b"))))
     scarce = lambda k: _fewer(SCARCE, F.size(k), F.size(f"all_{k}")).alias(f"scarce_{k}")
-    # the second parts are made for both or neither of a text and its edited form
-    second = lambda k: F.when(F.col("scarce_a") | F.col("scarce_b"), F.concat(F.lit("|"), whole_part(F.col(f"all_{k}")))).otherwise("")
-    shown = lambda k: F.when(F.col(f"scarce_{k}"), F.col(f"full_{k}")).otherwise(F.substring_index(f"full_{k}", "|", 1))
+    second = lambda k: F.when(F.col(f"scarce_{k}"), F.concat(F.lit("|"), whole_part(F.col(f"all_{k}")))).otherwise("")
     made = (hits.groupBy("bucket", "row").agg(F.max("extra").alias("extra"), F.max("doc_id").alias("doc_id"), F.max("fact").alias("fact"), own(0).alias("a"), own(1).alias("b"))
             .select("bucket", "row", "extra", "doc_id", "fact.*", "a", "b")
             .select("*", scarce("a"), scarce("b"))
-            .select("bucket", "row", "extra", "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "scarce_a", "scarce_b",
-                    *[F.concat(lexicon_part(F.col(k)), second(k)).alias(f"full_{k}") for k in "ab"])
-            .select("bucket", "row", "extra", "doc_id", "n_chars", "edited_sha256", shown("a").alias("fingerprint"), shown("b").alias("edited_fingerprint"),
-                    likeness(F.col("full_a"), F.col("full_b")).alias("near_edited")))
+            .select("bucket", "row", "extra", "doc_id", "n_chars", F.col("sha").alias("edited_sha256"),
+                    *[F.concat(lexicon_part(F.col(k)), second(k)).alias(name) for k, name in (("a", "fingerprint"), ("b", "edited_fingerprint"))])
+            .withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))))
     follows = F.coalesce(F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("row")), F.col("fingerprint"))
     return (made.withColumn("next", follows).where("extra = 0")
             .select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
