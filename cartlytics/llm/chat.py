@@ -87,13 +87,26 @@ def _turns(rule: dict, get) -> Column:
     return F.array(*made)
 
 
+#: Field names that any layout has: others are no part of a fingerprint.
+VOCABULARY = {part for x in LAYOUTS for p in x["paths"] for part in p.replace("[]", "").split(".")}
+
+
+def known_paths(schema: T.StructType) -> list[str]:
+    """The field paths of a schema whose names all belong to the vocabulary."""
+    return [p for p in field_paths(schema) if set(p.replace("[]", "").split(".")) <= VOCABULARY]
+
+
 def canonical(df: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a frame whose columns follow a known layout.  Columns that no
-    layout names are left out before the fingerprint is taken."""
-    paths = {f.name: set(field_paths(f.dataType, f.name)) for f in df.schema.fields}
-    known = max((x for x in LAYOUTS if set(x["paths"]) <= set().union(*paths.values())), key=lambda x: len(x["paths"]), default=None)
-    named = df if known is None else df.select(*[c for c, p in paths.items() if p & set(known["paths"])])
-    rule = BY_FINGERPRINT.get(fingerprint(field_paths(named.schema)))
+    """conv_id, turn, role, text of a frame whose columns follow a known layout.
+
+    The layout is the one of the fingerprint of the frame's own field paths; fields whose names no layout has are no part of it.
+    Only where extra fields clash with names of other layouts, so that the fingerprint is of none, the layout with most
+    fields of those in the frame is taken."""
+    paths = known_paths(df.schema)
+    rule = BY_FINGERPRINT.get(fingerprint(paths))
+    if rule is None:
+        rule = max((x for x in LAYOUTS if set(x["paths"]) <= set(paths)), key=lambda x: len(x["paths"]), default=None)
+    named = df
     if rule is None:
         raise ValueError(f"no mapping for the layout {field_paths(df.schema)}")
     return (named.select("conv_id", F.explode(_turns(rule, F.col)).alias("t"))

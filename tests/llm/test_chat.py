@@ -59,5 +59,10 @@ def test_layouts_of_frames_and_records_agree(spark):
     assert X.unmapped(df).count() == 3
     typed = spark.createDataFrame([(1, [tuple(m.values()) for m in message])], "conv_id long, messages array<struct<role:string,content:string>>")
     assert said(typed)[1] == expect(want)
+    # the fingerprint decides: nested and other extra fields are no part of it, clashing names fall back to the most fields
+    nested = spark.createDataFrame([(1, [("user", want[0][1], 0.5), ("assistant", "yes", 0.1)], "x")], "conv_id long, messages array<struct<role:string,content:string,score:double>>, note string")
+    assert X.fingerprint(X.known_paths(nested.schema)) == X.LAYOUTS[1]["fingerprint"] and said(nested)[1] == expect(want)
+    clash = spark.createDataFrame([(1, 0, "user", "a", "other")], "conv_id long, turn long, role string, text string, prompt string")
+    assert X.fingerprint(X.known_paths(clash.schema)) not in X.BY_FINGERPRINT and said(clash)[1] == expect([("user", "a")])
     with pytest.raises(ValueError, match="no mapping"):
         X.canonical(spark.createDataFrame([(1, "x")], "conv_id long, words string"))
