@@ -1,13 +1,15 @@
 """Quality by importance resampling of hashed n-gram models.
 
 Two bag-of-n-grams models over ``BUCKETS`` hashed words and word pairs are counted: one of the
-target texts (labelled of good quality), one of all raw texts.  A text's weight is the mean
-log ratio target : raw of its n-grams, times ``SHARPNESS``; adding independent Gumbel noise to
+target texts (labelled of good quality), one of all raw texts.  A text's log weight is its log likelihood ratio
+target : raw, the sum over its n-grams (``sharpness=None``), or, by default, that ratio at the temperature n / ``SHARPNESS`` for a text of n
+n-grams, i.e. ``SHARPNESS`` times the mean, so that long texts do not outweigh the noise.  Adding independent Gumbel noise to
 the log weights and taking the k largest draws k texts without replacement in proportion to the
 weights.  The noise is a seeded hash of the id, so that reruns agree.
 
-The target model is fitted on at most ``TARGET_TEXTS`` labelled texts, those of the lowest hash of the id;
-their ids are broadcast.  All other counts cover all rows; a partition sends one vector of counts.  The k-th largest key is found by
+All counts cover all rows and all labels; a partition sends one vector of counts.  Whether a row is labelled is asked of a broadcast
+bit array of fixed size (2**25 bits); the ids that pass it without a label are found exactly by a join of ids alone, and excluded, so no text
+is shuffled.  The k-th largest key is found by
 counting keys in ever finer ranges, one aggregation a level, not by a global sort.
 
 Cases: a null or empty text has no n-grams and weight 0 in the log (neutral); ties at the last place
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlytics.llm.common import WordIds, materialise, ship, small_batches, text_or_empty
+from cartlytics.llm.common import WordIds, materialise, mix64, ship, small_batches, text_or_empty
+from cartlytics.llm.decontam import bits_of, seed_bitmap
 
 ship(__name__)
 
@@ -32,8 +35,8 @@ BUCKETS = 16_384
 #: Share of the raw texts that is drawn.
 KEEP = 0.8
 SHARPNESS = 25.0
-#: Labelled texts that the target model is counted over, at most.
-TARGET_TEXTS = 20_000
+#: Ids that pass the bit array without a label: so many are broadcast, more are joined.
+BROADCAST_IDS = 500_000
 SEED = 23
 WORD = r"[^\W_]+|[^\w\s]"
 
@@ -49,41 +52,77 @@ def ngram_buckets(h):
 COUNTS = T.StructType([T.StructField("target", T.BooleanType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
-def count_ngrams(batches: Iterator) -> Iterator:
-    """mapInArrow: target, text -> COUNTS, one row for each bucket that the partition has."""
-    import re
+def passes(bits, ids):
+    """Whether each id (int64) is in the bit array."""
+    import numpy as np
+
+    held = np.frombuffer(bits, np.uint8)
+    a, b = bits_of(mix64(ids.view(np.uint64)))
+    return ((held[a >> 3] >> (a & 7).astype(np.uint8)) & (held[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
 
+def mixed_ids(batches: Iterator) -> Iterator:
+    """mapInArrow: doc_id -> seed, the id's hash."""
     import numpy as np
     import pyarrow as pa
 
-    find, ids = re.compile(WORD).findall, WordIds()
-    counts = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        for target, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            h = ids.array(find(text.lower()))
-            if len(h):
-                counts[int(target)] += np.bincount(ngram_buckets(h), minlength=BUCKETS)
-    for target in (0, 1):
-        at = np.flatnonzero(counts[target])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(at), bool(target))), pa.array(at.astype(np.int32)), pa.array(counts[target][at])], names=COUNTS.names)
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(mix64(ids.view(np.uint64)).view(np.int64))], names=["seed"])
+
+
+def possible_targets(bits):
+    """mapInArrow: doc_id (not null) -> the ids that may be labelled."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[passes(bits.value, ids)])], names=["doc_id"])
+
+    return run
+
+
+def count_ngrams(bits):
+    """mapInArrow: doc_id, excluded, text -> COUNTS, one row for each bucket that the partition has."""
+
+    def run(batches: Iterator) -> Iterator:
+        import re
 
+        import numpy as np
+        import pyarrow as pa
+
+        find, ids = re.compile(WORD).findall, WordIds()
+        counts = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False) & ~batch.column(1).to_numpy(zero_copy_only=False)
+            own = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for target, text in zip((known & passes(bits.value, own)).tolist(), batch.column(2).to_pylist(), strict=True):
+                h = ids.array(find(text.lower()))
+                if len(h):
+                    counts[int(target)] += np.bincount(ngram_buckets(h), minlength=BUCKETS)
+        for target in (0, 1):
+            at = np.flatnonzero(counts[target])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), bool(target))), pa.array(at.astype(np.int32)), pa.array(counts[target][at])], names=COUNTS.names)
 
-def sample_of(ids: DataFrame, most: int = TARGET_TEXTS) -> DataFrame:
-    """At most ``most`` of the distinct ids, those of the lowest hash; few more than these meet in one task."""
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = min(1.0, 2 * most / max(1, ids.count()))
-    return ids.where(order <= int(share * (1 << 40))).orderBy(order, "doc_id").limit(most)
+    return run
 
 
 def log_ratios(docs: DataFrame, target_ids: DataFrame):
     """log(p_target / p_raw) of every bucket, as a numpy vector.  ``target_ids``: distinct doc_id."""
     import numpy as np
 
-    flagged = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-               .join(F.broadcast(sample_of(target_ids).select("doc_id", F.lit(True).alias("is_target"))), "doc_id", "left")
-               .select(F.coalesce("is_target", F.lit(False)).alias("target"), "text"))
-    rows = flagged.mapInArrow(count_ngrams, COUNTS).groupBy("target", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * BUCKETS rows
+    target_ids = materialise(target_ids)
+    bits = docs.sparkSession.sparkContext.broadcast(seed_bitmap(target_ids.mapInArrow(mixed_ids, "seed long")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    wrong = materialise(own.select("doc_id").where("doc_id IS NOT NULL").mapInArrow(possible_targets(bits), "doc_id long").distinct()
+                        .join(target_ids, "doc_id", "left_anti"))
+    few = F.broadcast(wrong) if wrong.count() <= BROADCAST_IDS else wrong
+    flagged = own.join(few.select("doc_id", F.lit(True).alias("wrong")), "doc_id", "left").select("doc_id", F.coalesce("wrong", F.lit(False)).alias("excluded"), "text")
+    rows = flagged.mapInArrow(count_ngrams(bits), COUNTS).groupBy("target", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * BUCKETS rows
     counts = np.zeros((2, BUCKETS))
     counts[rows["target"].astype(int), rows["bucket"]] = rows["n"]
     target, raw = counts[1], counts[0] + counts[1]  # the raw model is of all texts
@@ -96,7 +135,7 @@ WEIGHTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("t
                          T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())])
 
 
-def weigh(ratios):
+def weigh(ratios, sharpness: float | None = SHARPNESS):
     """mapInArrow: doc_id, text_hash, text -> WEIGHTED."""
 
     def run(batches: Iterator) -> Iterator:
@@ -111,7 +150,7 @@ def weigh(ratios):
             for text in batch.column(2).to_pylist():
                 at = ngram_buckets(ids.array(find(text.lower())))
                 sizes.append(len(at))
-                weights.append(SHARPNESS * float(ratios[at].mean()) if len(at) else 0.0)
+                weights.append(float(ratios[at].sum()) * (1.0 if sharpness is None else sharpness / len(at)) if len(at) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())], names=WEIGHTED.names)
 
     return run
@@ -143,14 +182,15 @@ def largest(keyed: DataFrame, key: str, k: int, bins: int = 4096) -> DataFrame:
     return keyed.where(F.col(key) > hi).unionByName(edge.orderBy(F.col(key).desc(), "tie").limit(k - above))
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """doc_id, n_grams, log_weight and gumbel_key of the drawn texts: round(keep * rows) of them."""
+def resample(docs: DataFrame, target_ids: DataFrame, keep: float = KEEP, seed: int = SEED, sharpness: float | None = SHARPNESS) -> DataFrame:
+    """doc_id, n_grams, log_weight and gumbel_key of the drawn texts: round(keep * rows) of them.  ``sharpness``: None for the
+    plain likelihood ratio."""
     small_batches(docs.sparkSession)
     ratios = log_ratios(docs, target_ids)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     weighted = materialise(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(weigh(ratios), WEIGHTED)
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(weigh(ratios, sharpness), WEIGHTED)
         .withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
         .withColumn("tie", F.coalesce("doc_id", "text_hash")))
     return largest(weighted, "gumbel_key", round(keep * weighted.count())).select("doc_id", "n_grams", "log_weight", "gumbel_key")

@@ -4,6 +4,7 @@ import numpy as np
 
 from cartlytics.llm import importance as X
 from cartlytics.llm.common import WordIds
+from cartlytics.llm.decontam import BITS as X_BITS
 from conftest_llm import ODD, frame, sentence
 
 
@@ -30,6 +31,20 @@ def test_good_texts_are_drawn_and_weights_equal_brute_force(spark):
     ratio = np.log((target + .5) / (target + .5).sum()) - np.log((raw + .5) / (raw + .5).sum())
     for i, r in got.items():
         assert math.isclose(r["log_weight"], X.SHARPNESS * ratio[grams[i]].mean(), abs_tol=1e-9)
+    plain = X.resample(docs, X.good_ids(labels), keep=0.6, sharpness=None).collect()  # the likelihood ratio itself
+    assert len(plain) == 180 and not any(r["doc_id"] % 4 == 0 for r in plain)
+    assert all(math.isclose(r["log_weight"], ratio[grams[r["doc_id"]]].sum(), abs_tol=1e-8) for r in plain)
+
+
+def test_all_labels_count_and_no_others(spark, monkeypatch):
+    """The bit array lets others pass; they are found by their ids, broadcast or joined, and not counted."""
+    docs, labels = tables(spark)
+    want = X.log_ratios(docs, X.good_ids(labels))
+    for most in (X.BROADCAST_IDS, 0):
+        monkeypatch.setattr(X, "BROADCAST_IDS", most)
+        # an array with all bits set passes every id
+        monkeypatch.setattr(X, "seed_bitmap", lambda seeds: b"\xff" * (1 << (X_BITS - 3)))
+        assert np.allclose(X.log_ratios(docs, X.good_ids(labels)), want)
 
 
 def test_largest_against_sorting(spark):
