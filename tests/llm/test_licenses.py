@@ -45,5 +45,22 @@ def test_phrases_of_a_notice_stand_at_their_places(spark):
     texts = [notice, notice.replace("hereby granted free", "hereby granted entirely free"), apart, "free of charge " + apart]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in X.scan(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
     assert got == {0: ("mit", 1.0), 1: ("mit", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
-    for _, ws, must in X.templates():
-        assert all(X._offsets(ws, m) for m in must)
+    for _, ws, must in X.NOTICES:
+        assert must and all(X._offsets(ws.split(), m.split()) for m in must)
+
+
+def test_each_notice_is_found_in_itself(spark):
+    texts = [sentence(i, 20 + i) + " " + ws.upper() + ". " + sentence(i + 50, 9) for i, (_, ws, _) in enumerate(X.NOTICES)]
+    got = {r["doc_id"]: r for r in X.scan(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1.0 for i, (label, _, _) in enumerate(X.NOTICES))
+
+
+def test_a_bank_of_hundreds_is_a_parameter(spark):
+    phrases = {f"licence number n{i}": f"l{i}" for i in range(300)}
+    notices = [(f"notice{i}", f"this file may be used as word{i} of clause{i} says", [f"clause{i} says"]) for i in range(300)]
+    rows = [(i, f"Here licence number N{i} and so: this file may be used as word{i} of clause{i} says. licence number n{(i + 1) % 300}", "a") for i in range(0, 300, 7)]
+    got = {r["doc_id"]: r for r in X.scan(frame(spark, rows), phrases, notices).collect()}
+    for i in range(0, 300, 7):
+        assert got[i]["n_base"] == 2 and got[i]["first_word"] == 1 and got[i]["base_labels"] == ",".join(sorted([f"l{i}", f"l{(i + 1) % 300}"]))
+        assert f"notice{i}" in got[i]["labels"].split(",") and len(got[i]["labels"].split(",")) == 3
+    assert X.scan(frame(spark, rows), {}, []).first()["labels"] == ""
