@@ -6,15 +6,16 @@ gets are taken off the target; of the rest, each length gets its proportional sh
 documents, rounded down, then more documents from the longest length down while they fit, and
 the last words are filled by a bounded-knapsack dynamic programme over the documents that
 are left.  The number of documents per (source, length) then selects documents in the order of
-a seeded hash of their id.
+a seeded hash of their id and text.
 
 Work is on (source, length, count) rows; a source's histogram has at most as many rows as
-there are different lengths.  Documents of one (source, length) are ranked in slices of
-their hash, so that a length that many copies share is not ranked in one task.
+there are different lengths.  What is selected of a (source, length) is said by one value, the hash at which
+it ends (``cuts``), which is looked for within one of 128 ranges of the hash, so that a length that many copies
+share is not ordered in one task.  Each document then decides for itself: no text is shuffled.
 
 Cases: a null text has no words; null is a source of its own, the last one; empty documents are
-never taken; ties of the hash are broken by id, and repeated rows are taken one by one; an empty
-table gives no rows; extra columns are ignored (``mix`` keeps them).
+never taken; only rows of equal id and text share a hash: where the cut falls among them, some of them are taken once
+less, and only then are rows ranked; an empty table gives no rows; extra columns are ignored (``mix`` keeps them).
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ MAX_REPEAT = 2
 SEED = 17
 #: The dynamic programme fills the last words of a source's budget, up to twice this many; more is filled greedily before.
 WINDOW_WORDS = 4096
-SLICES = 128
+SLICE_BITS = 7  # ranges of the hash
+BROADCAST_ROWS = 500_000  # of cuts, a few numbers each
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -112,58 +114,79 @@ def fit_source(histogram):
     base = min(int(target // total), int(histogram["repeat"].iloc[0])) if total else 0
     budget = int(round(target - base * total))
     extra = fit_counts(sizes, counts, budget) if base < int(histogram["repeat"].iloc[0]) else [0] * len(sizes)
-    return pd.DataFrame({"source": histogram["source"], "size": sizes, "base": base, "extra": extra})
+    return pd.DataFrame({"source_key": histogram["source_key"], "size": sizes, "base": base, "extra": extra})
 
 
-def allot(sized: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size -> with source_size, target and times (how often the mix takes the row)."""
-    of_source = materialise(targets(sized, weights, share, repeat))
-    keyed = (sized.withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
-             .withColumn("slice", F.pmod("order", F.lit(SLICES)).cast("int")))
-    slices = materialise(keyed.where("size > 0").groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("documents")))
-    null_safe = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("source_key")  # one key for null, too
-    histogram = (slices.groupBy("source", "size").agg(F.sum("documents").alias("documents"))
-                 .withColumn("source_key", null_safe)
-                 .join(of_source.select(null_safe, "source_size", "target"), "source_key")
+def sizes_of(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size (words), order (seeded hash of id and text) of every row, written once."""
+    return materialise(docs.select("doc_id", "source", n_words().alias("size"), place_in_order(seed).alias("order")))
+
+
+def place_in_order(seed: int):
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("text", F.lit("")))
+
+
+def source_key():
+    """One key for each source, null too."""
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+
+
+def cuts(sized: DataFrame, of_source: DataFrame, repeat: int = MAX_REPEAT) -> DataFrame:
+    """source_key, size, base, cut, tie_take, tie_rows: of the documents of a source and size each is taken ``base`` times; those
+    whose order is below ``cut`` once more, and of the ``tie_rows`` rows at ``cut`` itself ``tie_take``."""
+    keyed = sized.where("size > 0").withColumn("source_key", source_key()).withColumn("slice", F.shiftright("order", 64 - SLICE_BITS).cast("int"))
+    slices = materialise(keyed.groupBy("source_key", "size", "slice").agg(F.count(F.lit(1)).alias("documents")))
+    histogram = (slices.groupBy("source_key", "size").agg(F.sum("documents").alias("documents"))
+                 .join(of_source.select(source_key().alias("source_key"), "source_size", "target"), "source_key")
                  .withColumn("repeat", F.lit(repeat)))
-    fitted = histogram.groupBy("source_key").applyInPandas(fit_source, "source string, size long, base long, extra long")
+    fitted = materialise(histogram.groupBy("source_key").applyInPandas(fit_source, "source_key string, size long, base long, extra long"))
     before = F.coalesce(F.sum("documents").over(
-        Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = materialise(
-        slices.withColumn("before", before).withColumn("source_key", null_safe).drop("source")
-        .join(fitted.withColumn("source_key", null_safe).drop("source"), ["source_key", "size"])
-        .select("source_key", "size", "slice", "base", F.greatest(F.lit(0), F.least("documents", F.col("extra") - F.col("before"))).alias("more"))
-        .where("base > 0 or more > 0"))
-    place = F.row_number().over(Window.partitionBy("source_key", "size", "slice").orderBy("order", "doc_id"))
-    return (keyed.withColumn("source_key", null_safe).join(quota, ["source_key", "size", "slice"], "left")
-            .withColumn("times", F.coalesce(F.col("base") + F.when(place <= F.col("more"), 1).otherwise(0), F.lit(0)))
-            .join(of_source.select(null_safe, "source_size", "target"), "source_key")
-            .drop("source_key", "order", "slice", "base", "more"))
-
-
-def mix_plan(docs: DataFrame, **parameters) -> DataFrame:
+        Window.partitionBy("source_key", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = (slices.withColumn("before", before).join(fitted.where("extra > 0").select("source_key", "size", "extra"), ["source_key", "size"])
+            .where("before < extra AND extra <= before + documents").select("source_key", "size", "slice", (F.col("extra") - F.col("before")).alias("need")))
+    upto = F.sum("tie_rows").over(Window.partitionBy("source_key", "size", "slice").orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = (keyed.groupBy("source_key", "size", "slice", "order").agg(F.count(F.lit(1)).alias("tie_rows")).join(last, ["source_key", "size", "slice"])
+               .withColumn("upto", upto).where("need <= upto AND need > upto - tie_rows")
+               .select("source_key", "size", F.col("order").alias("cut"), (F.col("need") - F.col("upto") + F.col("tie_rows")).alias("tie_take"), "tie_rows"))
+    return materialise(fitted.where("base > 0 OR extra > 0").select("source_key", "size", "base").join(ordered, ["source_key", "size"], "left"))
+
+
+def _decided(rows: DataFrame, key: str, size: str, order: str, of_size: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``rows`` with ``names["times"]``; ``key``, ``size`` and ``order`` are its columns of these meanings."""
+    few = of_size.select(*[F.col(c).alias(names[c]) for c in of_size.columns])
+    few = F.broadcast(few) if of_size.count() <= BROADCAST_ROWS else few
+    joined = rows.join(few, (F.col(key) == F.col(names["source_key"])) & (F.col(size) == F.col(names["size"])), "left")
+    cut, take, ties = (F.col(names[c]) for c in ("cut", "tie_take", "tie_rows"))
+    more = F.when(F.col(order) < cut, 1).when((F.col(order) == cut) & (take == ties), 1).otherwise(0)
+    out = joined.withColumn(names["times"], F.coalesce(F.col(names["base"]) + more, F.lit(0)))
+    if of_size.where("tie_take < tie_rows").isEmpty():
+        return out
+    # the cut falls among equal rows: only these are ranked
+    tied = F.coalesce((F.col(order) == cut) & (take < ties), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy(key, size, order).orderBy(order))
+    some = out.where(tied).withColumn(names["times"], F.col(names["base"]) + F.when(nth <= take, 1).otherwise(0))
+    return out.where(~tied).unionByName(some)
+
+
+_NAMES = ("source_key", "size", "base", "cut", "tie_take", "tie_rows", "times")
+
+
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) of every document."""
-    sized = materialise(docs.select("doc_id", "source", n_words().alias("size")))
-    return allot(sized, **parameters).select("doc_id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
-
-
-def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, all columns kept.
-
-    Rows are told apart by id, source and size; of rows equal in these, each is taken the mean
-    number of times, rounded down, and the first ones once more."""
-    sized = docs.select("doc_id", "source", n_words().alias("size"))
-    plan = allot(materialise(sized), **parameters).select("doc_id", "source", "size", "times")
-    of_key = materialise(plan.groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
-                         .where("times > 0"))
-    d, s, n, t, r, k = fresh(docs, "d", "s", "n", "t", "r", "k")
-    key = [F.col(a).alias(b) for a, b in (("doc_id", d), ("source", s), ("size", n), ("times", t), ("rows", r))]
-    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (n_words() == F.col(n))
-    even, uneven = of_key.where("times % rows = 0").select(*key), of_key.where("times % rows > 0").select(*key)
-    each = F.floor(F.col(t) / F.col(r)).cast("int")
-    out = docs.join(even, same).withColumn(k, each)
-    if not uneven.isEmpty():
-        nth = F.row_number().over(Window.partitionBy(d, s, n).orderBy("text"))
-        more = F.when(nth <= F.col(t) % F.col(r), 1).otherwise(0)
-        out = out.unionByName(docs.join(uneven, same).withColumn(k, each + more).where(F.col(k) > 0))
-    return out.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(k)))).select(*docs.columns)
+    sized = sizes_of(docs, seed)
+    of_source = materialise(targets(sized, weights, share, repeat))
+    rows = sized.select("doc_id", "source", source_key().alias("key"), F.col("size").alias("words"), "order")
+    decided = _decided(rows, "key", "words", "order", cuts(sized, of_source, repeat), {c: f"_{c}" for c in _NAMES})
+    small = of_source.select(source_key().alias("key"), "source_size", "target")
+    return decided.join(small, "key").select("doc_id", "source", F.col("words").alias("size"), "source_size", "target", (F.col("_times") * F.col("words")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns kept."""
+    sized = sizes_of(docs, seed)
+    of_size = cuts(sized, materialise(targets(sized, weights, share, repeat)), repeat)
+    key, size, order, *others = fresh(docs, "key", "words", "order", *_NAMES)
+    names = dict(zip(_NAMES, others, strict=True))
+    rows = docs.withColumns({key: source_key(), size: n_words(), order: place_in_order(seed)})
+    decided = _decided(rows, key, size, order, of_size, names).where(F.col(names["times"]) > 0)
+    return decided.withColumn(names["times"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["times"]).cast("long")))).select(*docs.columns)

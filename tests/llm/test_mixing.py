@@ -79,3 +79,24 @@ def test_odd_rows(spark, odd, empty):
     assert sum(len(re.findall(X.WORD, r["text"])) for r in X.mix(odd).collect()) == words
     assert X.mix_plan(empty).count() == 0 and X.mix(empty).count() == 0
     assert X.mix(frame(spark, [(1, "", "a"), (2, None, None)])).count() == 0
+
+
+def test_equal_rows_at_the_cut(spark):
+    """Rows of equal id and text share a hash; where the cut falls among them only some are taken once more."""
+    rows = [(7, sentence(1, 10), "a")] * 25 + [(i, sentence(i, 10), "a") for i in range(100, 105)] + [(None, sentence(3, 10), None)] * 9
+    docs = frame(spark, rows)
+    plan = X.mix_plan(docs).collect()
+    taken = {}
+    for r in plan:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    target = {r["source"]: r["target"] for r in plan}
+    assert len(plan) == len(rows) and all(abs(taken[s] - target[s]) <= 10 for s in taken)
+    mixed = {}
+    for r in X.mix(docs).collect():
+        mixed[r["source"]] = mixed.get(r["source"], 0) + 10
+    assert mixed == taken
+
+
+def test_no_text_is_shuffled(spark, docs):
+    plan = X.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
