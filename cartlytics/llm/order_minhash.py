@@ -45,6 +45,7 @@ MIN_SIMILARITY = 0.8
 SAMPLES = 48
 KEPT = 3
 BLOCK = 1024
+BROADCAST_ROWS = 4_000_000  # hashes of rows that go; more are joined by a shuffle of the texts
 WORD = r"[^\W_]+"
 
 TEXTS = T.StructType([
@@ -419,7 +420,8 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     name, = fresh(docs, "row")
     gone = materialise(rows.where("row <> keeper").select(F.col("row").alias(name)).distinct())
     twice = materialise(rows.where("class IS NOT NULL").groupBy(F.col("row").alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name))
-    stay = docs.join(gone, row_key() == F.col(name), "left_anti")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    stay = docs.join(few, row_key() == F.col(name), "left_anti")
     if twice.isEmpty():
         return stay
     # of rows with equal id and text, one stays
