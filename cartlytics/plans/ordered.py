@@ -25,7 +25,7 @@ running counts are windows per (key, cell) plus the offset of the cell.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,22 +47,37 @@ def _first_shift(n: int | None) -> int:
     return _MANTISSA - (n.bit_length() - 1)
 
 
-def order_bits(value: Column) -> Column:
+def order_bits(value: Column, keep: Callable[[str, Column], Column] = lambda part, c: c) -> Column:
     """A double as a long in the same order, equal values only being equal: the bits of its size (exponent, then mantissa) with
-    its sign.  NaN comes after infinity."""
-    size = F.abs(value)
-    exponent = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
-    ratio = size / F.pow(F.lit(2.0), exponent.cast("double"))
+    its sign.  NaN comes after infinity.  ``keep`` gets the parts that are used more than once."""
+    size = keep("_size", F.abs(value))
+    exponent = keep("_exponent", F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)))
+    ratio = keep("_ratio", size / F.pow(F.lit(2.0), exponent.cast("double")))
     # log2 may round across a power of two
     exponent = exponent + F.when(ratio >= 2, 1).when(ratio < 1, -1).otherwise(0)
     ratio = F.when(ratio >= 2, ratio / 2).when(ratio < 1, ratio * 2).otherwise(ratio)
     normal = F.shiftleft((exponent + 1023).cast("long"), _MANTISSA) + ((ratio - 1) * float(1 << _MANTISSA)).cast("long")
     subnormal = (size * 2.0 ** 537 * 2.0 ** 537).cast("long")
     top = F.lit(2047 << _MANTISSA).cast("long")
-    bits = F.when(F.isnan(size), top + 1).when(size == float("inf"), top).when(size < 2.0 ** -1022, subnormal).otherwise(normal)
+    bits = keep("_bits", F.when(F.isnan(size), top + 1).when(size == float("inf"), top).when(size < 2.0 ** -1022, subnormal).otherwise(normal))
     return F.when(value < 0, -bits).otherwise(bits)
 
 
+def with_order_bits(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add ``order_bits`` of values that are not NULL.  Each part is a column of its own projection: in one expression the logarithm
+    would be taken again wherever a part is used.  The result is never NULL, else a join on it would test the expression for NULL
+    below the projections, where it is one expression again."""
+    columns = df.columns
+
+    def keep(part: str, c: Column) -> Column:
+        nonlocal df
+        df = df.withColumn(part, c)
+        return F.col(part)
+
+    bits = order_bits(value, keep)
+    return df.select(*columns, F.coalesce(bits, F.lit(0).cast("long")).alias(name))
+
+
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the columns of ``small`` (one row per key) to ``df``.
 
@@ -101,8 +116,7 @@ def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (),
     aggs = [F.count(F.lit(1)).alias("n")]
     for name, cond in (counts or {}).items():
         aggs.append(F.count(F.when(cond, F.lit(1))).alias(name))
-    d = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
-         .withColumn("_b", order_bits(F.col(value).cast("double"))))
+    d = with_order_bits(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs), F.col(value).cast("double"), "_b")
     d = materialise(d).withColumn("_cell", _cell_start(shift)).withColumn("_shift", F.lit(shift))
     while shift > 0:
         # only the cells of the last level can still be too full
@@ -195,8 +209,7 @@ def ordered_summary(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     order statistics around (n - 1) q, exact) and upto{i} (rows at most as large as the lower one).
     ``crowd``: rows of a cell that one task may order."""
     keys = list(keys)
-    v = F.col(value).cast("double")
-    data = df.where(F.col(value).isNotNull()).select(*keys, v.alias("_v"), order_bits(v).alias("_b"))
+    data = with_order_bits(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), F.col("_v"), "_b")
     single, to_read = wanted_cells(data, probs, keys, n_buckets, crowd)
     hits = single.select(*keys, *_MOMENTS, F.col("_lo").alias("_v"), (F.col("_before") + F.col("_n")).alias("_upto"), F.explode("_targets").alias("_t"))
     about = ["_before", *_MOMENTS, "_targets"]

@@ -121,3 +121,23 @@ def test_ranks_in_crowded_cells(spark):
     for x in r:
         sizes[x["_cell"]] = sizes.get(x["_cell"], 0) + 1
     assert max(sizes.values()) <= 50
+
+
+def test_bits_are_computed_once_a_scan(spark):
+    from cartlytics.plans.ordered import ordered_summary
+    df = spark.range(0, 5000).selectExpr("id % 3 as k", "cast(id * id as double) as v")
+    plan = ordered_summary(df, "v", [0.25, 0.5], ["k"], n_buckets=8)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("LOG2(") == 1
+
+
+def test_bits_beside_order_bits(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from cartlytics.plans.ordered import order_bits, with_order_bits
+    vals = [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, 1.0, -1.0, math.nextafter(8.0, 0), -8.0, 1e308, math.inf, -math.inf, math.nan]
+    df = spark.createDataFrame([(v, "k") for v in vals], "v double, k string")
+    got = with_order_bits(df, F.col("v"), "b")
+    assert got.columns == ["v", "k", "b"] and not got.schema["b"].nullable
+    assert all(r.b == r.plain for r in got.withColumn("plain", order_bits(F.col("v"))).collect())
